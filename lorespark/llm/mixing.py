@@ -93,5 +93,5 @@ select doc_id, source, size, source_size, target, cast(whole + (extra > 0 and ru
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with the columns of ``docs``; doc_ids are unique in both."""
     taken = mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.col("copies").cast("int").alias("mixed_copies"))
-    back = docs.join(taken, docs["doc_id"] == F.col("mixed_id"))
+    back = docs.join(taken.hint("shuffle_hash"), docs["doc_id"] == F.col("mixed_id"))
     return back.withColumn("mixed_turn", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])

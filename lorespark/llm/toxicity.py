@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE, unlabel
     return fit(a, b, prior) if a.shape[0] and b.shape[0] else zero
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every whole text; null and empty texts have no words and score by the bias alone."""
+def scorer_of(weights: np.ndarray, bias: float):
     live, buckets = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}, len(weights)
 
     def scorer():
@@ -145,11 +145,36 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
         return lambda texts: sigmoid(np.array([one(t) for t in texts], np.float64) + bias)
 
-    return score_texts(docs, scorer)
+    return scorer
+
+
+def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every whole text; null and empty texts have no words and score by the bias alone."""
+    return score_texts(docs, scorer_of(weights, bias))
+
+
+def _learned(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[np.ndarray, float]:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~in_fold(F.col("doc_id"), folds, held))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~in_fold(F.col("doc_id"), folds, held))
+    return train(docs, labels)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """Train on what is not held out, then score every row.  Extra columns are ignored; repeated rows are scored alike."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", in_fold(F.col("doc_id"), folds, held).alias("held_out"))
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~in_fold(F.col("doc_id"), folds, held))
-    return score(docs, *train(docs.where(~F.col("held_out")), labels))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", in_fold(F.col("doc_id"), folds, held).alias("held_out"))
+    return score(rows, *_learned(docs, labels, folds, held))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, held: int = 0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; nothing is shuffled but the sample.
+
+    Null and empty texts stay, unless the bias alone reaches the threshold.
+    """
+    scorer = scorer_of(*_learned(docs, labels, folds, held))
+
+    def run(batches):
+        score = scorer()
+        for b in batches:
+            yield b.filter(pa.array(score(b["text"].to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
