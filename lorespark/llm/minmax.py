@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHINGLE, PERCENT, PERMUTATIONS, ROWS, SEED, KNOWN = 4, 80, 64, 4, 5, 300_000
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 2000, 2_000_000, 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,14 +110,66 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def links_between(a: tuple, b: tuple, same: bool, percent: int) -> list[tuple[int, int]]:
+    """One confirmed link for each pair of roots that the documents of two blocks join.
+
+    A block is (doc_id, root, sets).  Documents of the commonest root need no comparison among themselves; each of the
+    others counts its common shingles with all documents of the other block by an inverted list of that block.
+    """
+    roots, n = np.unique(np.concatenate([a[1], b[1]]), return_counts=True)
+    main = roots[n.argmax()]
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for (ids_x, root_x, sets_x), (ids_y, root_y, sets_y) in [(a, b)] if same else [(a, b), (b, a)]:
+        size = np.fromiter(map(len, sets_y), np.int64, len(sets_y))
+        flat, owner = np.concatenate(sets_y), np.repeat(np.arange(len(sets_y)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i in np.flatnonzero(root_x != main):
+            lo, hi = np.searchsorted(flat, sets_x[i]), np.searchsorted(flat, sets_x[i], "right")
+            n_hit = hi - lo
+            at = np.repeat(lo - np.cumsum(n_hit) + n_hit, n_hit) + np.arange(n_hit.sum())
+            common = np.bincount(owner[at], minlength=len(sets_y))
+            for j in np.flatnonzero((100 * common >= percent * (len(sets_x[i]) + size - common)) & (root_y != root_x[i])):
+                pair = tuple(sorted((int(root_x[i]), int(root_y[j]))))
+                found.setdefault(pair, (int(ids_x[i]), int(ids_y[j])))
+    return list(found.values())
+
+
+def _between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of one group and of different roots; groups are dealt into blocks that meet pairwise.
+
+    ``rows`` has (rep, root, n, group).  A task holds two blocks, so a group of any size is no large task, and all that
+    is written is one link for each pair of roots found joined in a task.
+    """
+    size = rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words"), F.countDistinct("root").alias("k")).where("k > 1")
+    many = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
+    dealt = rows.join(size.select("group", many.alias("many")), "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("many")).cast("int"))
+    dealt = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.select("rep", "root", "group", "own", "members", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
+
+    def run(t: pa.Table) -> pa.Table:
+        own, s, u = t["own"].to_numpy(), t["s"][0].as_py(), t["t"][0].as_py()
+        ids, root = t["rep"].to_numpy(), t["root"].to_numpy()
+        sets_of = t["members"].combine_chunks()
+        flat, at = sets_of.values.to_numpy(zero_copy_only=False), sets_of.offsets.to_numpy()
+        every = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        block = lambda k: ((w := np.flatnonzero(own == k)), (ids[w], root[w], [every[i] for i in w]))[1]
+        a, b = block(s), block(u)
+        found = links_between(a, b, s == u, percent) if len(a[0]) and len(b[0]) else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt.groupBy("group", "s", "t").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents of equal sets are one class and go on as its smallest doc_id.  Classes that share the key of a band are
     candidates; with 64 permutations in 32 bands of 4, a pair at 80 percent is missed once in ten million.  In a bucket
-    every class is first compared with the smallest only.  Where a bucket still holds several components after that, its
-    classes of different components are all compared, so no link that could join two of them is lost; pairs inside one
-    component need no comparison.  Links are confirmed on the full sets.
+    every class is first compared with the smallest only.  Where a bucket still holds several components after that, the
+    buckets that overlap form a group, and its classes of different components are all compared inside tasks, by inverted
+    lists; so no link that could join two components is lost, no pairs are written out, and pairs inside one component
+    need no comparison.  All links are confirmed on the full sets.
 
     Null and empty texts and texts of white space have no shingles and are linked with nothing.  A row without doc_id is
     linked with nothing, has no component_id and stays.  Rows that repeat a doc_id share its component.  Extra columns
@@ -133,7 +186,9 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, pe
     member = cut(spread.join(shared, "key").select("key", "rep", "n", "leader"))
     in_bucket = member.groupBy("rep").agg(F.min("n").alias("n"))
     named = classes.join(in_bucket.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "set_id")
-    texts = docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    few = named.count() <= BROADCAST_IDS  # a row is 8 bytes here; beyond that bound the texts are shuffled instead
+    ids = named.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = cut(full_sets(texts, width).join(named, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "members"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -149,10 +204,13 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, pe
     roots = components(links)
     placed = member.select("key", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_rows = cut(placed.join(open_keys, "key", "left_semi"))
-    other = open_rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "root")))
-    meet = open_rows.join(other, "key").where((F.col("root") != F.col("root_b")) & (F.col("rep") < F.col("rep_b")) & fits(F.col("n"), F.col("n_b")))
-    more = cut(confirmed(meet.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")))
+    # What may still be linked is drawn into groups, by buckets that hold several components.
+    near = placed.join(open_keys, "key", "left_semi").select("rep", "root", "n", "key")
+    hub = near.groupBy("key").agg(F.min("rep").alias("hub"))
+    tied = components(near.join(hub, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    tied = tied.select(F.col("node").alias("rep"), F.col("root").alias("hub"))
+    rows = near.select("rep", "root", "n").distinct().join(tied, "rep", "left").select("rep", "root", "n", F.coalesce("hub", "rep").alias("group"))
+    more = cut(_between(cut(rows), sets, percent))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = classes.select(F.col("set_id").alias("set"), "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .langid import blocks
 
-CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 256, 256, 400_000
+CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 512, 256, 800_000
+#: Characters encoded together, about; texts are never split here.
+RUN = 4_000_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -107,7 +108,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
         known = Ids(path)
         for b in batches:
             texts = b["text"]
-            for i, j in blocks(texts.to_pylist(), 4_000_000):
+            size = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+            ends = np.r_[np.flatnonzero(np.diff(size // RUN)) + 1, len(texts)] if len(texts) else []
+            for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True) if len(texts) else ():
+                i, j = int(i), int(j)
                 rows, out = [], []
                 for k, ids in enumerate(encoded(texts.slice(i, j - i), known)):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -124,17 +128,21 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window of each item when ``k`` windows are filled by Karmarkar-Karp differencing.
 
-    Every item begins as a partial partition of its own.  The two of greatest imbalance are merged, the fullest windows
-    of the one with the emptiest of the other, until one is left; only differences between windows matter, so the
-    smallest is taken off all.  Ties are broken by the order in which partitions arose.
+    The items, by falling size, are dealt in rows of ``k``: partial partitions with one item to a window.  The two of
+    greatest imbalance are merged, the fullest windows of the one with the emptiest of the other, until one is left; only
+    differences between windows matter, so the smallest is taken off all.  Ties are broken by the order in which
+    partitions arose.
     """
     n = len(sizes)
     left, right = [-1] * n, [-1] * n
     heap = []
-    for i in np.argsort(-sizes, kind="stable"):
+    order = np.argsort(-sizes, kind="stable")
+    for low in range(0, n, k):
+        row = order[low : low + k]
         loads, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        loads[0], nodes[0] = sizes[i], i
-        heap.append((-int(sizes[i]) if k > 1 else 0, len(heap), loads, nodes))
+        loads[: len(row)], nodes[: len(row)] = sizes[row], row
+        loads -= loads.min()
+        heap.append((-int(loads[0]), len(heap), loads, nodes))
     heapq.heapify(heap)
     count = n
     while len(heap) > 1:
