@@ -1,11 +1,367 @@
-"""All queries of the library, by name."""
+"""All queries of the library by name, and the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.vectors import bag_of_words, norm
+from ..operators import chunking, parsing, retrieval, sync
+from ..operators.retrieval import rounded
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Text ------------------------------------------------------------------------------------------------------------------
+
+CYR = "len(regexp_extract_all(text, '[А-Яа-яЁё]'))"
+TOKENS = f"case when length(text) > 0 then greatest(1, ceil({CYR} / 2.5::double + (length(text) - {CYR}) / 4.0::double)) else 0 end"
+CYRILLIC_ROWS = [(-1, "Привет, мир"), (-2, "Ёлка and tree"), (-3, "12 34"), (-4, "")]
+WITH_CYRILLIC = "with d as (select doc_id, text from documents union all values (-1, 'Привет, мир'), (-2, 'Ёлка and tree'), (-3, '12 34'), (-4, ''))"
+
+
+def with_cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and a few rows of what they lack."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(CYRILLIC_ROWS, "doc_id bigint, text string"))
+
+
+@query(f"{WITH_CYRILLIC} select doc_id, {TOKENS}::bigint as tokens from d")
+def token_estimate(spark, sf_dir):
+    return with_cyrillic(spark, sf_dir).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(rf"""{WITH_CYRILLIC}, h as (select doc_id, substr(text, 1, 5000) as text from d),
+n as (select doc_id, {CYR} as cyr, len(regexp_extract_all(text, '\p{{L}}')) as letters from h)
+select doc_id, case when letters = 0 then '' when cyr / letters > 0.3 then 'ru' else 'en' end as language from n""")
+def detect_language(spark, sf_dir):
+    return with_cyrillic(spark, sf_dir).select("doc_id", T.detect_language(F.col("text")).alias("language"))
+
+
+NORMAL = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
+
+
+@query(f"select doc_id, {NORMAL} as text_hash, sha256(text) as content_hash from documents")
+def normalized_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalized_hash(F.col("text")).alias("text_hash"), T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("""select doc_id, case when doc_id <> min(doc_id) over w then min(doc_id) over w end as duplicate_of from documents window w as (partition by source, sha256(text))""")
+def content_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", F.coalesce("source", F.lit("")), T.content_hash(F.col("text"))).alias("content"))
+    return sync.first_copies(docs, "content", ["doc_id"]).select("doc_id", "duplicate_of")
+
+
+@query(f"select text_hash, count(*) as copies, min(doc_id) as first_id from (select doc_id, {NORMAL} as text_hash from documents) group by text_hash having count(*) > 1")
+def duplicate_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalized_hash(F.col("text")).alias("text_hash"))
+    return docs.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+TERMS_SQL = f"list_transform(list_filter({WORDS_SQL}, lambda w: length(w) > 1 and not list_contains([{STOP_SQL}], w)), lambda w: w[1:6])"
+
+
+@query(f"select term, count(*) as tf, count(distinct doc_id) as df from (select doc_id, unnest({TERMS_SQL}) as term from documents) group by term")
+def term_frequency(spark, sf_dir):
+    """Counted first for each document and term, so a frequent term is no large group."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
+@query("""select s.id, s.kind from (select doc_id as id, case lang when 'en' then 'markdown' when 'fr' then 'html' when 'de' then 'code' end as kind from documents) s""")
+def kind_resolution(spark, sf_dir):
+    ext = F.create_map(F.lit("en"), F.lit(".MD"), F.lit("fr"), F.lit(".htm"), F.lit("de"), F.lit(".py"))
+    name = F.concat(F.lit("a\\b/doc."), F.col("doc_id").cast("string"), F.coalesce(ext[F.col("lang")], F.lit(".unknown")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.kind(name).alias("kind"))
+
+
+@query(r"select page_id, regexp_matches(url, '(?i)^https?://[^/]*/en/[^/]*$') as in_en, regexp_matches(url, '(?i)^(?:.*/)?[^/]*\.html$') as is_html from pages")
+def glob_mask(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", (T.matches_mask(url, "http://*/en/*") | T.matches_mask(url, "https://*/en/*")).alias("in_en"), T.matches_mask(url, "*.html").alias("is_html")
+    )
+
+
+@query(r"""with p as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', ''), '^https?://[^/]*', '') as path, regexp_extract(url, '^https?://([^/?#]*)', 1) as host from pages),
+b as (select page_id, host, regexp_extract(rtrim(path, '/'), '([^/]*)$', 1) as base from p)
+select page_id, case when base = '' then host || '.html' when regexp_matches(base, '\.[a-zA-Z0-9]+$') then base else base || '.html' end as filename from b""")
+def filename_inference(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"\?.*$", ""), "^https?://[^/]*", "").alias("path"), F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
+    base = F.regexp_extract(F.regexp_replace("path", "/+$", ""), "([^/]*)$", 1)
+    return pages.select("page_id", F.when(base == "", F.concat("host", F.lit(".html"))).when(base.rlike(r"\.[a-zA-Z0-9]+$"), base).otherwise(F.concat(base, F.lit(".html"))).alias("filename"))
+
+
+# Vectors ---------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""with s as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3) as ws from documents),
+b as (select doc_id, unnest(case when len(ws) > 0 then list_transform(ws, lambda w: concat('0x', right(md5(w[1:5]), 2))::int) else [0] end) as bucket from s)
+select doc_id, bucket, count(*) as n from b group by doc_id, bucket""")
+def bow_embedding(spark, sf_dir):
+    return bag_of_words(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as length from embeddings")
+def vector_length(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("length"))
+
+
+@query("""with p as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(e.embedding::double[], q.embedding::double[]), 4) + 0.0 as score from embeddings e, embeddings q where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10""")
+def batch_cosine_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.vector_topk(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
+@query("""select e.vec_id, round(list_inner_product(e.embedding::double[], q.embedding::double[]), 4) + 0.0 as score from embeddings e, (select embedding from embeddings order by vec_id limit 1) q
+where round(list_inner_product(e.embedding::double[], q.embedding::double[]), 4) + 0.0 >= 0.2""")
+def score_threshold(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    first = vectors.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    score = rounded(retrieval.dot(F.col("embedding"), F.col("q")))
+    return vectors.crossJoin(F.broadcast(first)).select("vec_id", score.alias("score")).where("score >= 0.2")  # one query row
+
+
+# Retrieval -------------------------------------------------------------------------------------------------------------
+
+SCORES = r"""
+q as (select text from benchmark order by item_id limit 1),
+bag as (select doc_id, bucket, count(*) as n from (
+    select doc_id, unnest(case when len(ws) > 0 then list_transform(ws, lambda w: concat('0x', right(md5(w[1:5]), 2))::int) else [0] end) as bucket
+    from (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3) as ws from documents)) group by all),
+qb as (select bucket, count(*) as m from (
+    select unnest(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3), lambda w: concat('0x', right(md5(w[1:5]), 2))::int)) as bucket from q) group by all),
+qn as (select bucket, m / sqrt(sum(m * m) over ()) as m from qb),
+scores as (select doc_id, round(sum(n * coalesce(m, 0)) / sqrt(sum(n * n)), 4) + 0.0 as score from bag left join qn using (bucket) group by doc_id),
+c as (select doc_id, score from scores order by score desc, doc_id limit 20)"""
+COLLAPSED = SCORES + rf""",
+k as (select doc_id, score, text, row_number() over (partition by {NORMAL} order by score desc, doc_id) as turn from c join documents using (doc_id)),
+f as (select doc_id, score, text from k where turn = 1)"""
+RERANKED = COLLAPSED + f""",
+t as (select doc_id, score, {TERMS_SQL} as ts from f),
+st as (select count(*) as n, avg(len(ts)) as mean from t),
+asked as (select distinct unnest({TERMS_SQL}) as term from q),
+tf as (select doc_id, len(ts) as length, term, count(*) as tf from (select doc_id, ts, unnest(ts) as term from t) join asked using (term) group by all),
+df as (select term, count(*) as df from tf group by term),
+bm as (select doc_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / mean))) as bm25 from tf join df using (term), st group by doc_id),
+b as (select doc_id, score, coalesce(bm25, 0) as bm25 from f left join bm using (doc_id)),
+h as (select doc_id, score, round(0.6::double * greatest(0, score) + 0.4::double * case when max(bm25) over () > 0 then bm25 / max(bm25) over () else 0 end, 4) + 0.0 as rerank_score from b)"""
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select("text")
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query(f"with {SCORES} select doc_id, score from c")
+def cosine_topk(spark, sf_dir):
+    return retrieval.top_candidates(retrieval.text_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)))
+
+
+@query(f"with {COLLAPSED} select doc_id, score, score as rerank_score from f order by score desc, doc_id limit 5")
+def retrieve_none(spark, sf_dir):
+    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), "none")
+
+
+@query(f"with {RERANKED} select doc_id, score, rerank_score from h order by rerank_score desc, score desc, doc_id limit 5")
+def retrieve_heuristic(spark, sf_dir):
+    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"with {RERANKED} select doc_id, round(bm25, 4) + 0.0 as bm25 from b")
+def bm25_candidates(spark, sf_dir):
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    best = retrieval.top_candidates(retrieval.text_scores(docs, asked))
+    found = docs.join(F.broadcast(best), "doc_id")
+    first = F.row_number().over(Window.partitionBy(T.normalized_hash(F.col("text"))).orderBy(F.desc("score"), "doc_id"))
+    found = found.withColumn("turn", first).where("turn = 1")
+    return retrieval.bm25(found, asked).select("doc_id", rounded(F.col("bm25")).alias("bm25"))
+
+
+@query(f"""with {COLLAPSED} select (select count(*) from c) as candidates, (select count(*) from c where score >= 0.3) as after_threshold,
+(select count(*) from f where score >= 0.3) as after_dedup""")
+def retrieval_stage_counts(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    best = retrieval.top_candidates(retrieval.text_scores(docs, _asked(spark, sf_dir)))
+    found = docs.join(F.broadcast(best), "doc_id").select("score", T.normalized_hash(F.col("text")).alias("h"))
+    return found.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= 0.3).alias("after_threshold"), F.countDistinct(F.when(F.col("score") >= 0.3, F.col("h"))).alias("after_dedup"))
+
+
+@query("select doc_id, lang, source from documents where lang in ('fr', 'de') and source in ('src1', 'src2', 'src3')")
+def filter_in(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "de") & F.col("source").isin("src1", "src2", "src3")).select("doc_id", "lang", "source")
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as doc_date from orders where strftime(o_orderdate, '%Y-%m-%d') >= '1995-03-01' and strftime(o_orderdate, '%Y-%m-%d') <= '1996-02-29'")
+def filter_date_range(spark, sf_dir):
+    """Dates are compared as text, as ISO dates allow; the scan still gets bounds it can push down."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp'1995-03-01' and o_orderdate < timestamp'1996-03-01'")
+    return rows.where((day >= "1995-03-01") & (day <= "1996-02-29")).select("o_orderkey", day.alias("doc_date"))
+
+
+@query("""select event_id, coalesce(json_extract_string(props, '$.k'), event_type) as value from events where coalesce(json_extract_string(props, '$.k'), event_type) in ('1', '2', '3', 'click')""")
+def filter_metadata_coalesce(spark, sf_dir):
+    value = F.coalesce(F.get_json_object("props", "$.k"), "event_type")
+    return table(spark, sf_dir, "events").where(value.isin("1", "2", "3", "click")).select("event_id", value.alias("value"))
+
+
+# Catalog ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""with s as (select source, count(*) as total, count(*) filter (toxic = 0) as indexed, count(*) filter (toxic = 1) as failed, sum(n_chars)::bigint as chars
+from documents left join labels using (doc_id) group by source)
+select *, case when total = 0 then 'empty' when failed > 0 then 'has_errors' when indexed < total then 'processing' else 'ready' end as status from s""")
+def collection_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    s = rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("toxic") == 0).alias("indexed"), F.count_if(F.col("toxic") == 1).alias("failed"), F.sum("n_chars").alias("chars"))
+    return s.withColumn("status", F.when(F.col("total") == 0, "empty").when(F.col("failed") > 0, "has_errors").when(F.col("indexed") < F.col("total"), "processing").otherwise("ready"))
+
+
+@query("select doc_id, source, n_chars from documents where source ilike '%rc1%' order by n_chars desc, doc_id desc limit 20 offset 20")
+def list_documents_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.col("source").ilike("%rc1%"))
+    return rows.orderBy(F.desc("n_chars"), F.desc("doc_id")).offset(20).limit(20).select("doc_id", "source", "n_chars")
+
+
+@query("select conv_id, turn, role, row_number() over (partition by conv_id order by role = 'user', turn, role) as place from conversations")
+def chunk_listing_order(spark, sf_dir):
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("role") == "user", "turn", "role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", turn.cast("bigint").alias("place"))
+
+
+@query("select conv_id, max(turn) + 1 as next_turn, greatest(0, count(*) - 1)::bigint as one_less from conversations group by conv_id")
+def next_sequence(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("next_turn"), F.greatest(F.lit(0), F.count(F.lit(1)) - 1).cast("bigint").alias("one_less"))
+
+
+SNAPSHOTS = """with stored as (select doc_id as source_key, sha256(text) as v from documents where doc_id % 10 <> 0),
+listing as (select doc_id as source_key, case when doc_id % 7 = 0 then sha256(text || ' ') else sha256(text) end as v from documents where doc_id % 11 <> 0)"""
+
+
+@query(f"""{SNAPSHOTS} select source_key, case when s.v is null then 'new' when l.v is null then 'deleted' when l.v = s.v then 'unchanged' else 'changed' end as action
+from listing l full outer join stored s using (source_key)""")
+def sync_diff(spark, sf_dir):
+    """Two snapshots derived from the documents; which rows differ is the input of this operator, not a filter of its work."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_key"), "text")
+    stored = docs.where("source_key % 10 <> 0").select("source_key", T.content_hash(F.col("text")).alias("raw_hash"))
+    text = F.when(F.col("source_key") % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    return sync.sync_diff(docs.where("source_key % 11 <> 0").select("source_key", T.content_hash(text).alias("raw_hash")), stored)
+
+
+@query(f"select distinct {NORMAL} as text_hash from documents where {NORMAL} not in (select {NORMAL} from documents where lang = 'fr')")
+def embedding_cache_misses(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", T.normalized_hash(F.col("text")).alias("text_hash"))
+    return sync.cache_misses(docs, docs.where("lang = 'fr'").select("text_hash"), "text_hash")
+
+
+@query("select doc_id, coalesce('q' || quality::varchar, lang) as grade, coalesce(toxic::varchar, source) as note from documents left join labels using (doc_id)")
+def metadata_overlay(spark, sf_dir):
+    """User values lie over document properties; maps are joined with the last value winning."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), "lang").alias("grade"), F.coalesce(F.col("toxic").cast("string"), "source").alias("note"))
+
+
+@query("""with c as (select source, count(*) filter (toxic = 1) as failed, count(*) filter (quality = 1 and toxic = 0) as done, count(*) filter (quality = 0 and toxic = 0) as unchanged
+from documents join labels using (doc_id) group by source, lang) select *, case when failed > 0 and done + unchanged = 0 then 'failed' else 'completed' end as outcome from c""")
+def job_outcome(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    clean = F.col("toxic") == 0
+    c = rows.groupBy("source", "lang").agg(F.count_if(F.col("toxic") == 1).alias("failed"), F.count_if(clean & (F.col("quality") == 1)).alias("done"), F.count_if(clean & (F.col("quality") == 0)).alias("unchanged"))
+    return sync.job_outcome(c).drop("lang")
+
+
+LINKS = "with recursive l as (select page_id as src, (page_id * 7 + 3) % (select count(*) from pages) as dst from pages union select page_id, (page_id * 3 + 1) % (select count(*) from pages) from pages)"
+
+
+@query(f"""{LINKS}, w as (select 0::bigint as url, 0 as depth union select dst, depth + 1 from w join l on src = url where depth < 3) select url, min(depth)::int as depth from w group by url""")
+def crawl_bfs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    n = F.lit(pages.count())
+    links = pages.select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") * 3 + 1) % n)).alias("dst"))
+    return sync.crawl(spark.range(1).select(F.col("id").alias("url")), links, 3, 0)
+
+
+# Parsing and chunking --------------------------------------------------------------------------------------------------
+
+
+@query(r"""select doc_id, line_no - 1 as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents) where regexp_matches(line, '\S')""")
+def line_spans(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.where(F.col("line").rlike(r"\S")).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@query("select doc_id, 0::int as unit, '' as section, text from (select doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') as text from documents) where text <> ''")
+def markdown_units(spark, sf_dir):
+    """The documents have no headings, so each is one unit; tests hold texts with headings, fences and rules."""
+    return parsing.markdown_units(_docs(spark, sf_dir))
+
+
+@query()
+def parse_html(spark, sf_dir):
+    return parsing.html_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "lang", "text", F.size("links").alias("n_links"))
+
+
+@query()
+def html_links(spark, sf_dir):
+    return parsing.html_pages(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("link"))
+
+
+@query("select conv_id, turn, 'Запись ' || conv_id as section, 'role: ' || trim(role) || chr(10) || 'text: ' || trim(text) as unit_text from conversations where role <> '' and text <> ''")
+def jsonl_units(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role <> '' and text <> ''")
+    rows = rows.select("conv_id", "turn", F.to_json(F.struct(F.col("conv_id").alias("id"), "role", "text")).alias("record"))
+    return parsing.json_units(rows, "record", "id", ["role", "text"]).select("conv_id", "turn", "section", "unit_text")
+
+
+@query()
+def chunk_structure(spark, sf_dir):
+    return chunking.chunk(_docs(spark, sf_dir), chunking.Chunking("structure", max_chunk_tokens=300, min_chunk_tokens=40))
+
+
+@query()
+def chunk_fixed(spark, sf_dir):
+    return chunking.chunk(_docs(spark, sf_dir), chunking.Chunking("fixed", chunk_size_tokens=200, chunk_overlap_tokens=30))
+
+
+@query("select doc_id, true as offsets_hold, true as within_limit from documents")
+def chunk_offset_invariant(spark, sf_dir):
+    """Every chunk is its document's text between its offsets, and none is above the limit."""
+    docs = _docs(spark, sf_dir)
+    chunks = chunking.chunk(docs, chunking.Chunking(max_chunk_tokens=300, min_chunk_tokens=40)).withColumnRenamed("text", "chunk")
+    at = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    fits = T.token_estimate(F.col("chunk")) <= 300
+    return docs.join(chunks, "doc_id").groupBy("doc_id").agg(F.bool_and(at == F.col("chunk")).alias("offsets_hold"), F.bool_and(fits).alias("within_limit"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
