@@ -38,9 +38,9 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], width: int):
         self.shape = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
-        self.val = np.concatenate([*values, np.zeros(0)]).astype(np.float64)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate([*rows, np.zeros(0, np.int32)])
+        self.val = np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float32)
 
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.shape[0])
@@ -85,7 +85,12 @@ def features_of(texts: DataFrame, keys: list[str], featurise: Callable[[], Calla
         make = featurise()
         for b in batches:
             made = [make(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({k: b[k] for k in keys} | {"col": pa.array([m[0] for m in made], pa.list_(pa.int32())), "val": pa.array([m[1] for m in made], pa.list_(pa.float64()))})
-
-    rows = texts.select(*keys, "text").mapInArrow(run, f"{fields}, col array<int>, val array<double>").collect()
-    return sorted(((*[r[k] for k in keys], np.array(r["col"], np.int32), np.array(r["val"])) for r in rows), key=lambda r: (*r[: len(keys)], r[len(keys)].tobytes()))
+            yield pa.RecordBatch.from_pydict({k: b[k] for k in keys} | {"col": pa.array([m[0] for m in made], pa.list_(pa.int32())), "val": pa.array([m[1] for m in made], pa.list_(pa.float32()))})
+
+    made = texts.select(*keys, "text").mapInArrow(run, f"{fields}, col array<int>, val array<float>").toArrow()
+    rows = []
+    for b in made.to_batches():
+        (cols, at), (vals, _) = ((b[x].values.to_numpy(), b[x].offsets.to_numpy()) for x in ("col", "val"))
+        names = [b[k].to_pylist() for k in keys]
+        rows += [(*(n[i] for n in names), cols[x:y].copy(), vals[x:y].copy()) for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    return sorted(rows, key=lambda r: (*r[: len(keys)], r[len(keys)].tobytes()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import in_fold, smallest_hashes, texts_of
 from .textmodel import WORDS, Adam, Sparse, features_of, score_texts, sigmoid
 
-BUCKETS, POSITIVE, UNLABELLED, SEED = 1 << 20, 2500, 5000, 11
+BUCKETS, POSITIVE, UNLABELLED, SEED = 1 << 20, 1500, 3000, 11
 #: SCREEN: a column enters if the positives have so many standard errors more of it, FEATURES at most.
 ROUNDS, RATE, PENALTY, SCREEN, FEATURES, SCALE = 150, 0.1, 1e-4, 3.3, 600, 4.0
 STARTS, LEAST_ROWS = (4, 5, 6, 7), 3
