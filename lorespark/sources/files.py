@@ -24,7 +24,12 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     )
 
 
+#: The upper half of the Cyrillic code page, which Spark's decode doesn't offer; place for place it stands for Latin-1.
+LATIN, CYRILLIC = (bytes(range(128, 256)).decode(c, "replace") for c in ("latin-1", "cp1251"))
+
+
 def decoded(content, charset: str | None = None):
     """UTF-8 without its mark where it is valid, else the Cyrillic code page."""
     raw = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 2**31 - 1)).otherwise(content)
-    return F.decode(raw, charset) if charset else F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "windows-1251"))
+    cyrillic = F.translate(F.decode(raw, "ISO-8859-1"), LATIN, CYRILLIC)
+    return F.decode(raw, charset) if charset else F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(cyrillic)
