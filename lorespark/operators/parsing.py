@@ -7,40 +7,85 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = " › "
 
 
-def markdown_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, unit, section, text: a unit begins at each heading of level 1 to 3 outside fences; section is the path of headings.
+def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, at, line; null texts are one empty line, CR and CRLF end lines as LF does."""
+    return docs.select(key, F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")).alias("at", "line"))
+
+
+def joined_lines() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+
 
-    Lines are numbered, fences and headings are running counts over a document, and a heading resets those below it.
+def headed_units(lines: DataFrame, key: str) -> DataFrame:
+    """key, unit, section, text from (key, at, line, level, title); level 0 is no heading.
+
+    A unit begins at each heading of level 1 to 3; section is the path of headings, and a heading resets those below it.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")).alias("at", "line"))
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    lines = lines.withColumn("fenced", F.sum(fence.cast("int")).over(w) % 2 == 1).withColumn("mark", F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)))
-    after = F.trim(F.lead("line").over(Window.partitionBy(key).orderBy("at")))
-    plain = (F.trim("line") != "") & ~F.col("line").rlike(r"^[ \t\-*>|#=]") & ~fence
-    setext = F.when(plain & after.rlike("^=+$"), 1).when(plain & after.rlike("^-{3,}$"), 2).otherwise(0)
-    lines = lines.withColumn("level", F.when(F.col("fenced") | fence, 0).when(F.col("mark") > 0, F.col("mark")).otherwise(setext))
-    ruled = F.lag("level").over(Window.partitionBy(key).orderBy("at"))
-    lines = lines.where(F.lit(True)).withColumn("ruled", (F.coalesce(ruled, F.lit(0)) > 0) & F.trim("line").rlike("^[=-]+$") & (F.col("level") == 0)).where("not ruled")
-    lines = lines.withColumn("title", F.trim(F.regexp_replace("line", r"^\s*#{1,6}\s+|\s+#+\s*$", "")))
     for n in (1, 2, 3):
         here = F.col("level") == n
         lines = lines.withColumn(f"h{n}", F.last(F.when(here, F.col("title")), True).over(w)).withColumn(f"p{n}", F.last(F.when(here, F.col("at")), True).over(w))
     second = F.when(F.col("p2") > F.coalesce("p1", F.lit(-1)), F.col("h2"))
     third = F.when(F.col("p3") > F.greatest(F.coalesce("p1", F.lit(-1)), F.coalesce("p2", F.lit(-1))), F.col("h3"))
     lines = lines.withColumn("section", F.concat_ws(SEPARATOR, "h1", second, third)).withColumn("unit", F.sum(F.col("level").between(1, 3).cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    units = lines.groupBy(key, "unit", "section").agg(body.alias("text"))
+    units = lines.groupBy(key, "unit", "section").agg(joined_lines().alias("text"))
     units = units.withColumn("text", F.regexp_replace(F.regexp_replace("text", "\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
     return units.where("text <> ''").select(key, F.col("unit").cast("int").alias("unit"), "section", "text")
 
 
+def markdown_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Units of Markdown (see :func:`headed_units`): headings are marked or underlined and stand outside fences.
+
+    Lines are numbered, and fences and headings are running counts over a document.
+    """
+    lines = numbered_lines(docs, key, text)
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    fence = F.col("line").rlike(r"^\s*(```|~~~)")
+    lines = lines.withColumn("fenced", F.sum(fence.cast("int")).over(w) % 2 == 1).withColumn("mark", F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)))
+    after = F.trim(F.lead("line").over(Window.partitionBy(key).orderBy("at")))
+    plain = (F.trim("line") != "") & ~F.col("line").rlike(r"^[ \t\-*>|#=]") & ~fence
+    setext = F.when(plain & after.rlike("^=+$"), 1).when(plain & after.rlike("^-{3,}$"), 2).otherwise(0)
+    lines = lines.withColumn("level", F.when(F.col("fenced") | fence, 0).when(F.col("mark") > 0, F.col("mark")).otherwise(setext))
+    ruled = F.lag("level").over(Window.partitionBy(key).orderBy("at"))
+    lines = lines.withColumn("ruled", (F.coalesce(ruled, F.lit(0)) > 0) & F.trim("line").rlike("^[=-]+$") & (F.col("level") == 0)).where("not ruled")
+    return headed_units(lines.withColumn("title", F.trim(F.regexp_replace("line", r"^\s*#{1,6}\s+|\s+#+\s*$", ""))), key)
+
+
+def rst_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Units of reStructuredText (see :func:`headed_units`): a heading is underlined, or ruled above and below, by one
+    repeated sign at least as long as itself.
+
+    Each pair of sign and kind of rule is a style; a style's level is its place in order of first appearance.  Rules are
+    left out of the text, and a rule is never a heading itself.
+    """
+    w = Window.partitionBy(key).orderBy("at")
+    lines = numbered_lines(docs, key, text).withColumn("line", F.regexp_replace("line", r"\s+$", ""))
+    lines = lines.withColumn("rule", F.col("line").rlike(r"""^([-=`:'"~^_*+#<>])\1{2,}$"""))
+    said = (F.trim("line") != "") & ~F.col("rule")
+    flush = said & ~F.col("line").rlike(r"^\s")
+    under = F.lead("rule").over(w) & (F.length(F.lead("line").over(w)) >= F.length(F.trim("line")))
+    sign = F.substring(F.lead("line").over(w), 1, 1)
+    lines = lines.withColumn("ends", flush & F.coalesce(under, F.lit(False)))
+    # A rule that already underlines the line before it opens nothing.
+    opened = F.lag("rule").over(w) & ~F.coalesce(F.lag("ends", 2).over(w), F.lit(False)) & (F.substring(F.lag("line").over(w), 1, 1) == sign)
+    boxed = said & F.coalesce(under & opened, F.lit(False))
+    style = F.when(boxed, F.concat(sign, F.lit("over"))).when(F.col("ends"), sign)
+    lines = lines.withColumn("boxed", boxed).withColumn("style", style)
+    since = F.min("at").over(Window.partitionBy(key, "style"))
+    lines = lines.withColumn("since", F.when(F.col("style").isNotNull(), since)).withColumn("heads", F.col("style").isNotNull())
+    level = F.dense_rank().over(Window.partitionBy(key, "heads").orderBy("since"))
+    lines = lines.withColumn("level", F.when(F.col("heads"), level).otherwise(0))
+    used = F.col("rule") & (F.coalesce(F.lag("heads").over(w), F.lit(False)) | F.coalesce(F.lead("boxed").over(w), F.lit(False)))
+    lines = lines.withColumn("used", used).where("not used").withColumn("title", F.trim("line"))
+    return headed_units(lines.withColumn("line", F.when(F.col("heads"), F.col("title")).otherwise(F.col("line"))), key)
+
+
 #: Elements whose text is left out, and elements that end a block.
 SKIPPED = {"script", "style", "noscript", "svg", "template", "iframe", "nav", "footer", "form", "button", "select", "aside"}
 BLOCKS = set("p div br ul ol table section blockquote header dl dt dd figure figcaption hr".split())

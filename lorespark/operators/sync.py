@@ -31,6 +31,38 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+def unchanged(listing: DataFrame, stored: DataFrame, key: str = "source_key", force: bool = False) -> DataFrame:
+    """(key, unchanged): indexed before without an error, from equal bytes, with the chunking and model that hold now.
+
+    ``listing`` has raw_hash, chunking, model; ``stored`` raw_hash, applied_chunking, applied_model, indexed_at, error.  A
+    document without chunks has no applied_model, which any model suits.
+    """
+    now = listing.select(key, F.col("raw_hash").alias("now"), "chunking", "model")
+    both = now.join(stored.select(key, "raw_hash", "applied_chunking", "applied_model", "indexed_at", "error"), key, "left")
+    same = F.col("indexed_at").isNotNull() & F.col("error").isNull() & (F.col("now") == F.col("raw_hash")) & F.col("chunking").eqNullSafe(F.col("applied_chunking"))
+    same &= F.coalesce(F.col("applied_model") == F.col("model"), F.lit(True))
+    return both.select(key, (F.coalesce(same, F.lit(False)) & F.lit(not force)).alias("unchanged"))
+
+
+def replace_chunks(chunks: DataFrame, documents: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
+    """``chunks`` after ``documents`` were indexed anew: chunks written by hand stay, their others give way to ``new``.
+
+    ``new`` has the columns of ``chunks`` but id and origin; ids are document and place, so a second run writes the same.
+    """
+    again = documents.select(key).distinct().withColumn("again", F.lit(True))
+    kept = chunks.join(again, key, "left").where(F.col("again").isNull() | (F.col("origin") == "manual")).select(chunks.columns)
+    made = new.withColumn("id", F.concat_ws("-", F.col(key), F.col("seq"))).withColumn("origin", F.lit("auto"))
+    return kept.unionByName(made.select(chunks.columns))
+
+
+def manual_chunks(chunks: DataFrame, added: DataFrame, key: str = "document_id") -> DataFrame:
+    """``added`` (document, place, text) with the numbers and ids that follow the document's highest."""
+    last = chunks.groupBy(key).agg(F.max("seq").alias("last"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("place"))
+    out = added.join(last, key, "left").withColumn("seq", (F.coalesce("last", F.lit(-1)) + turn).cast("bigint"))
+    return out.select(F.concat(F.col(key).cast("string"), F.lit("-m"), F.col("seq").cast("string")).alias("id"), key, "seq", F.lit("manual").alias("origin"), "text")
+
+
 def cascade_delete(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return children.join(gone.select(key).distinct(), key, "left_anti")
 

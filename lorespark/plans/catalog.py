@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import bag_of_words, norm
-from ..operators import chunking, parsing, retrieval, sync
+from ..operators import chunking, code, filters, parsing, retrieval, sync
 from ..operators.retrieval import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +231,20 @@ def filter_metadata_coalesce(spark, sf_dir):
     return table(spark, sf_dir, "events").where(value.isin("1", "2", "3", "click")).select("event_id", value.alias("value"))
 
 
+FILTERS = {"languages": ["fr", "de"], "source_ids": [], "doc_date": {"gte": "2024-01-05", "lte": "2024-01-20"}, "metadata": {"toxic": 0, "kind": ["long", "short"]}}
+
+
+@query("""select doc_id from documents left join labels using (doc_id) where lang in ('fr', 'de') and doc_id % 28 + 1 between 5 and 20 and toxic = 0""")
+def filter_compiled(spark, sf_dir):
+    """Typed metadata values over three layers; `kind` is a text in the last layer, `toxic` a number in the middle one."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = rows.select(
+        "doc_id", F.col("lang").alias("language"), F.format_string("2024-01-%02d", F.col("doc_id") % 28 + 1).alias("doc_date"), F.lit('{"toxic": null}').alias("chunk_metadata"),
+        F.to_json(F.struct("toxic")).alias("metadata"), F.to_json(F.struct(F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("kind"))).alias("properties"),
+    )
+    return rows.where(filters.condition(FILTERS)).select("doc_id")
+
+
 # Catalog ---------------------------------------------------------------------------------------------------------------
 
 
@@ -274,6 +288,34 @@ def sync_diff(spark, sf_dir):
     return sync.sync_diff(docs.where("source_key % 11 <> 0").select("source_key", T.content_hash(text).alias("raw_hash")), stored)
 
 
+@query(f"""{SNAPSHOTS} select source_key, coalesce(l.v = s.v and source_key % 13 <> 0, false) as unchanged from listing l left join stored s using (source_key)""")
+def unchanged_detection(spark, sf_dir):
+    """Rows by 13 were chunked otherwise, so they are indexed anew although their bytes are equal."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_key"), "text")
+    raw = T.content_hash(F.when(F.col("source_key") % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    listing = docs.where("source_key % 11 <> 0").select("source_key", raw.alias("raw_hash"), F.lit("structure").alias("chunking"), F.lit("bow").alias("model"))
+    way = F.when(F.col("source_key") % 13 == 0, "fixed").otherwise("structure")
+    stored = docs.where("source_key % 10 <> 0").select("source_key", T.content_hash(F.col("text")).alias("raw_hash"), way.alias("applied_chunking"), F.lit("bow").alias("applied_model"), F.lit("2024-01-01").alias("indexed_at"), F.lit(None).cast("string").alias("error"))
+    return sync.unchanged(listing, stored)
+
+
+@query("""with c as (select conv_id as document_id, turn as seq, case when role = 'user' then 'manual' else 'auto' end as origin, text from conversations)
+select conv_id || '-' || turn as id, conv_id as document_id, turn as seq, case when role = 'user' then 'manual' else 'auto' end as origin, text from conversations where role = 'user' or conv_id % 2 = 0
+union all select distinct document_id || '-0', document_id, 0::bigint, 'auto', 'new' from c where document_id % 2 = 1""")
+def replace_chunks(spark, sf_dir):
+    """Odd conversations are indexed anew into one chunk; turns of the user count as written by hand."""
+    rows = table(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "document_id", "turn": "seq"})
+    chunks = rows.select(F.concat_ws("-", "document_id", "seq").alias("id"), "document_id", "seq", F.when(F.col("role") == "user", "manual").otherwise("auto").alias("origin"), "text")
+    again = rows.where("document_id % 2 = 1").select("document_id").distinct()
+    return sync.replace_chunks(chunks, again, again.select("document_id", F.lit(0).cast("bigint").alias("seq"), F.lit("new").alias("text")))
+
+
+@query("""select conv_id || '-m' || (max(turn) + 1) as id, conv_id as document_id, max(turn) + 1 as seq, 'manual' as origin, 'note' as text from conversations group by conv_id""")
+def manual_chunk_ids(spark, sf_dir):
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("seq"))
+    return sync.manual_chunks(chunks, chunks.select("document_id").distinct().select("document_id", F.lit(0).alias("place"), F.lit("note").alias("text")))
+
+
 @query(f"select distinct {NORMAL} as text_hash from documents where {NORMAL} not in (select {NORMAL} from documents where lang = 'fr')")
 def embedding_cache_misses(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", T.normalized_hash(F.col("text")).alias("text_hash"))
@@ -339,6 +381,38 @@ def jsonl_units(spark, sf_dir):
     return parsing.json_units(rows, "record", "id", ["role", "text"]).select("conv_id", "turn", "section", "unit_text")
 
 
+@query(r"""select doc_id, 1::int as unit, 'Document ' || doc_id as section, 'Document ' || doc_id || chr(10) || text as text
+from (select doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') as text from documents)""")
+def rst_units(spark, sf_dir):
+    """Each document under an underlined title; tests hold texts with several styles of headings."""
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return parsing.rst_units(_docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", title, F.repeat(F.lit("="), F.length(title)), text).alias("text")))
+
+
+@query("""with f as (select conv_id * 1000 + turn as file_id, role, turn from conversations)
+select file_id, 'yaml' as language, 1::int as unit, 'role' as section, 'role: ' || role as text from f
+union all select file_id, 'yaml', 2::int, 'turn', '# said' || chr(10) || 'turn: ' || turn from f""")
+def code_units_yaml(spark, sf_dir):
+    """A small file for each turn; a remark goes with the key below it."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("file_id"), F.format_string("role: %s\n# said\nturn: %d\n", "role", "turn").alias("text"))
+    return code.code_units(rows.withColumn("filename", F.lit("turn.yaml")), "file_id")
+
+
+@query("""select event_id, 'json' as language, 1::int as unit, 'k' as section, '{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}' as text
+from events where json_extract_string(props, '$.k') is not null""")
+def code_units_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").isNotNull())
+    return code.code_units(rows.select("event_id", F.lit("props.json").alias("filename"), F.col("props").alias("text")), "event_id")
+
+
+@query(r"""select doc_id, 0::bigint as paragraph, length(text) - length(regexp_replace(text, '^\s+', '')) as char_start, length(regexp_replace(text, '\s+$', '')) as char_end
+from documents where regexp_matches(text, '\S')""")
+def paragraph_spans(spark, sf_dir):
+    """The documents have no blank lines, so each is one paragraph; tests hold texts with blank lines and fences."""
+    return chunking.paragraph_spans(_docs(spark, sf_dir))
+
+
 @query()
 def chunk_structure(spark, sf_dir):
     return chunking.chunk(_docs(spark, sf_dir), chunking.Chunking("structure", max_chunk_tokens=300, min_chunk_tokens=40))

@@ -78,6 +78,12 @@ def test_chunking_rules():
     assert [fenced[s:e] for s, e in chunking.trimmed(fenced, chunking.paragraphs(fenced, 0, len(fenced)))] == ["a\n```\nx\n\ny\n```\nb", "c"]
 
 
+def test_paragraph_spans(spark):
+    text = " a\nb \n\n\n```\nx\n\ny\n```\n \n  c"
+    rows = chunking.paragraph_spans(spark.createDataFrame([(1, text), (2, None), (3, " \n")], "doc_id bigint, text string")).orderBy("doc_id", "paragraph").collect()
+    assert [text[r["char_start"] : r["char_end"]] for r in rows] == ["a\nb", "```\nx\n\ny\n```", "c"] and [r["paragraph"] for r in rows] == [0, 1, 2]
+
+
 def test_collapse_is_greedy(spark):
     rows = [(1, 1, "a", "h1", [1.0, 0.0]), (1, 2, "b", "h1", [0.0, 1.0]), (1, 3, "c", "h2", [0.999, 0.0447]), (1, 4, "d", "h3", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "query_id int, rank int, key string, hash string, v array<double>")
@@ -115,3 +121,96 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 5 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rst_units(spark):
+    text = "=====\nTitle\n=====\nintro\n\nOne\n---\na\n\nTwo\n---\nb\nSub\n~~~\nc d e\n--\n"
+    rows = parsing.rst_units(spark.createDataFrame([(1, text), (2, None), (3, "T\n===\nOther\n===\nx")], "doc_id bigint, text string")).orderBy("doc_id", "unit").collect()
+    assert [(r["section"], r["text"]) for r in rows] == [
+        ("Title", "Title\nintro"), ("Title › One", "One\na"), ("Title › Two", "Two\nb"), ("Title › Two › Sub", "Sub\nc d e\n--"), ("T", "T\nOther\n===\nx"),
+    ]
+
+
+CODE = {
+    "a.py": ("import os\n\n# about f\n@dec\ndef f():\n    pass\n\nclass A:\n    x = 1\n    def m(self):\n        pass\n\nif 1:\n    f()\n", ["", "f", "A", "A › m", ""]),
+    "a.kt": ("package x\n\n/** doc */\n@Ann\ndata class Foo(val a: Int) {\n    private fun bar(): Int {\n        return object : X {}\n    }\n}\n\nfun top() = 1\n", ["", "Foo", "Foo › bar", "top"]),
+    "A.java": ("package x;\n\npublic class A {\n    // note\n    @Override\n    public int go(int a) {\n        return foo(a);\n    }\n    interface B {\n    }\n}\n", ["", "A", "A › go", "A › B"]),
+    "a.ts": ("import x from 'y'\nexport class S {\n  async run(a: number): Promise<void> {\n    if (a) {\n    }\n  }\n}\nexport const k = 1\n", ["", "S", "S › run", "k"]),
+    "a.go": ("package m\n\n// T is\ntype T struct {\n}\n\nfunc (t *T) Do() {\n}\nfunc main() {}\n", ["", "T", "T.Do", "main"]),
+    "a.sql": ("-- first\nCREATE TABLE t (\n  a int\n);\n\ncreate or replace view v as\nselect 1;\nselect a from t;\n", ["CREATE TABLE T", "CREATE OR REPLACE VIEW V", "SELECT A"]),
+    "a.yaml": ("# c\na: 1\nb:\n  c: 2\n---\nd: 3\n---\ne: 4\n", ["a", "b", "d", "документ 2 › e"]),
+    "a.json": ('{"a": 1, "b": [1]}', ["a", "b"]),
+    "b.json": ("[1, {}]", ["[0]", "[1]"]),
+    "a.toml": ("x = 1\n# t\n[t]\ny = 2\n[[u.v]]\nz = 1\n", ["", "t", "u.v"]),
+    "a.sh": ("echo 1\n", [""]), "bad.py": ("def (", [""]), "bad.json": ("{", [""]), "empty.py": ("", []),
+}
+
+
+def test_code_units(spark):
+    from lorespark.operators import code
+
+    rows = [(i, n, t) for i, (n, (t, _)) in enumerate(CODE.items())] + [(90, "null.py", None), (91, None, "x")]
+    got = code.code_units(spark.createDataFrame(rows, "doc_id bigint, filename string, text string")).orderBy("doc_id", "unit").collect()
+    for i, (name, (_, sections)) in enumerate(CODE.items()):
+        assert [r["section"] for r in got if r["doc_id"] == i] == sections, name
+    assert {r["text"] for r in got if r["section"] == "f"} == {"# about f\n@dec\ndef f():\n    pass"}
+    assert [r["text"] for r in got if r["doc_id"] >= 90] == ["x"]
+
+
+def zipped(parts: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office(spark):
+    from lorespark.operators.office import A, P, R, S, W, office_files, office_units
+
+    w, a, p, s, r = (x[1:-1] for x in (W, A, P, S, R))
+    para = lambda t, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    cells = "".join(f"<w:tc>{para(t)}</w:tc>" for t in ("x", "x", "y"))
+    body = para("Rules", "Heading1") + para("one") + para("Part", "Heading2") + para("item", "ListBullet") + f"<w:tbl><w:tr>{cells}</w:tr></w:tbl>"
+    core = '<c xmlns:d="d"><d:creator>Ann</d:creator><d:modified>2024-02-03T00:00:00Z</d:modified></c>'
+    names = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in (("Heading1", "heading 1"), ("Heading2", "Заголовок 2"), ("ListBullet", "List Bullet")))
+    docx = zipped({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>', "word/styles.xml": f'<w:styles xmlns:w="{w}">{names}</w:styles>', "docProps/core.xml": core})
+    shape = lambda t, kind: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
+    space = f'xmlns:p="{p}" xmlns:a="{a}" xmlns:r="{r}"'
+    rel = lambda i, kind, to: f'<Relationships><Relationship Id="{i}" Type="t/{kind}" Target="{to}"/></Relationships>'
+    pptx = zipped({
+        "ppt/presentation.xml": f'<p:x {space}><p:sldIdLst><p:sldId r:id="r1"/></p:sldIdLst></p:x>', "ppt/_rels/presentation.xml.rels": rel("r1", "slide", "slides/s1.xml"),
+        "ppt/slides/s1.xml": f"<p:x {space}>{shape('text', 'body')}{shape('Plan', 'title')}</p:x>", "ppt/slides/_rels/s1.xml.rels": rel("n", "notesSlide", "../notes/n1.xml"),
+        "ppt/notes/n1.xml": f"<p:x {space}>{shape('say it', 'body')}</p:x>",
+    })
+    rows = '<row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>when</t></is></c></row><row/><row><c r="A3"><v>2.0</v></c><c r="B3"><v>2.5</v></c><c r="C3" s="1"><v>45292</v></c></row>'
+    xlsx = zipped({
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rel("r1", "worksheet", "worksheets/s.xml"),
+        "xl/worksheets/s.xml": f'<worksheet xmlns="{s}"><sheetData>{rows}</sheetData></worksheet>', "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>size</t></si></sst>',
+        "xl/styles.xml": f'<styleSheet xmlns="{s}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+    })
+    files = [("a", "docx", docx), ("b", "pptx", pptx), ("c", "xlsx", xlsx), ("d", "docx", b"no"), ("e", "pptx", None), ("f", "text", b"x")]
+    read = office_files(spark.createDataFrame(files, "path string, kind string, content binary"))
+    about = {x["path"]: (x["title"], x["author"], x["doc_date"], x["error"] is None) for x in read.collect()}
+    assert about == {"a": ("Rules", "Ann", "2024-02-03", True), "b": ("Plan", None, None, True), "c": (None, None, None, True), "d": (None, None, None, False), "e": (None, None, None, False)}
+    assert [tuple(x)[2:] for x in office_units(read).orderBy("path", "unit").collect()] == [
+        ("Rules", None, "Rules\none"), ("Rules › Part", None, "Part\n- item\nx | y"), ("Слайд 1: Plan", 1, "Plan\ntext\nЗаметки: say it"), ("Лист «One»", 1, "size | when\nsize: 2; Столбец 2: 2.5; when: 2024-01-01"),
+    ]
+
+
+def test_filters(spark):
+    from lorespark.operators.filters import condition
+
+    rows = [(1, "en", None, '{"a": "2"}', "{}", "{}"), (2, "ru", "2024-01-02", "{}", '{"a": null, "b.c": true}', '{"a": 2}'), (3, None, "2024-02-01", None, "bad", '{"a": "x"}')]
+    df = spark.createDataFrame(rows, "document_id bigint, language string, doc_date string, chunk_metadata string, metadata string, properties string")
+    found = lambda **f: [r[0] for r in df.where(condition(f)).orderBy("document_id").collect()]
+    assert found() == [1, 2, 3] and found(languages=["en"]) == [1] and found(languages=[]) == [1, 2, 3] and found(document_ids=[1, 3]) == [1, 3]
+    assert found(doc_date={"gte": "2024-01-02"}) == [2, 3] and found(doc_date={"lte": "2024-01-31"}) == [2]
+    assert found(metadata={"a": 2}) == [2] and found(metadata={"a": "2"}) == [1] and found(metadata={"a": ["x", 2]}) == [2, 3]
+    assert found(metadata={"b.c": 1}) == [2] and found(metadata={"b.c": True}) == [2] and found(metadata={"a": []}) == []
+    for bad in ({"x": 1}, {"languages": "en"}, {"doc_date": {"eq": 1}}, {"metadata": {"a b": 1}}):
+        with pytest.raises(ValueError):
+            condition(bad)
