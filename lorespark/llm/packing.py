@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 512, 256, 800_000
+CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 512, 256, 600_000
 #: Characters encoded together, about; texts are never split here.
 RUN = 4_000_000
 _tokenizers: dict[str, object] = {}
@@ -31,28 +31,29 @@ def tokenizer(path: str):
 class Ids(dict):
     """Chunk between spaces -> its ids as bytes.  White space never joins two chunks in one token, so texts may be cut there.
 
-    New chunks are encoded many at a time, with a special token between them that the ids are split at again.
+    New chunks are encoded many at a time, with a digit between blanks between them that none of them holds; a digit by
+    itself is one token of its own, so the ids are split at it again.
     """
 
-    def __init__(self, path: str, split: str = "<|startoftext|>", most: int = KNOWN):
+    def __init__(self, path: str, signs: str = "7391", most: int = KNOWN, together: int = 20_000):
         super().__init__()
-        self.t, self.split, self.most = tokenizer(path), split, most
-        self.mark = self.t.token_to_id(split)
-        if self.mark is None:
-            raise ValueError(f"the tokenizer has no token {split}")
+        self.t, self.most, self.together = tokenizer(path), most, together
+        ids = lambda x: self.t.encode(x, add_special_tokens=False).ids
+        self.marks = {x: ids(x)[0] for x in signs if len(ids(x)) == 1 and ids(f"a {x} b") == ids("a") + ids(x) + ids("b")}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        plain = [w for w in words if "<|" not in w]
-        ids = self.t.encode_batch_fast([self.split.join(plain[i : i + 2000]) for i in range(0, len(plain), 2000)], add_special_tokens=False)
         found: dict[str, bytes] = {}
-        for i, e in enumerate(ids):
-            a = np.array(e.ids, np.uint32)
-            parts = np.split(a, np.flatnonzero(a == self.mark))
-            for k, (w, p) in enumerate(zip(plain[i * 2000 : (i + 1) * 2000], parts, strict=True)):
-                found[w] = p[1 if k else 0 :].tobytes()
-        for w in words:
-            if w not in found:
-                found[w] = np.array(self.t.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        left = words
+        for sign, mark in self.marks.items():
+            plain = [w for w in left if sign not in w and "<|" not in w]
+            groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
+            for group, e in zip(groups, self.t.encode_batch_fast([f" {sign} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                a = np.array(e.ids, np.uint32)
+                at, raw = (np.flatnonzero(a == mark) * 4).tolist(), a.tobytes()
+                found.update(zip(group, [raw[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(raw)], strict=True)], strict=True))
+            left = [w for w in left if w not in found]
+        for w in left:
+            found[w] = np.array(self.t.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
         return [found[w] for w in words]
 
     def of(self, words: list[str]) -> list[bytes]:
@@ -71,6 +72,16 @@ class Ids(dict):
         return [take(c) + take(t) if t else take(c) for c, t in zip(cores, tails, strict=True)]
 
 
+_known: dict[str, Ids] = {}
+
+
+def known_ids(path: str) -> Ids:
+    """The chunks that this Python worker has met, kept from task to task."""
+    if path not in _known:
+        _known[path] = Ids(path)
+    return _known[path]
+
+
 def encoded(texts: pa.Array, known: Ids) -> Iterator[np.ndarray]:
     """The ids of each text; null counts as empty."""
     chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
@@ -105,7 +116,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and then ``end``, cut into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Ids(path)
+        known = known_ids(path)
         for b in batches:
             texts = b["text"]
             size = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
