@@ -22,9 +22,11 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
-    "Proprietary": ("All rights reserved. Unauthorized copying of this file is strictly prohibited.",),
+    "Proprietary": ("All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.",),
 }
 TERM, THRESHOLD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*", 0.6
+#: Terms of less than this share of the files weigh alike; else a name or a year beside a notice would weigh more the larger the table.
+RARE = 0.001
 FILES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
@@ -35,19 +37,23 @@ def terms(text: Column) -> Column:
 def scan(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per file of (path, text): path, own, own_score: the best template of any of its lines, or null.
 
-    Lines and templates are bags of terms weighted by tf x idf; idf counts all files.  A line can only reach ``threshold``
-    with a key term of some template, as the other terms carry too little of its length; so only lines that have one are
-    taken apart, and none is lost.  Ties go to the licence first in code-point order.  Null and empty texts have no
-    licence; files that repeat a path count as one with all their lines; extra columns are ignored.
+    Lines and templates are bags of terms weighted by tf x idf; idf counts the files of every term, at least ``RARE`` of
+    all, so at most mean-terms-a-file / ``RARE`` terms need a weight of their own and are broadcast.  A line can only reach
+    ``threshold`` with a key term of some template, as the other terms carry too little of its length; so only lines that
+    have one are taken apart, and none is lost.  Ties go to the licence first in code-point order.  Null and empty texts
+    have no licence; files that repeat a path count as one with all their lines; extra columns are ignored.
     """
     bags = {(name, i): Counter(re.findall(TERM, t.lower())) for name, many in templates.items() for i, t in enumerate(many)}
     vocabulary = sorted({t for b in bags.values() for t in b})
     files = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
-    listed = F.array(*map(F.lit, vocabulary))
-    held = files.select(F.explode(F.array_intersect(F.split(F.lower("text"), r"[^a-z0-9.-]+"), listed)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, df = files.count(), {r["term"]: r["df"] for r in held.collect()}  # as many rows as the templates have terms
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    unknown = math.log(1 + n) + 1
+    n, most = files.groupBy("path").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(0))).first()
+    held = files.select("path", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    held = held if most < 2 else held.distinct()
+    floor = RARE * n
+    common = cut(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") > floor) | F.col("term").isin(vocabulary)))
+    df = {r["term"]: r["df"] for r in common.where(F.col("term").isin(vocabulary)).collect()}  # as many rows as the templates have terms
+    unknown = math.log((1 + n) / (1 + floor)) + 1
+    idf = {t: math.log((1 + n) / (1 + max(df.get(t, 0), floor))) + 1 for t in vocabulary}
     weights, keys = [], set()
     for (name, i), bag in bags.items():
         length = math.sqrt(sum((c * idf[t]) ** 2 for t, c in bag.items()))
@@ -60,11 +66,11 @@ def scan(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
                 keys.add(t)
     spark = files.sparkSession
     table = spark.createDataFrame(weights, "licence string, template int, term string, weight double")
-    rare = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    weighed = common.select("term", (F.log((1 + n) / (1 + F.greatest("df", F.lit(floor)))) + 1).alias("idf"))
     has_key = r"(?i)(?<![a-z0-9])(" + "|".join(re.escape(k) for k in sorted(keys, key=lambda k: (-len(k), k))) + r")(?![a-z0-9])"
     lines = files.where(F.col("text").rlike(has_key)).select("path", F.posexplode(F.split("text", r"\R")).alias("line", "said")).where(F.col("said").rlike(has_key))
     bag = lines.select("path", F.xxhash64("said").alias("said"), F.explode(terms(F.col("said"))).alias("term"), "line").groupBy("path", "line", "said", "term").agg(F.count(F.lit(1)).alias("tf"))
-    bag = cut(bag.join(F.broadcast(rare), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown))))
+    bag = cut(bag.join(F.broadcast(weighed), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown))))
     length = bag.groupBy("path", "line", "said").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     dots = bag.join(F.broadcast(table), "term").groupBy("path", "line", "said", "licence", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     best = dots.join(length, ["path", "line", "said"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= threshold)

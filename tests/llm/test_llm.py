@@ -265,6 +265,32 @@ def test_licences(spark):
     assert licences.licences(df.limit(0)).count() == 0
 
 
+def test_licence_on_small_and_large_tables(spark):
+    """Notices with a name, a year or a file beside them, one in a hundred files each; names are in no other file."""
+
+    def found(n):
+        notice = ("Released under the MIT License. See LICENSE.txt.", "All rights reserved.", "Copyright 1987 Name{}. Released under the MIT License.")
+        rows = [(f"f/{i}", "the words of this file and all of that\nsee under the next" + (" free software" if i % 7 == 0 else "") + ("\n" + notice[i % 100].format(i) if i % 100 < 3 else "")) for i in range(n)]
+        kinds = F.regexp_extract("path", r"(\d+)$", 1).cast("int") % 100
+        got = licences.scan(spark.createDataFrame(rows, "path string, text string").repartition(4)).groupBy(F.least(kinds, F.lit(3)).alias("kind"), "own").count().collect()
+        return {(r["kind"], r["own"]): r["count"] / n for r in got}
+
+    assert found(500) == found(20000) == {(0, "MIT"): 0.01, (1, "Proprietary"): 0.01, (2, "MIT"): 0.01, (3, None): 0.97}
+
+
+def test_licence_weights_count_every_term(spark):
+    """Scores by brute force over all terms, with final dots, a path of two rows and words of no template."""
+    rows = [("a", "Released under the MIT License. See LICENSE.txt."), ("b", "see the house. MIT."), ("b", "see license."), ("c", "License 2.0. under see"), ("d", "see the"), ("e", None)]
+    own = licences.scan(spark.createDataFrame(rows, "path string, text string")).where("path = 'a'").first()
+    files = {}
+    for path, text in rows:
+        files.setdefault(path, set()).update(re.findall(licences.TERM, (text or "").lower()))
+    idf = lambda t: np.log((1 + len(files)) / (1 + sum(t in f for f in files.values()))) + 1
+    line, notice = (re.findall(licences.TERM, t.lower()) for t in (rows[0][1], "Released under the MIT License."))
+    want = np.sqrt(sum(idf(t) ** 2 for t in notice) / sum(idf(t) ** 2 for t in line))
+    assert own["own"] == "MIT" and abs(own["own_score"] - want) < 1e-6
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
