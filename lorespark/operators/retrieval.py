@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_hash, terms
-from ..functions.vectors import bag_of_words, dot
+from ..functions.vectors import BUCKETS, bag_of_words, dot
 
 CANDIDATES, TOP, SAME, K1, B, VECTOR_WEIGHT = 20, 5, 0.97, 1.5, 0.75, 0.6
 
@@ -62,6 +62,27 @@ def collapse(candidates: DataFrame, same: float = SAME) -> DataFrame:
     return listed.select("query_id", F.explode(taken).alias("x")).select("query_id", "x.rank", "x.key")
 
 
+def unit_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, v): the bag-of-words embedding of a bounded table as dense unit vectors."""
+    n = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
+    rows = bag_of_words(docs, key, text).groupBy(key).agg(n.alias("counts"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    every = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    return rows.select(key, F.transform(every, lambda b: F.coalesce(F.try_element_at("counts", b), F.lit(0)) / F.col("length")).alias("v"))
+
+
+def distinct_candidates(docs: DataFrame, best: DataFrame, same: float | None = SAME) -> DataFrame:
+    """rank, doc_id, text, score of the ranked candidates ``best`` (doc_id, score) that :func:`collapse` leaves; with ``same`` None only equal hashes are skipped."""
+    found = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc_id"))
+    ranked = found.withColumn("rank", rank)
+    if same is None:
+        first = F.row_number().over(Window.partitionBy(normalized_hash(F.col("text"))).orderBy("rank"))
+        return ranked.withColumn("turn", first).where("turn = 1").select("rank", "doc_id", "text", "score")
+    ranked = ranked.join(unit_vectors(found), "doc_id")
+    row = F.struct("doc_id", "text", "score").alias("key")
+    return collapse(ranked.select(F.lit(0).alias("query_id"), "rank", row, normalized_hash(F.col("text")).alias("hash"), "v"), same).select("rank", "key.*")
+
+
 def bm25(candidates: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(key, bm25) for each candidate; all statistics are the candidates' own."""
     asked = query.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
@@ -83,14 +104,12 @@ def heuristic(scored: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
     return scored.withColumn("rerank_score", rounded(weight * F.greatest(F.lit(0.0), F.col("score")) + (1 - weight) * lexical))
 
 
-def retrieve(docs: DataFrame, query: DataFrame, method: str = "heuristic", candidate_k: int = CANDIDATES, top_k: int = TOP, threshold: float | None = None) -> DataFrame:
-    """doc_id, score, rerank_score of the ``top_k`` results; texts of equal normalised hash appear once."""
+def retrieve(docs: DataFrame, query: DataFrame, method: str = "heuristic", candidate_k: int = CANDIDATES, top_k: int = TOP, threshold: float | None = None, same: float | None = SAME) -> DataFrame:
+    """doc_id, score, rerank_score of the ``top_k`` results; of texts of equal normalised hash or a product above ``same`` (None: of equal hash only) the best candidate stays."""
     if not 1 <= top_k <= 50 or not top_k <= candidate_k <= 200 or method not in ("none", "heuristic"):
         raise ValueError("top_k is 1 to 50, candidate_k is top_k to 200, method is none or heuristic")
     best = top_candidates(text_scores(docs, query), candidate_k, threshold=threshold)
-    found = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id").withColumn("hash", normalized_hash(F.col("text")))
-    first = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("score"), "doc_id"))
-    found = found.withColumn("turn", first).where("turn = 1").drop("turn", "hash")
+    found = distinct_candidates(docs, best, same)
     if method == "none":
         return found.select("doc_id", "score", F.col("score").alias("rerank_score")).orderBy(F.desc("score"), "doc_id").limit(top_k)
     ranked = heuristic(found.select("doc_id", "score").join(bm25(found, query), "doc_id"))

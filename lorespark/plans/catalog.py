@@ -185,12 +185,12 @@ def cosine_topk(spark, sf_dir):
 
 @query(f"with {COLLAPSED} select doc_id, score, score as rerank_score from f order by score desc, doc_id limit 5")
 def retrieve_none(spark, sf_dir):
-    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), "none")
+    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), "none", same=None)
 
 
 @query(f"with {RERANKED} select doc_id, score, rerank_score from h order by rerank_score desc, score desc, doc_id limit 5")
 def retrieve_heuristic(spark, sf_dir):
-    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), same=None)
 
 
 @query(f"with {RERANKED} select doc_id, round(bm25, 4) + 0.0 as bm25 from b")
@@ -212,6 +212,52 @@ def retrieval_stage_counts(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= 0.3).alias("after_threshold"), F.countDistinct(F.when(F.col("score") >= 0.3, F.col("h"))).alias("after_dedup"))
 
 
+#: Queries with the whole rule; those above skip equal hashes only, as their SQL says.
+DISTINCT = SCORES + rf""",
+r as (select doc_id, score, text, row_number() over (order by score desc, doc_id) as rank, {NORMAL} as h from c join documents using (doc_id)),
+u as (select rank, bucket, n / sqrt(sum(n * n) over (partition by rank)) as x from bag join r using (doc_id)),
+d as (select a.rank as a, b.rank as b, sum(a.x * b.x) as x from u a join u b on a.bucket = b.bucket and a.rank < b.rank group by all),
+near as (select b as rank, list(a) as before from (select a, b from d where x > 0.97 union select a.rank, b.rank from r a join r b on a.h = b.h and a.rank < b.rank) t(a, b) group by b),
+g as (select 0::bigint as rank, []::bigint[] as picked
+      union all select r.rank, case when list_has_any(g.picked, coalesce(near.before, [])) then g.picked else list_append(g.picked, r.rank) end
+      from g join r on r.rank = g.rank + 1 left join near on near.rank = r.rank),
+f as (select doc_id, score, text, rank from r where rank in (select unnest(picked) from g where rank = (select count(*) from r)))"""
+
+
+def _distinct(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    best = retrieval.top_candidates(retrieval.text_scores(docs, _asked(spark, sf_dir)))
+    return best, retrieval.distinct_candidates(docs, best)
+
+
+@query(f"with recursive {DISTINCT} select doc_id, rank::int as rank from f")
+def near_dup_collapse(spark, sf_dir):
+    return _distinct(spark, sf_dir)[1].select("doc_id", "rank")
+
+
+@query(f"with recursive {DISTINCT} select doc_id, score, score as rerank_score from f order by score desc, doc_id limit 5")
+def retrieve_none_collapsed(spark, sf_dir):
+    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), "none")
+
+
+@query(f"with recursive {DISTINCT}{RERANKED.removeprefix(COLLAPSED)} select doc_id, score, rerank_score from h order by rerank_score desc, score desc, doc_id limit 5")
+def retrieve_heuristic_collapsed(spark, sf_dir):
+    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"with recursive {DISTINCT}{RERANKED.removeprefix(COLLAPSED)} select doc_id, round(bm25, 4) + 0.0 as bm25 from b")
+def bm25_collapsed(spark, sf_dir):
+    return retrieval.bm25(_distinct(spark, sf_dir)[1], _asked(spark, sf_dir)).select("doc_id", rounded(F.col("bm25")).alias("bm25"))
+
+
+@query(f"""with recursive {DISTINCT} select (select count(*) from c) as candidates, (select count(*) from c where score >= 0.3) as after_threshold,
+(select count(*) from f where score >= 0.3) as after_dedup""")
+def collapsed_stage_counts(spark, sf_dir):
+    best, left = _distinct(spark, sf_dir)
+    met = best.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= 0.3).alias("after_threshold"))
+    return met.crossJoin(F.broadcast(left.agg(F.count_if(F.col("score") >= 0.3).alias("after_dedup"))))  # one row each; greedy by rank, so the threshold may come last
+
+
 @query("select doc_id, lang, source from documents where lang in ('fr', 'de') and source in ('src1', 'src2', 'src3')")
 def filter_in(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "de") & F.col("source").isin("src1", "src2", "src3")).select("doc_id", "lang", "source")
