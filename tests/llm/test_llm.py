@@ -306,3 +306,34 @@ def test_pipeline(spark):
     packed = p.STAGES[-1][1](spark, last, sf)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert packed.where("start = 0").count() == last.count()
+
+
+@pytest.mark.parametrize("high", [0, 2**63 - 500])
+def test_pipeline_with_null_and_repeated_ids(spark, high):
+    import corpus_pipeline as p
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(7)
+    texts = [" ".join(words(rng, 60)) for _ in range(24)]
+    near = texts[2] + " tail"
+    rows = [(high + i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [(None, " ".join(words(rng, 60)), f"s{i % 3}") for i in range(6)]  # own texts without doc_id
+    rows += [rows[5], rows[5], (high + 5, " ".join(words(rng, 60)), "s1"), (high + 6, texts[7], "s0"), (high + 8, near, "s2")]  # repeated doc_ids
+    rows += [(None, texts[1], "s1"), rows[24]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    stages = dict(p.STAGES)
+    of = lambda df: sorted(map(str, df.collect()))
+    assert of(stages["toxicity"](spark, docs, sf)) == of(docs)  # nothing here is toxic
+    once = stages["exact_dedup"](spark, docs, sf).cache()
+    want = {t for _, t, _ in rows}
+    assert sorted(r["text"] for r in once.collect()) == sorted(want) and {tuple(r) for r in once.collect()} <= set(rows)
+    apart = stages["near_dedup"](spark, docs, sf).cache()
+    left = [r["text"] for r in apart.collect()]
+    assert len(left) == len(set(left)) == len(want) - 1 and want - set(left) < {texts[2], near} and {tuple(r) for r in apart.collect()} <= set(rows)
+    mixed = stages["mixing"](spark, apart, sf).cache()
+    times = {r["text"]: r["count"] for r in mixed.groupBy("text").count().collect()}
+    size = apart.count()
+    assert 1.3 * size < sum(times.values()) <= 2 * size and max(times.values()) <= 2 and set(times) <= want
+    again = stages["mixing"](spark, docs, sf).groupBy("text").count().collect()
+    assert {r["text"]: r["count"] for r in again}[texts[5]] <= 2 * 3 and mixed.where("doc_id is null").count() > 0
+    packed = stages["packing"](spark, mixed, sf)
+    assert packed.where("start = 0").count() == mixed.count() and packed.where("start = 0 and doc_id is null").count() == mixed.where("doc_id is null").count()
