@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 WORDS = re.compile(r"\w+")
 
 
@@ -27,26 +29,43 @@ class Hashed(dict):
         return at
 
 
-def word_set(text: str | None, hashed: Hashed) -> np.ndarray:
-    """Sorted distinct buckets of the distinct words in lower case."""
-    found = set(WORDS.findall((text or "").lower()))
-    return np.unique(np.fromiter(map(hashed.__getitem__, found), np.int32, len(found)))
+def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` for each key of 0..n-1; ``key`` is sorted."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(key):
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out[key[first]] = np.add.reduceat(values, first, 0)
+    return out
 
 
 class Sparse:
-    """Rows of (column, value); products by counting sums."""
+    """Rows of (column, value); products by sums over entries sorted by row, or by column."""
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], width: int):
-        self.shape = len(rows), width
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-        self.col = np.concatenate([*rows, np.zeros(0, np.int32)])
-        self.val = np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self._set(row, np.concatenate([*rows, np.zeros(0, np.int32)]), np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float32), (len(rows), width))
+
+    def _set(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, shape: tuple[int, int]) -> None:
+        self.row, self.col, self.val, self.shape = row, col, val, shape
+        order = np.argsort(col, kind="stable")
+        self.row_by_col, self.col_by_col, self.val_by_col = row[order], col[order], val[order]
+
+    def columns(self, place: np.ndarray, width: int) -> Sparse:
+        """The columns whose ``place`` is 0 or more, at their new places."""
+        out, at = Sparse([], [], width), place[self.col]
+        out._set(self.row[at >= 0], at[at >= 0], self.val[at >= 0], (self.shape[0], width))
+        return out
 
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.shape[0])
+        return _sums(w.take(self.col, 0) * (self.val if w.ndim == 1 else self.val[:, None]), self.row, self.shape[0])
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], self.shape[1])
+        return _sums(g.take(self.row_by_col, 0) * (self.val_by_col if g.ndim == 1 else self.val_by_col[:, None]), self.col_by_col, self.shape[1])
+
+    def squared(self) -> Sparse:
+        out = Sparse([], [], self.shape[1])
+        out._set(self.row, self.col, self.val**2, self.shape)
+        return out
 
 
 class Adam:
@@ -70,7 +89,7 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for b in batches:
+        for b in slices(batches):
             s = score(b["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
@@ -83,11 +102,16 @@ def features_of(texts: DataFrame, keys: list[str], featurise: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurise()
-        for b in batches:
+        for b in slices(batches):
             made = [make(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({k: b[k] for k in keys} | {"col": pa.array([m[0] for m in made], pa.list_(pa.int32())), "val": pa.array([m[1] for m in made], pa.list_(pa.float32()))})
 
-    made = texts.select(*keys, "text").mapInArrow(run, f"{fields}, col array<int>, val array<float>").toArrow()
+    return sample_rows(texts.select(*keys, "text").mapInArrow(run, f"{fields}, col array<int>, val array<float>"), keys)
+
+
+def sample_rows(made: DataFrame, keys: list[str]) -> list:
+    """A bounded sample's rows of (keys, col, val) on the driver, by way of Arrow; sorted, so reruns agree."""
+    made = made.toArrow()
     rows = []
     for b in made.to_batches():
         (cols, at), (vals, _) = ((b[x].values.to_numpy(), b[x].offsets.to_numpy()) for x in ("col", "val"))

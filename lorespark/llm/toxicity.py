@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, smallest_hashes, texts_of
+from .common import in_fold, slices, smallest_hashes, texts_of
 from .textmodel import WORDS, Adam, Sparse, features_of, score_texts, sigmoid
 
 BUCKETS, POSITIVE, UNLABELLED, SEED = 1 << 20, 2500, 5000, 11
@@ -99,14 +99,7 @@ def fit(positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[np.ndarray,
     place = np.full(positive.shape[1], -1)
     place[keep] = np.arange(len(keep))
 
-    def narrow(x: Sparse) -> Sparse:
-        at = place[x.col]
-        rows = [np.zeros(0, np.int32)] * 0
-        out = Sparse(rows, rows, max(1, len(keep)))
-        out.shape = x.shape[0], max(1, len(keep))
-        out.row, out.col, out.val = x.row[at >= 0], at[at >= 0], x.val[at >= 0]
-        return out
-
+    narrow = lambda x: x.columns(place, max(1, len(keep)))
     small, bias = nnpu(narrow(positive), narrow(unlabelled), prior)
     weights = np.zeros(positive.shape[1])
     weights[keep] = small[: len(keep)]
@@ -174,7 +167,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds
 
     def run(batches):
         score = scorer()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(score(b["text"].to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
