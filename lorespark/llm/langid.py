@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, smallest_hashes, texts_of
+from .common import in_fold, slices, smallest_hashes, texts_of
 
-DIM, N, SEED, SAMPLE, BLOCK = 1024, 3, 7, 6000, 400_000
+DIM, N, SEED, SAMPLE, BLOCK, PIECE = 1024, 3, 7, 6000, 400_000, 200_000
 UNKNOWN = "und"
 _letters: dict[int, np.ndarray] = {}
 _is_letter: list[np.ndarray] = []
@@ -45,31 +45,67 @@ def blocks(texts: list[str | None], most: int = BLOCK) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def gram_counts(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, count) of the letters in lower case; whatever lies between two words counts as one space."""
+def _letters_only(text: str) -> np.ndarray:
+    """Code points in lower case, 32 for all that is no letter."""
     if not _is_letter:
         _is_letter.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    joined = "\x00".join(" " + (t or "").replace("\x00", " ").lower() + " " for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    ends = codes == 0
-    codes = np.where(_is_letter[0][codes], codes, 32)
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32) | ends[1:] | ends[:-1]
-    owner = np.cumsum(ends)[keep]
-    codes = np.where(ends, 0, codes)[keep]
-    if len(codes) < n:
-        return (np.zeros(0, np.int64),) * 3
-    size = len(codes) - n + 1
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_is_letter[0][codes], codes, np.uint32(32))
+
+
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """The n-grams of a stream of letters and single spaces; those that hold no letter in their first two places are left out."""
+    size = max(0, len(codes) - n + 1)
     grams = np.zeros(size, np.int64)
-    whole = np.ones(size, bool)
     for place in range(n):
-        part = codes[place : place + size]
-        grams |= part << (21 * place)
-        whole &= part != 0
-    has_letter = (codes[1 : 1 + size] != 32) | (codes[:size] != 32)
-    whole &= has_letter
+        grams |= codes[place : place + size].astype(np.int64) << (21 * place)
+    return grams[(codes[1 : 1 + size] != 32) | (codes[:size] != 32)] if n > 1 else grams[codes[:size] != 32]
+
+
+def text_grams(text: str | None, n: int = N, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, count) of one text, read in pieces of ``piece`` characters whose counts are merged, so its arrays stay small.
+
+    Whatever lies between two words counts as one space; the last n - 1 letters of a piece are carried into the next.
+    """
+    kinds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = text or ""
+    carry, space = np.array([32], np.uint32), True
+    for at in range(0, len(text) + 1, piece):
+        codes = _letters_only(text[at : at + piece] + (" " if at + piece > len(text) else ""))
+        blank = codes == 32
+        codes = codes[~(blank & np.r_[space, blank[:-1]])]
+        space = bool(blank[-1]) if len(blank) else space
+        stream = np.concatenate([carry, codes])
+        carry = stream[max(0, len(stream) - n + 1) :]
+        every = np.concatenate([kinds, new := np.sort(_grams(stream, n))])
+        weight = np.concatenate([counts, np.ones(len(new), np.int64)])
+        kinds, at_kind = np.unique(every, return_inverse=True)
+        counts = np.bincount(at_kind, weight, len(kinds)).astype(np.int64)
+    return kinds, counts
+
+
+def gram_counts(texts: list[str | None], n: int = N, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, count) of the letters in lower case; texts above ``piece`` characters are read in pieces, others together."""
+    if any(len(t or "") > piece for t in texts):
+        parts = [text_grams(t, n, piece) for t in texts]
+        owner = np.repeat(np.arange(len(parts)), [len(g) for g, _ in parts])
+        return owner, np.concatenate([g for g, _ in parts]), np.concatenate([c for _, c in parts])
+    streams = _letters_only("".join(" " + (t or "") + " " for t in texts))
+    size = np.fromiter((len((t or "").lower()) + 2 for t in texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    first = np.zeros(len(streams), bool)
+    first[np.cumsum(size) - size] = True
+    blank = streams == 32
+    keep = ~blank | first
+    keep[1:] |= ~blank[:-1]
+    streams, owner = streams[keep], owner[keep]
+    m = max(0, len(streams) - n + 1)
+    whole = (owner[:m] == owner[n - 1 : n - 1 + m]) & ((streams[1 : 1 + m] != 32) | (streams[:m] != 32))
+    grams = np.zeros(m, np.int64)
+    for place in range(n):
+        grams |= streams[place : place + m].astype(np.int64) << (21 * place)
     kinds, at = np.unique(grams[whole], return_inverse=True)
-    both, count = np.unique(owner[:size][whole] * max(1, len(kinds)) + at, return_counts=True)
+    both, count = np.unique(owner[:m][whole].astype(np.int64) * max(1, len(kinds)) + at, return_counts=True)
     return both // max(1, len(kinds)), kinds[both % max(1, len(kinds))] if len(kinds) else both, count
 
 
@@ -103,7 +139,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, n: int = N, dim: int = DIM,
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             texts, langs = b["text"].to_pylist(), b["known"].to_pylist()
             for i, j in blocks(texts):
                 vectors, _ = bundle(texts[i:j], n, dim)
@@ -131,7 +167,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, n: int = N, d
     table = table.astype(np.float32)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b["text"].to_pylist()
             names, scores = [], []
             for i, j in blocks(texts):
