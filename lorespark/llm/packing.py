@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
-CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 512, 256, 600_000
+CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 512, 256, 200_000
 #: Characters encoded together, about; texts are never split here.
-RUN = 4_000_000
+RUN = 2_000_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -47,8 +47,8 @@ class Ids(dict):
         for sign, mark in self.marks.items():
             plain = [w for w in left if sign not in w and "<|" not in w]
             groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
-            for group, e in zip(groups, self.t.encode_batch_fast([f" {sign} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                a = np.array(e.ids, np.uint32)
+            for group in groups:
+                a = np.array(self.t.encode_batch_fast([f" {sign} ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
                 at, raw = (np.flatnonzero(a == mark) * 4).tolist(), a.tobytes()
                 found.update(zip(group, [raw[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(raw)], strict=True)], strict=True))
             left = [w for w in left if w not in found]
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_ids(path)
-        for b in batches:
+        for b in slices(batches, 16 << 20):
             texts = b["text"]
             size = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
             ends = np.r_[np.flatnonzero(np.diff(size // RUN)) + 1, len(texts)] if len(texts) else []
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window of each item when ``k`` windows are filled by Karmarkar-Karp differencing.
 
-    The items, by falling size, are dealt in rows of ``k``: partial partitions with one item to a window.  The two of
+    Each item begins as a partial partition of its own: one window holds it, the others are empty.  The two partitions of
     greatest imbalance are merged, the fullest windows of the one with the emptiest of the other, until one is left; only
     differences between windows matter, so the smallest is taken off all.  Ties are broken by the order in which
     partitions arose.
@@ -147,26 +147,31 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     n = len(sizes)
     left, right = [-1] * n, [-1] * n
     heap = []
-    order = np.argsort(-sizes, kind="stable")
-    for low in range(0, n, k):
-        row = order[low : low + k]
-        loads, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        loads[: len(row)], nodes[: len(row)] = sizes[row], row
-        loads -= loads.min()
-        heap.append((-int(loads[0]), len(heap), loads, nodes))
+    for count, item in enumerate(np.argsort(-sizes, kind="stable").tolist()):
+        heap.append((-int(sizes[item]) if k > 1 else 0, count, np.array([sizes[item]], np.int64), np.array([item], np.int64)))
     heapq.heapify(heap)
     count = n
     while len(heap) > 1:
         (_, _, a, x), (_, _, b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        loads, y = a + b[::-1], y[::-1]
-        both = np.flatnonzero((x >= 0) & (y >= 0))
-        nodes = np.where(x >= 0, x, y)
-        nodes[both] = np.arange(len(left), len(left) + len(both))
-        left.extend(x[both].tolist())
-        right.extend(y[both].tolist())
+        loads, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)  # a partition holds its filled windows only
+        loads[: len(a)], nodes[: len(a)] = a, x
+        low = k - len(b)
+        meet = np.flatnonzero((nodes[low:] >= 0) & (y[::-1] >= 0)) + low
+        loads[low:] += b[::-1]
+        fresh = np.arange(len(left), len(left) + len(meet))
+        left.extend(nodes[meet].tolist())
+        right.extend(y[k - 1 - meet].tolist())
+        nodes[low:] = np.where(y[::-1] >= 0, y[::-1], nodes[low:])
+        nodes[meet] = fresh
         order = np.argsort(-loads, kind="stable")
-        loads, nodes = loads[order] - loads.min(), nodes[order]
-        heapq.heappush(heap, (-int(loads[0]), count, loads, nodes))
+        loads, nodes = loads[order], nodes[order]
+        used = int((nodes >= 0).sum())
+        if used == k:
+            loads = loads - loads[-1]
+        else:
+            keep = nodes >= 0  # empty windows are the emptiest of all
+            loads, nodes = loads[keep], nodes[keep]
+        heapq.heappush(heap, (-int(loads[0]) if len(loads) else 0, count, loads, nodes))
         count += 1
     window = np.zeros(n, np.int64)
     for w, top in enumerate(heap[0][3].tolist() if heap else ()):
@@ -181,24 +186,31 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Near-equal windows of at most ``capacity``; whenever differencing exceeds it, there is one window more."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """Near-equal windows of at most ``capacity``; whenever differencing exceeds it there are more windows.
+
+    As many more as would bring the fullest window under the capacity, were it to stand as far above the mean again.
+    """
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
     while True:
         window = differencing(sizes, k)
-        if not len(sizes) or np.bincount(window, sizes).max() <= capacity:
+        fullest = np.bincount(window, sizes).max() if len(sizes) else 0
+        if fullest <= capacity:
             return window
-        k += 1
+        above = fullest - total / k
+        k = max(k + 1, int(np.ceil(total / max(1.0, capacity - above))) if above < capacity / 2 else 0)
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY, per_block: int = WINDOWS) -> DataFrame:
     """Add sequence_id and offset to the rows of :func:`pieces`.
 
-    Pieces are dealt by hash into blocks of about ``per_block`` windows, as many as the tokens need, and each block is
-    packed by itself; its loss is at most a window or two.  Pieces of a whole window are sequences already.
+    Pieces are dealt by the hash of their row number, which equal rows don't share, into blocks of about ``per_block``
+    windows, as many as the tokens need; each block is packed by itself, and its loss is a window or two.  Pieces of a
+    whole window are sequences already.  ``made`` is written (:func:`cut`), so that its row numbers stay.
     """
     total = made.agg(F.sum("length")).first()[0] or 0
     n = max(1, -(-int(total) // (capacity * per_block)))
-    block = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(n))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
