@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .textmodel import Adam
 
-K, SAMPLE, PARTS, GRAPH, HIDDEN, EPOCHS, AIM, SEED = 10, 6000, 32, 10, 96, 40, 0.97, 17
+K, SAMPLE, INNER_SAMPLE, ASKED, GRAPH, HIDDEN, EPOCHS, AIM, SEED = 10, 6000, 2000, 200, 10, 96, 40, 0.94, 17
+#: Rows of a partition, about; a level of the router has at most WIDTH parts, so two levels index WIDTH ** 2 * LEAF rows.
+LEAF, WIDTH = 1000, 64
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
 
 
@@ -76,35 +82,54 @@ def classifier(points: np.ndarray, part: np.ndarray, parts: int, hidden: int = H
     return p | {"mean": points.mean(0), "scale": scale}
 
 
-def ranked(points: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
-    """Partitions of each point, most probable first."""
+def log_odds(points: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    """Log probability of each partition for each point."""
     h = np.maximum((points - model["mean"]) / model["scale"] @ model["w1"] + model["b1"], 0)
-    return np.argsort(-(h @ model["w2"] + model["b2"]), 1, kind="stable")
+    z = h @ model["w2"] + model["b2"]
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def fit(sample: np.ndarray, k: int = K, parts: int = PARTS, aim: float = AIM, seed: int = SEED) -> tuple[dict[str, np.ndarray], int]:
-    """The router, and how many partitions a query must look into to find ``aim`` of its neighbours.
+def whole(width: int) -> dict[str, np.ndarray]:
+    """The router that knows one partition only."""
+    return {"w1": np.zeros((width, 1)), "b1": np.zeros(1), "w2": np.zeros((1, 1)), "b2": np.zeros(1), "mean": np.zeros(width), "scale": np.ones(width)}
 
-    The number comes from held-back sample vectors, searched among the others.  They never met the classifier, and a
-    denser table only brings neighbours nearer.
-    """
-    parts = min(parts, 1 << max(0, int(np.log2(max(1, len(sample) // 32)))))
-    held = len(sample) // 10
-    known, test = sample[held:], sample[:held]
-    if parts < 2 or held < 5:
-        mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
-        d = sample.shape[1]
-        return {"w1": np.zeros((d, 1)), "b1": np.zeros(1), "w2": np.zeros((1, 1)), "b2": np.zeros(1), "mean": mean, "scale": np.ones(d)}, 1
-    part = balanced_cut(nearest(known, known, GRAPH, True), known, parts, seed=seed)
-    model = classifier(known, part, parts, seed=seed)
-    true, home = nearest(known, test, k), ranked(known, model)[:, 0]
-    way = ranked(test, model)
-    place = np.argsort(way, 1)  # of each partition in the query's order
-    at = np.take_along_axis(place, home[true], 1)
-    for probes in range(1, parts + 1):
-        if (at < probes).mean() >= aim:
-            break
-    return model, probes
+
+def learned(points: np.ndarray, parts: int, seed: int = SEED) -> dict[str, np.ndarray]:
+    """A router into ``parts`` partitions (a power of two), fewer where ``points`` are too few to tell them apart."""
+    parts = min(parts, 1 << max(0, int(np.log2(max(1, len(points) // 32)))))
+    if parts < 2:
+        return whole(points.shape[1])
+    return classifier(points, balanced_cut(nearest(points, points, GRAPH, True), points, parts, seed=seed), parts, seed=seed)
+
+
+class Router:
+    """One router, or one more below each of its partitions; leaf = partition x ``fan`` + partition below."""
+
+    def __init__(self, top: dict[str, np.ndarray], below: dict[int, dict[str, np.ndarray]] | None = None):
+        self.top, self.below, self.parts = top, below or {}, len(top["b2"])
+        self.fan = max([1, *(len(m["b2"]) for m in self.below.values())])
+
+    def homes(self, points: np.ndarray) -> np.ndarray:
+        part = log_odds(points, self.top).argmax(1) if len(points) else np.zeros(0, int)
+        out = part * self.fan
+        for p, model in self.below.items():
+            own = np.flatnonzero(part == p)
+            if len(own):
+                out[own] += log_odds(points[own], model).argmax(1)
+        return out
+
+    def ways(self, points: np.ndarray, many: int) -> np.ndarray:
+        """The ``many`` most probable leaves of each point."""
+        top = log_odds(points, self.top)
+        every = np.full((len(points), self.parts, self.fan), -np.inf)
+        every[:, :, 0] = top
+        for p, model in self.below.items():
+            every[:, p, : len(model["b2"])] = top[:, p, None] + log_odds(points, model)
+        return np.argsort(-every.reshape(len(points), -1), 1, kind="stable")[:, :many]
+
+    def leaves(self) -> int:
+        return sum(len(self.below[p]["b2"]) if p in self.below else 1 for p in range(self.parts))
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -139,41 +164,119 @@ def block_nearest(q_id: np.ndarray, q: np.ndarray, r_id: np.ndarray, r: np.ndarr
     return flat(out_q, np.int64), flat(out_r, np.int64), flat(out_d, float)
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, parts: int = PARTS, probes: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found, by Euclidean distance, for each of ``queries`` (of the table's form).
+def _vectors(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded sample on the driver, by way of Arrow; sorted, so reruns agree."""
+    got = rows.select("vec_id", "v").toArrow().combine_chunks().sort_by("vec_id")
+    return got["vec_id"].to_numpy(), _matrix(got["v"]).astype(float) if len(got) else np.zeros((0, width))
+
+
+def probes_for(router: Router, rows: DataFrame, asked_id: np.ndarray, asked: np.ndarray, k: int, aim: float) -> int:
+    """How many leaves a query must look into to find ``aim`` of its neighbours, measured on the whole table.
+
+    A bounded set of queries that taught the router nothing meets all rows in one pass: each task keeps its ``k`` nearest
+    rows of each query, with the leaf that holds them.
+    """
+    leaves = router.leaves()
+    if leaves < 2 or not len(asked):
+        return leaves
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_d, best_leaf = np.full((len(asked), k), np.inf), np.full((len(asked), k), -1)
+        for b in batches:
+            if len(b):
+                v = _matrix(b["v"])
+                d = (asked**2).sum(1)[:, None] + (v**2).sum(1) - 2 * asked @ v.T
+                d[asked_id[:, None] == b["vec_id"].to_numpy()] = np.inf
+                d, leaf = np.concatenate([best_d, d], 1), np.concatenate([best_leaf, np.broadcast_to(router.homes(v), d.shape)], 1)
+                at = np.argpartition(d, k - 1, 1)[:, :k]
+                best_d, best_leaf = np.take_along_axis(d, at, 1), np.take_along_axis(leaf, at, 1)
+        q = np.repeat(np.arange(len(asked), dtype=np.int32), k)
+        yield pa.RecordBatch.from_pydict({"q": q, "d": best_d.ravel(), "leaf": best_leaf.ravel().astype(np.int32)})
+
+    near = rows.mapInArrow(run, "q int, d double, leaf int").where("leaf >= 0")
+    turn = F.row_number().over(Window.partitionBy("q").orderBy("d", "leaf"))
+    true = near.withColumn("turn", turn).where(F.col("turn") <= k).select("q", "leaf").collect()  # ASKED x k rows at most
+    if not true:
+        return leaves
+    place = np.argsort(router.ways(asked, router.parts * router.fan), 1)
+    at = np.sort([place[r["q"], r["leaf"]] for r in true])
+    return int(at[max(0, math.ceil(aim * len(at)) - 1)]) + 1
+
+
+def _packed(model: dict[str, np.ndarray]) -> bytes:
+    np.savez(out := io.BytesIO(), **model)
+    return out.getvalue()
 
-    Router and partitions are learned from at most ``sample`` vectors of the commonest dimension (smallest seeded hash);
-    every row of that dimension is indexed under its most probable partition, rows of other dimensions take no part.  A
-    query looks into its ``probes`` most probable partitions (learned, unless given) and ranks all rows there exactly.
-    Partitions are dealt into blocks of about ``block_rows`` rows and ``block_queries`` queries that meet pairwise, so a
-    partition of any size is no large task.  Unusable vectors (see :func:`usable`) take no part; repeated rows are all
-    candidates; an empty table gives no rows; extra columns are ignored.
+
+def learn(rows: DataFrame, width: int, n: int, sample: int = SAMPLE, leaf: int = LEAF, k: int = K, aim: float = AIM) -> tuple[Router, int]:
+    """Router and probes for ``n`` rows (vec_id, v) of ``width`` components, as many leaves as ``leaf`` rows each ask for.
+
+    The upper level is learned from a bounded sample here.  Where it has too few parts, a level below is learned in one
+    task for each of its parts, from about INNER_SAMPLE rows of that part; only the small models come here.
+    """
+    ids, drawn = _vectors(rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample), width)
+    order = np.random.default_rng(SEED).permutation(len(drawn))
+    n_held = min(ASKED, len(drawn) // 10)
+    asked, known = order[:n_held], drawn[order[n_held:]]
+    power = lambda x: 1 << max(0, min(WIDTH.bit_length() - 1, math.ceil(math.log2(max(1.0, x)))))
+    top = learned(known, power(n / leaf))
+    router, parts = Router(top), len(top["b2"])
+    fan = power(n / parts / leaf)
+    if parts > 1 and fan > 1:
+        share = min(1.0, INNER_SAMPLE * parts / n)
+
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    yield pa.RecordBatch.from_pydict({"v": b["v"], "part": pa.array(router.homes(_matrix(b["v"])).astype(np.int32))})
+
+        def train(key: tuple, t: pa.Table) -> pa.Table:
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "model": [_packed(learned(_matrix(t["v"])[: 4 * INNER_SAMPLE], fan))]})
+
+        few = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        made = few.select("v").mapInArrow(routed, "v array<double>, part int").groupBy("part").applyInArrow(train, "part int, model binary").collect()  # WIDTH rows at most
+        router = Router(top, {r["part"]: dict(np.load(io.BytesIO(r["model"]))) for r in made})
+    return router, probes_for(router, rows, ids[asked], drawn[asked], k, aim)
+
+
+def search(table: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, leaf: int = LEAF, probes: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score, probes, leaves: the ``k`` nearest found, by Euclidean distance, for each of ``queries`` (of the table's form).
+
+    A router (see :func:`learn`) is learned from bounded samples of the vectors of the commonest dimension; every row of
+    it is indexed under its most probable leaf.  Leaves grow in number with the rows, so a query reads about ``probes`` x
+    ``leaf`` rows, however large the table.  A query looks into its ``probes`` most probable leaves (learned, unless
+    given) and ranks all rows there exactly.  Distances need equal dimensions: vectors of any other dimension form one
+    leaf for each dimension and are compared with all of their own kind.  Leaves are dealt into blocks of about
+    ``block_rows`` rows and ``block_queries`` queries that meet pairwise, so a leaf of any size is no large task.
+    Unusable vectors (see :func:`usable`) take no part; repeated rows are all candidates; an empty table gives no rows;
+    extra columns are ignored.
     """
     rows, asked = usable(table), usable(queries)
     width = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    width = width["d"] if width else 0
-    rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).collect()
-    model, learned = fit(np.array([r["v"] for r in drawn], float).reshape(len(drawn), width), k, parts)
-    probes = min(probes or learned, len(model["b2"]))
-
-    def routed(many: int):
-        def run(batches):
+    width, n = (width["d"], width["n"]) if width else (0, 0)
+    main = lambda x: x.where(F.size("v") == width)
+    other = lambda x: x.where(F.size("v") != width).select("vec_id", "v", (-F.size("v")).alias("part"))
+    router, aimed = learn(main(rows), width, n, sample, leaf, k) if width else (Router(whole(0)), 1)
+    probes = min(probes or aimed, router.leaves())
+
+    def routed(place):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                order = ranked(_matrix(b["v"]), model)[:, :many].astype(np.int32) if len(b) else np.zeros((0, many), np.int32)
-                yield pa.RecordBatch.from_pydict({"vec_id": b["vec_id"], "v": b["v"], "parts": pa.array(list(order), pa.list_(pa.int32()))})
+                if len(b):
+                    yield pa.RecordBatch.from_pydict({"vec_id": b["vec_id"], "v": b["v"], "parts": pa.array(list(place(_matrix(b["v"])).astype(np.int32)), pa.list_(pa.int32()))})
 
         return run
 
     fields = "vec_id bigint, v array<double>, parts array<int>"
-    homes = cut(rows.mapInArrow(routed(1), fields).select("vec_id", "v", F.col("parts")[0].alias("part")))
-    ways = cut(asked.mapInArrow(routed(probes), fields).select("vec_id", "v", F.explode("parts").alias("part")))
-    blocks_of = lambda x, most, name: {r["part"]: max(1, -(-r["n"] // most)) for r in x.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_rows, n_asked = blocks_of(homes, block_rows, "rows"), blocks_of(ways, block_queries, "queries")  # a row for each partition
-    count = lambda of: F.element_at(F.array(*[F.lit(of.get(p, 1)) for p in range(len(model["b2"]))]), F.col("part") + 1)
-    every = lambda of: F.explode(F.sequence(F.lit(0), count(of) - 1))
-    left = ways.withColumn("t", F.pmod(F.xxhash64("vec_id", F.lit(1)), count(n_asked)).cast("int")).withColumn("s", every(n_rows))
-    right = homes.withColumn("s", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), count(n_rows)).cast("int")).withColumn("t", every(n_asked))
+    homes = main(rows).mapInArrow(routed(lambda x: router.homes(x)[:, None]), fields).select("vec_id", "v", F.col("parts")[0].alias("part"))
+    ways = main(asked).mapInArrow(routed(lambda x: router.ways(x, probes)), fields).select("vec_id", "v", F.explode("parts").alias("part"))
+    homes, ways = cut(homes.unionByName(other(rows))), cut(ways.unionByName(other(asked)))
+    blocks = lambda x, most, name: x.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    size = blocks(homes, block_rows, "n_rows").join(blocks(ways, block_queries, "n_asked"), "part")  # a row for each leaf that is asked
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = ways.join(size, "part").withColumn("t", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("n_asked")).cast("int")).withColumn("s", every("n_rows"))
+    right = homes.withColumn("row", F.monotonically_increasing_id()).join(size, "part")
+    right = right.withColumn("s", F.pmod(F.xxhash64("row"), F.col("n_rows")).cast("int")).withColumn("t", every("n_asked"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
@@ -182,7 +285,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPL
             found = block_nearest(a["vec_id"].to_numpy(), _matrix(a["v"]), b["vec_id"].to_numpy(), _matrix(b["v"]), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    key = ["part", "s", "t"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    key, kept = ["part", "s", "t"], ["vec_id", "v", "part", "s", "t"]
+    near = left.select(kept).groupBy(*key).cogroup(right.select(kept).groupBy(*key)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", turn.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = near.withColumn("rank", turn.cast("int")).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score", F.lit(probes).alias("probes"), F.lit(router.leaves()).alias("leaves"))
