@@ -24,12 +24,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a folder for each source and 400 ids; one in twenty is that folder's licence file."""
+    """Documents as files: a folder for each source and 400 ids; one in twenty is that folder's licence file.
+
+    One row per document; documents that repeat an id, or have none, are one file and have its result.
+    """
     doc_id = F.col("doc_id")
     name = F.concat(F.when((doc_id / 20).cast("bigint") % 20 == 0, "LICENSE.").otherwise("file."), doc_id.cast("string"))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), (doc_id / 400).cast("bigint").cast("string"), name)
-    found = licences.licences(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
-    return found.withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("bigint"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce((doc_id / 400).cast("bigint").cast("string"), F.lit("none")), F.coalesce(name, F.lit("file")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return docs.select("doc_id", "path").join(licences.licences(docs), "path")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=["n_chars"])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
