@@ -10,10 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 SHINGLE, PERCENT, PERMUTATIONS, ROWS, SEED, KNOWN = 4, 80, 64, 4, 5, 300_000
-BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 2000, 2_000_000, 1_000_000
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, HOT = 2000, 2_000_000, 1_000_000, 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +69,7 @@ def sketches(docs: DataFrame, width: int, permutations: int, rows: int, seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, keys = [], [], []
             for t in batch["text"].to_pylist():
                 s = shingle_set(t, known, width)
@@ -84,23 +84,40 @@ def sketches(docs: DataFrame, width: int, permutations: int, rows: int, seed: in
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, known, width) for t in batch["text"].to_pylist()]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "set_id": pa.array(ids, pa.binary()), "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "set_id": pa.array(ids, pa.binary()), "members": pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))})
 
     return docs.mapInArrow(run, "doc_id bigint, set_id binary, members array<bigint>")
 
 
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key) of more than a thousandth of ``total`` rows each, so a thousand at most, whatever the table."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(HOT, total / 1000)).select(key)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (one small row a key); rows of ``hot`` keys stay where they are and get theirs by broadcast."""
+    marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    spread = marked.where("is_hot").drop("is_hot").join(few, key)
+    return spread.unionByName(marked.where("is_hot is null").drop("is_hot").join(table, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): the smallest node reachable.  Large stars and small stars by turns, written each round."""
+    """(node, root) of every node of ``edges`` (a, b): the smallest node reachable.
+
+    Large stars and small stars by turns, written each round; nodes with very many edges are looked up by broadcast.
+    """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     print_of = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     last = print_of(e)
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        many = least.where(F.col("k") > max(HOT, 2 * last[0] / 1000)).select("u")
+        large = looked_up(both.where("v > u"), least.select("u", "m"), "u", many).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
@@ -161,6 +178,37 @@ def _between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("group", "s", "t").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on their full sets.
+
+    ``pairs`` is (leader a, follower b, n of b).  Followers are dealt into tasks of about BLOCK_SHINGLES shingles, and a
+    leader's set goes once to each task that holds some of its followers, not once to each follower.
+    """
+    count, shingles = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, -(-int(shingles) // BLOCK_SHINGLES), -(-count // (10 * BLOCK)))
+    hot = hot_keys(pairs, "a", count).withColumn("hot", F.lit(True))
+    apart = F.when(F.col("hot"), F.xxhash64("a", "b")).otherwise(F.xxhash64("a"))
+    dealt = cut(pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(apart, F.lit(tasks)).cast("int").alias("task")))
+    leaders = dealt.select("a", "task").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("task", "a", F.lit(None).cast("bigint").alias("b"), "members")
+    followers = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("task", "a", "b", "members")
+
+    def run(t: pa.Table) -> pa.Table:
+        a, leads, members = t["a"].to_numpy(), t["b"].is_null().to_numpy(), t["members"].combine_chunks()
+        b = t["b"].fill_null(0).to_numpy()
+        flat, at = members.values.to_numpy(zero_copy_only=False), members.offsets.to_numpy()
+        of = {int(a[i]): flat[at[i] : at[i + 1]] for i in np.flatnonzero(leads)}
+        found = []
+        for i in np.flatnonzero(~leads):
+            x, y = of[int(a[i])], flat[at[i] : at[i + 1]]
+            place = np.searchsorted(x, y)
+            common = int((x.take(place, mode="clip") == y).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                found.append(i)
+        return pa.table({"a": a[found], "b": b[found]})
+
+    return leaders.unionByName(followers).groupBy("task").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -191,16 +239,11 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, pe
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = cut(full_sets(texts, width).join(named, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "members"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-        return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-
     fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)  # noqa: E731  no pair of other sizes can be that similar
     sized = in_bucket.select(F.col("rep").alias("leader"), F.col("n").alias("leader_n"))
     first = member.where("rep <> leader").select("rep", "n", "leader").distinct().join(sized, "leader").where(fits(F.col("n"), F.col("leader_n")))
-    tried = cut(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(confirmed(tried))
+    tried = cut(first.select(F.col("leader").alias("a"), F.col("rep").alias("b"), "n").distinct())
+    links = cut(_confirmed(tried, sets, percent))
     roots = components(links)
     placed = member.select("key", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
