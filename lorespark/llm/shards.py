@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SHARDS, ROUNDS, LUCK, SEED, ROWS_PER_BUCKET = 16, 6, 1024, 3, 50_000
+SHARDS, ROUNDS, LUCK, SEED, ROWS_PER_BUCKET, HOT = 16, 6, 1024, 3, 50_000, 1000
 
 
-def propagate(nodes: DataFrame, cap: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, hot: DataFrame, cap: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Move linked documents (doc_id, size, group, shard, weight of group) to their neighbours' shards.
 
     In each round a group wants the shard, of those that still have room, that holds most of its bytes.  Those who want to
     move queue up in seeded order, groups as a whole, and documents one by one where a group is large against a shard;
     of the queue as much moves as the shard's quota has room for.  Documents in full shards stay, so a group that no
-    shard can hold fills one after another.  All that leaves the executors is the load of each shard.
+    shard can hold fills one after another.  All that leaves the executors is the load of each shard.  ``hot`` has the
+    groups of more than a thousandth of all rows, so a thousand at most: their rows are told by broadcast where to go.
     """
     big = F.col("group_bytes") > cap / 16
     turn = F.pmod(F.when(big, F.xxhash64("doc_id", F.lit(SEED))).otherwise(F.xxhash64("group", F.lit(SEED))), F.lit(LUCK)).cast("int")
-    nodes = cut(nodes.withColumn("turn", turn))
+    nodes = cut(nodes.withColumn("turn", turn).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "group", "left").fillna({"hot": False}))
     for _ in range(rounds):
         load = {r["shard"]: r["b"] for r in nodes.groupBy("shard").agg(F.sum("size").alias("b")).collect()}  # at most one row for each shard
         room = [max(0.0, cap - load.get(s, 0)) for s in range(shards)]
@@ -29,7 +30,9 @@ def propagate(nodes: DataFrame, cap: float, shards: int = SHARDS, rounds: int =
             break
         cells = nodes.where(F.col("shard").isin(free)).groupBy("group", "shard").agg(F.sum("size").alias("b"))
         wish = cells.groupBy("group").agg(F.max_by("shard", F.struct("b", -F.col("shard"))).alias("wish"), F.count(F.lit(1)).alias("cells")).where("cells > 1")
-        asked = nodes.join(wish.select("group", "wish"), "group", "left").withColumn("asks", F.coalesce(F.col("shard").isin(free) & (F.col("wish") != F.col("shard")), F.lit(False)))
+        wish = cut(wish.select("group", "wish"))
+        large = nodes.where("hot").join(F.broadcast(wish.join(F.broadcast(hot), "group", "left_semi")), "group", "left")
+        asked = large.unionByName(nodes.where("not hot").join(wish, "group", "left")).withColumn("asks", F.coalesce(F.col("shard").isin(free) & (F.col("wish") != F.col("shard")), F.lit(False)))
         queue = asked.where("asks").groupBy("wish", "turn").agg(F.sum("size").alias("b"))
         upto = F.sum("b").over(Window.partitionBy("wish").orderBy("turn"))
         space = F.element_at(F.array(*map(F.lit, room)), F.col("wish") + 1)
@@ -62,15 +65,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, rows_per_
     n, total = base.agg(F.count(F.lit(1)), F.sum("size")).first()
     cap = (total or 0) / shards
     base = base.withColumn("group", F.xxhash64("h", "text_crc32", "size")).drop("h")
-    groups = base.groupBy("group").agg(F.sum("size").alias("group_bytes"), F.count(F.lit(1)).alias("members")).where("members > 1").select("group", "group_bytes")
-    linked = base.join(groups, "group").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(shards)).cast("int"))
-    linked = propagate(linked.select("doc_id", "size", "text_crc32", "group", "group_bytes", "shard"), cap, shards, rounds)
+    groups = base.groupBy("group").agg(F.sum("size").alias("group_bytes"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = cut(groups)
+    hot = groups.where(F.col("members") > max(HOT, (n or 0) / 1000)).select("group")
+    told = groups.select("group", "group_bytes")
+    few = base.join(F.broadcast(told.join(F.broadcast(hot), "group", "left_semi")), "group")
+    rest = base.join(F.broadcast(hot), "group", "left_anti")
+    linked = few.unionByName(rest.join(told.join(F.broadcast(hot), "group", "left_anti"), "group")).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(shards)).cast("int"))
+    linked = propagate(linked.select("doc_id", "size", "text_crc32", "group", "group_bytes", "shard"), hot, cap, shards, rounds)
     # What a shard holds beyond its quota goes back to the pool.
     over = linked.groupBy("shard", "turn").agg(F.sum("size").alias("b")).withColumn("upto", F.sum("b").over(Window.partitionBy("shard").orderBy("turn")))
     over = over.where(F.col("upto") > cap).select(F.col("shard").alias("s"), F.col("turn").alias("t"))
     linked = cut(linked.join(F.broadcast(over), (F.col("shard") == F.col("s")) & (F.col("turn") == F.col("t")), "left"))
     held = linked.where("s is null").select("doc_id", "size", "text_crc32", "shard")
-    singles = base.join(groups, "group", "left_anti").select("doc_id", "size", "text_crc32")
+    singles = rest.join(groups, "group", "left_anti").select("doc_id", "size", "text_crc32")
     pool = singles.unionByName(linked.where("s is not null").select("doc_id", "size", "text_crc32"))
     load = {r["shard"]: r["b"] for r in held.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     ends, at = [], 0.0
