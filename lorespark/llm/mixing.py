@@ -30,7 +30,8 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFram
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     free = live.withColumn("level", F.when(level <= F.col("full_at"), level))
-    return free.withColumn("level", F.first("level", ignorenulls=True).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn(
+    first = F.min_by("level", F.when(F.col("level").isNotNull(), F.struct("full_at", F.col("source").isNull(), "source"))).over(Window.partitionBy())
+    return free.withColumn("level", first).withColumn(
         "target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.when(F.col("weight") > 0, F.col("cap")), F.lit(0.0))
     ).drop("cap", "full_at", "level")
 
@@ -93,5 +94,5 @@ select doc_id, source, size, source_size, target, cast(whole + (extra > 0 and ru
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with the columns of ``docs``; doc_ids are unique in both."""
     taken = mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.col("copies").cast("int").alias("mixed_copies"))
-    back = docs.join(taken.hint("shuffle_hash"), docs["doc_id"] == F.col("mixed_id"))
+    back = docs.join(taken, docs["doc_id"] == F.col("mixed_id"))
     return back.withColumn("mixed_turn", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])
