@@ -1,5 +1,6 @@
 """The training-data operators on small tables: brute force, round trips, and every odd row."""
 
+import itertools
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, exact_dedup, langid, licences, minmax, mixing, packing, quality, shards, toxicity
+from lorespark.llm import ann, exact_dedup, langid, licences, minmax, mixing, packing, quality, shards, textmodel, toxicity
 from lorespark.llm.queries import tokenizer_path
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, kept string, size string, n int, bucket string, shard string, rep int"
@@ -88,12 +89,110 @@ def test_toxicity_learns_from_the_whole_sample(spark, monkeypatch):
     assert seen == [(2500, 5000)]
 
 
+def test_language_by_brute_force(spark, docs):
+    """Binding, bundling and cosine written out gram by gram."""
+
+    def vector(text):
+        codes, total = " ", {}
+        for c in (text or "").lower() + " ":
+            codes += c if c.isalpha() else "" if codes[-1] == " " else " "
+        for i in range(len(codes) - 2):
+            if codes[i : i + 2].strip():
+                total[codes[i : i + 3]] = total.get(codes[i : i + 3], 0) + 1
+        out = np.zeros(langid.DIM)
+        for g, n in total.items():
+            bound = np.ones(langid.DIM)
+            for place, c in enumerate(g):
+                bound = bound * np.roll(langid.letter(ord(c)), place)
+            out += np.sqrt(n) * bound
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    rows = [r for r in docs.dropDuplicates(["doc_id"]).collect() if r["doc_id"] is not None]
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1
+    prototypes = {}
+    for r in rows:
+        if r["lang"] and not held(r):
+            prototypes[r["lang"]] = prototypes.get(r["lang"], 0) + vector(r["text"])
+    unique = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id bigint, text string, lang string")
+    for r in langid.language_id(unique).join(unique.select("doc_id", "text"), "doc_id").collect():
+        cos = {k: vector(r["text"]) @ v / np.linalg.norm(v) for k, v in prototypes.items()}
+        best = min(cos, key=lambda k: (-cos[k], k))
+        if r["lang_pred"] != "und":
+            assert r["lang_pred"] == best and abs(r["score"] - max(0, cos[best])) < 1e-4
+
+
+def test_language_of_very_long_texts(spark):
+    """Pieces give the counts of the whole; ties go to the first language."""
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdé-1 ", k=rng.randrange(1, 9))) for _ in range(2000))
+    for piece in (5, 64, 10**9):
+        kinds, counts = langid.text_grams(text, 3, piece)
+        assert np.array_equal(kinds, langid.gram_counts([text], 3, 10**9)[1]) and np.array_equal(counts, langid.gram_counts([text], 3, 10**9)[2])
+    long = spark.createDataFrame([(1, "xu za qe " * 700_000), (2, "ba de ki")], "doc_id bigint, text string").withColumn("held_out", F.lit(False))
+    langs, table = ["aa", "bb"], langid._unit(langid.bundle(["ba de ki lo", "xu za qe wy"])[0])
+    assert [r["lang_pred"] for r in langid.identify(long, langs, table).orderBy("doc_id").collect()] == ["bb", "aa"]
+    assert {r["lang_pred"] for r in langid.identify(long, ["aa", "zz"], table[[0, 0]]).collect()} == {"aa"}
+
+
+def test_toxicity_scores_by_brute_force(spark, docs):
+    weights = np.random.default_rng(0).normal(size=512) * (np.arange(512) % 3 == 0)
+    rows = docs.select("doc_id", "text").withColumn("held_out", F.lit(False))
+    for r in toxicity.score(rows, weights, -0.5).join(rows.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").where("doc_id < 60").collect():
+        found = re.findall(r"\w+", (r["text"] or "").lower())
+        z = sum(weights[zlib.crc32(x.encode()) % 512] for w in found for x in [w, *("^" + w[:k] for k in (4, 5, 6, 7) if len(w) >= k)])
+        want = 1 / (1 + np.exp(0.5 - toxicity.SCALE * z / np.sqrt(max(1, len(found)))))
+        assert abs(r["score"] - want) < 1e-6
+
+
+def test_nnpu_falls_below_no_risk():
+    """The estimate of the hidden negatives' risk stays near nought or above, where the plain estimator runs far below."""
+    rng = np.random.default_rng(1)
+    make = lambda n, shift: textmodel.Sparse([np.arange(40, dtype=np.int32)] * n, list(rng.normal(shift, 1, (n, 40)).astype(np.float32)), 40)
+    pos, unl, prior = make(30, 0.2), make(60, 0.0), 0.4
+    w, b = toxicity.nnpu(pos, unl, prior)
+    loss = lambda z: textmodel.sigmoid(z)  # noqa: E731  sigmoid loss of calling it positive
+    assert loss(unl @ w + b).mean() - prior * loss(pos @ w + b).mean() > -0.1 and loss(pos @ w + b).mean() > 0.5
+
+
+def test_labels_of_one_class(spark, docs, labels):
+    ones = labels.withColumns({"quality": F.lit(1), "toxic": F.lit(1)})
+    assert quality.quality(docs, ones).agg(F.min("predicted")).first()[0] == 1
+    assert toxicity.toxicity(docs, ones).count() == docs.count()
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(0)
     m = {"w": rng.normal(size=9), "v": rng.normal(size=(9, 3)), "b": np.array(0.3)}
-    col, val = np.array([1, 4, 7]), rng.normal(size=3)
-    pairs = sum(m["v"][col[i]] @ m["v"][col[j]] * val[i] * val[j] for i in range(3) for j in range(i))
-    assert np.isclose(quality.fm_score(col, val, m), 0.3 + m["w"][col] @ val + pairs)
+    row, col, val = np.array([0, 0, 0, 2, 2]), np.array([1, 4, 7, 0, 4]), rng.normal(size=5)
+    got = quality.fm_scores(row, col, val, 3, m)
+    for r in range(3):
+        own = np.flatnonzero(row == r)
+        pairs = sum(m["v"][col[i]] @ m["v"][col[j]] * val[i] * val[j] for i in own for j in own if i < j)
+        assert np.isclose(got[r], 0.3 + m["w"][col[own]] @ val[own] + pairs)
+
+
+def test_structure_by_brute_force(docs):
+    texts = [r["text"] or "" for r in docs.collect()] + ["A b!\n\nC|d? 12\n  \n x_y ~", "\n", "é Ωß\tZ.\n- q"]
+    got = quality.structure(texts)
+    for t, g in zip(texts, got, strict=True):
+        ws, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if x.strip(" \t\v\f\r")]
+        n, k, m, letters = max(1, len(t)), max(1, len(ws)), max(1, len(lines)), sum(c.isalpha() for c in t)
+        longest = max(map(len, ws), default=0)
+        want = [
+            letters / n, sum(c.isupper() and ord(c) < 0x250 for c in t) / max(1, letters), sum(c.isdecimal() for c in t) / n, len(re.findall(r"[^\w\s]", t)) / n,
+            t.count("|") * 8 / n, (t.count("!") + t.count("?")) * 8 / n, sum(map(t.count, "#$%&*<>{}[]\\^~_=+@/")) * 8 / n, letters / k / 16, n / m / 1000,
+            sum(w[-1] not in ".,!?;:" and not w[-1].isalpha() and not w[-1].isdecimal() for w in ws) / k, np.log1p(len(ws)) / 16,
+            sum(x.rstrip(" \t\v\f\r")[-1] in ".!?" for x in lines) / m, longest / (50 + longest),
+        ]
+        assert np.allclose(g, np.minimum(1, want)), (t[:40], g, want)
+
+
+def test_quality_learns_from_metadata(spark):
+    rows = [(i, "the same words", 10 if i % 2 else 100_000, None if i % 7 == 0 else "k" + str(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, kind string")
+    marks = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    wrong = lambda names: quality.quality(df, marks, metadata=names).where("held_out and predicted <> doc_id % 2").count()
+    assert wrong(["n_chars"]) == 0 and wrong(["n_chars", "kind"]) == 0 and wrong([]) > 20
 
 
 def normal(t):
@@ -133,12 +232,36 @@ def test_packing(docs, empty):
     assert packing.packed(empty, tokenizer_path()).count() == 0
 
 
-def test_differencing_is_even():
+def test_differencing():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 500, 300)
     load = np.bincount(packing.differencing(sizes, 40), sizes, 40)
     assert load.sum() == sizes.sum() and load.max() - load.min() < 40
     assert np.bincount(packing.windows(np.array([1500, 1500, 1000])), [1500, 1500, 1000]).max() <= 2048
+    assert packing.windows(np.zeros(0, int)).tolist() == [] and packing.differencing(np.array([3, 2, 1]), 1).tolist() == [0, 0, 0]
+
+
+def test_differencing_against_the_book_and_the_best():
+    """Two windows: the largest two differ by their difference, and so on; three windows: never far from the best of all ways."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        sizes = rng.integers(1, 60, 8)
+        left = sorted(sizes.tolist())
+        while len(left) > 1:
+            left = sorted([*left[:-2], left[-1] - left[-2]])
+        load = np.bincount(packing.differencing(sizes, 2), sizes, 2)
+        assert load.max() - load.min() == left[0]
+        load = np.bincount(packing.differencing(sizes, 3), sizes, 3)
+        best = min(max(np.bincount(w, sizes, 3)) for w in itertools.product(range(3), repeat=8))
+        assert best <= load.max() <= best + 12
+
+
+def test_equal_rows_spread_over_all_blocks(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same few words again").alias("text")).repartition(4)
+    got = packing.packed(rows, tokenizer_path(), per_block=4)
+    blocks = [r[0] for r in got.groupBy((F.col("sequence_id") / (1 << 24)).cast("int")).count().select("count").collect()]
+    assert sum(blocks) == 20_000 and len(blocks) >= 12 and max(blocks) < 1.3 * min(blocks)
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
 def test_mixing(docs, empty):
@@ -234,6 +357,43 @@ def test_sharding_keeps_groups(spark):
     assert got.where("doc_id >= 9000").select("shard").distinct().count() <= 5
 
 
+def test_sharding_cuts_fewer_links_than_hashing(spark):
+    """Pairs of equal texts in different shards, counted against placement by hash."""
+    rng = random.Random(9)
+    rows = [(i, f"group {rng.randrange(200)} " + "t" * 50) for i in range(3000)] + [(5000 + i, f"single {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["shard"] for r in shards.shard(df, shards=8).collect()}
+    by = {}
+    for i, t in rows:
+        by.setdefault(t, []).append(i)
+    cut = lambda place: sum(place(a) != place(b) for own in by.values() for k, a in enumerate(own) for b in own[:k])
+    assert cut(got.get) < 0.3 * cut(lambda i: zlib.crc32(str(i).encode()) % 8)
+
+
+@pytest.mark.parametrize("leaf", [400, 40])
+def test_search_with_a_small_sample(spark, leaf):
+    """One and two levels learned from 600 of 8000 clustered vectors: nine in ten found in well under half of the leaves."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(80, 16))[rng.integers(0, 80, 8000)] * 2 + rng.normal(size=(8000, 16)) * 0.6
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(4)
+    found = {}
+    for r in (got := ann.search(df, df.where("vec_id % 100 = 0"), sample=600, leaf=leaf).collect()):
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = sum(len(found[q] & set(np.argsort(((v - v[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, 8000, 100))
+    assert hit >= 0.9 * 800 and got[0]["probes"] < 0.4 * got[0]["leaves"] and got[0]["leaves"] >= (100 if leaf == 40 else 8)
+
+
+def test_search_of_several_dimensions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8 if i % 3 else 5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 100 = 0"), k=3).collect()
+    assert {r["query_id"] for r in got} == {0, 100, 200, 300, 400, 500}
+    for q in (0, 300):  # of the rarer dimension: exact, and among themselves
+        near = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, rows[q][1])))), i) for i, v in rows if len(v) == 5 and i != q)[:3]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in near]
+
+
 def test_search(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(3000, 16)) + rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] * 2
@@ -268,11 +428,58 @@ def test_licences(spark):
     got = {r["path"]: (r["licence"], r["how"], r["from_folder"]) for r in licences.licences(df).collect()}
     assert got == {
         "a/LICENSE": ("MIT", "file", None), "a/x/one.txt": ("MIT", "inherited", "a"), "a/x/two.txt": ("Apache-2.0", "header", None), "a/b/COPYING": ("GPL-3.0", "file", None),
-        "a/b/c/three": ("GPL-3.0", "inherited", "a/b"), "d/four": (None, "none", None), "d/five": (None, "none", None), "d/six": (None, "none", None), "e": ("CC-BY-NC-4.0", "header", None),
+        "a/b/c/three": ("GPL-3.0", "inherited", "a/b"), "d/four": (None, "none", None), "d/five": (None, "none", None), "d/six": (None, "none", None), None: ("MIT", "header", None), "e": ("CC-BY-NC-4.0", "header", None),
     }
     assert licences.licences(df.limit(0)).count() == 0
 
 
+def test_licence_files_and_ties(spark):
+    """Titles over two lines, whole texts, comment signs, a null path, and ties to the first name."""
+    title = "          GNU GENERAL PUBLIC LICENSE\n             {}\n\n Copyright (C) Free Software Foundation\n\n  The licenses for most software are made to share."
+    rows = [(f"z/{i}", "the words of this file and all of that see under the next") for i in range(100)]
+    rows += [("g3/COPYING", title.format("Version 3, 29 June 2007")), ("g2/COPYING", title.format("Version 2, June 1991")), ("i/LICENSE", f"Copyright 2020 Ann\n\n{licences._ISC}\n\n{licences._ISC_WARRANTY}")]
+    rows += [("m/LICENSE", "Mozilla Public License Version 2.0\n====\n\n1. Definitions"), ("t/LICENSE", licences._MIT.replace(", ", ",\n") + "\n\n" + licences._MIT_NOTICE + "\n\n" + licences._WARRANTY)]
+    rows += [("b/LICENSE", f"{licences._BSD}\n{licences._BSD_WARRANTY}"), ("a/A.java", "/*\n * " + licences._APACHE.replace(". ", ".\n * ") + "\n */"), (None, "Released under the MIT License."), (None, "Nothing.")]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    got = {r["path"]: (r["licence"], r["how"]) for r in licences.licences(df).where("path is null or path not like 'z/%'").collect()}
+    assert got == {"g3/COPYING": ("GPL-3.0", "file"), "g2/COPYING": ("GPL-2.0", "file"), "i/LICENSE": ("ISC", "file"), "m/LICENSE": ("MPL-2.0", "file"), "t/LICENSE": ("MIT", "file"), "b/LICENSE": ("BSD-2-Clause", "file"), "a/A.java": ("Apache-2.0", "header"), None: ("MIT", "header")}
+    tied = {"CC-B": ("free as a bird",), "CC-A": ("free as a bird",), "B": ("another notice",)}
+    assert licences.scan(spark.createDataFrame([("x", "free as a bird")], "path string, text string"), tied).first()["own"] == "CC-A"
+
+
+def test_licence_scores_by_brute_force(spark):
+    """The best cosine over all passages and templates."""
+    rng = random.Random(10)
+    said = [t for many in licences.TEMPLATES.values() for t in many]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rng.sample(rng.choice(said).split() + words(rng, 9), k=8)) for _ in range(rng.randrange(1, 5))] + ([rng.choice(said)] if i % 3 == 0 else [])
+        rows.append((f"f/{i}", rng.choice(["\n", "\n\n"]).join(lines)))
+    n, of = len(rows), lambda t: re.findall(licences.TERM, t.lower())
+    df = {}
+    for _, t in rows:
+        for x in set(of(t)):
+            df[x] = df.get(x, 0) + 1
+
+    def bag(t):
+        made = {}
+        for x in of(t):
+            made[x] = made.get(x, 0) + np.log((1 + n) / (1 + max(df.get(x, 0), licences.RARE * n))) + 1
+        size = np.sqrt(sum(v * v for v in made.values()))
+        return {k: v / size for k, v in made.items()}
+
+    templates = [(name, bag(t)) for name, many in licences.TEMPLATES.items() for t in many]
+    got = {r["path"]: r for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, t in rows:
+        lines = [x for x in t.split("\n") if re.search("[A-Za-z0-9]", x)]
+        best = []
+        for p in {*lines, *(f"{a} {b}" for a, b in zip(lines, lines[1:])), *re.split(r"\n\s*\n", t), t}:
+            own = bag(p)
+            best += [(-round(sum(w * own.get(k, 0) for k, w in b.items()), 6), name) for name, b in templates]
+        score, name = min(best)
+        assert got[path]["own"] == (name if -score >= licences.THRESHOLD else None) or abs(-score - licences.THRESHOLD) < 1e-5, (path, score, name, got[path])
+
+
 def test_licence_on_small_and_large_tables(spark):
     """Notices with a name, a year or a file beside them, one in a hundred files each; names are in no other file."""
 
