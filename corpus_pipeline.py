@@ -46,8 +46,8 @@ def _own(keyed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (see :func:`_keyed`) that stay; the small side is hashed, so texts are dealt out but never sorted."""
-    return docs.join(kept.where("kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    """Rows of ``docs`` (see :func:`_keyed`) that stay; keys are unique, so the one shuffle of the texts has no large group."""
+    return docs.join(kept.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
