@@ -50,12 +50,6 @@ class Sparse:
         order = np.argsort(col, kind="stable")
         self.row_by_col, self.col_by_col, self.val_by_col = row[order], col[order], val[order]
 
-    def columns(self, place: np.ndarray, width: int) -> Sparse:
-        """The columns whose ``place`` is 0 or more, at their new places."""
-        out, at = Sparse([], [], width), place[self.col]
-        out._set(self.row[at >= 0], at[at >= 0], self.val[at >= 0], (self.shape[0], width))
-        return out
-
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
         return _sums(w.take(self.col, 0) * (self.val if w.ndim == 1 else self.val[:, None]), self.row, self.shape[0])
 
@@ -96,8 +90,8 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarra
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def features_of(texts: DataFrame, keys: list[str], featurise: Callable[[], Callable[[str | None], tuple[np.ndarray, np.ndarray]]]) -> list:
-    """(keys, columns, values) of a bounded sample's rows, worked out on the executors; sorted, so reruns agree."""
+def features_of(texts: DataFrame, keys: list[str], featurise: Callable[[], Callable[[str | None], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(keys, col, val) of the texts: columns and values of each."""
     fields = ", ".join(f"{k} bigint" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +100,23 @@ def features_of(texts: DataFrame, keys: list[str], featurise: Callable[[], Calla
             made = [make(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({k: b[k] for k in keys} | {"col": pa.array([m[0] for m in made], pa.list_(pa.int32())), "val": pa.array([m[1] for m in made], pa.list_(pa.float32()))})
 
-    return sample_rows(texts.select(*keys, "text").mapInArrow(run, f"{fields}, col array<int>, val array<float>"), keys)
+    return texts.select(*keys, "text").mapInArrow(run, f"{fields}, col array<int>, val array<float>")
+
+
+def narrowed(rows: DataFrame, keys: list[str], place: np.ndarray) -> DataFrame:
+    """``rows`` of (keys, col, val) with only the columns whose ``place`` is 0 or more, at their new places."""
+    fields = ", ".join(f"{k} bigint" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b["col"].offsets.to_numpy()
+            at = place[b["col"].values.to_numpy()[first[0] : first[-1]]]
+            val = b["val"].values.to_numpy()[b["val"].offsets[0].as_py() :][: len(at)]
+            ends = np.concatenate([[0], np.cumsum(at >= 0)])[first - first[0]].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[at >= 0])) for x in (at, val)]
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), *lists], names=[*keys, "col", "val"])
+
+    return rows.mapInArrow(run, f"{fields}, col array<int>, val array<float>")
 
 
 def sample_rows(made: DataFrame, keys: list[str]) -> list:

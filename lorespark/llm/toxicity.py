@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, slices, smallest_hashes, texts_of
-from .textmodel import WORDS, Adam, Sparse, features_of, score_texts, sigmoid
+from .common import cut, in_fold, slices, smallest_hashes, texts_of
+from .textmodel import WORDS, Adam, Sparse, features_of, narrowed, sample_rows, score_texts, sigmoid
 
 BUCKETS, POSITIVE, UNLABELLED, SEED = 1 << 20, 2500, 5000, 11
 #: SCREEN: a column enters if the positives have so many standard errors more of it, FEATURES at most.
@@ -50,20 +50,22 @@ def counted(buckets: int):
     return make
 
 
-def screen(positive: Sparse, unlabelled: Sparse, least: float = SCREEN, most: int = FEATURES) -> np.ndarray:
-    """Columns that the positives have ``least`` standard errors more of, the ``most`` clearest of them; few positives lower that bar."""
+def screen(rows: DataFrame, least: float = SCREEN, most: int = FEATURES) -> list[int]:
+    """Columns that the positives have ``least`` standard errors more of, the ``most`` clearest of them; few positives lower that bar.
 
-    def moments(x: Sparse) -> tuple[np.ndarray, np.ndarray]:
-        n = max(1, x.shape[0])
-        mean = x.back(np.ones(x.shape[0])) / n
-        return mean, np.maximum(np.bincount(x.col, x.val**2, x.shape[1]) / n - mean**2, 0) / n
-
-    (m_p, v_p), (m_u, v_u) = moments(positive), moments(unlabelled)
-    floor = np.mean(positive.val**2) / max(1, positive.shape[0]) ** 2 if len(positive.val) else 1.0
-    t = (m_p - m_u) / np.sqrt(v_p + v_u + floor)
-    best = np.argsort(-t, kind="stable")[:most]
-    often = np.bincount(positive.col, minlength=positive.shape[1])[best] >= LEAST_ROWS
-    return np.sort(best[(t[best] >= min(least, 0.4 * np.sqrt(positive.shape[0]))) & often])
+    ``rows`` is (is_pos, col, val) with one row per text; the sums over columns are Spark's, so only the ``most`` columns come here.
+    """
+    n = {r["is_pos"]: r["n"] for r in rows.groupBy("is_pos").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    x = rows.select("is_pos", F.explode(F.arrays_zip("col", "val")).alias("x")).select("is_pos", "x.col", F.col("x.val").cast("double").alias("val"))
+    sums = lambda flag: [F.sum(F.when(F.col("is_pos") == flag, y)).alias(f"{name}{flag}") for name, y in (("s", F.col("val")), ("q", F.col("val") ** 2), ("k", F.lit(1)))]
+    made = cut(x.groupBy("col").agg(*sums(1), *sums(0)).where("k1 > 0").fillna(0))
+    squares, entries = made.agg(F.sum("q1"), F.sum("k1")).first()
+    floor = squares / entries / n_p**2 if entries else 1.0
+    spread = lambda flag, m: F.greatest(F.col(f"q{flag}") / m - (F.col(f"s{flag}") / m) ** 2, F.lit(0.0)) / m
+    t = (F.col("s1") / n_p - F.col("s0") / n_u) / F.sqrt(spread(1, n_p) + spread(0, n_u) + F.lit(floor))
+    clear = made.where(F.col("k1") >= LEAST_ROWS).withColumn("t", t).where(F.col("t") >= min(least, 0.4 * float(np.sqrt(n_p))))
+    return sorted(r["col"] for r in clear.orderBy(F.desc("t"), "col").limit(most).select("col").collect())
 
 
 def nnpu(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
@@ -93,19 +95,6 @@ def nnpu(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int = ROUND
     return p["w"], float(p["b"])
 
 
-def fit(positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[np.ndarray, float]:
-    """Screen the columns, then train on those that stay; all others weigh 0."""
-    keep = screen(positive, unlabelled)
-    place = np.full(positive.shape[1], -1)
-    place[keep] = np.arange(len(keep))
-
-    narrow = lambda x: x.columns(place, max(1, len(keep)))
-    small, bias = nnpu(narrow(positive), narrow(unlabelled), prior)
-    weights = np.zeros(positive.shape[1])
-    weights[keep] = small[: len(keep)]
-    return weights, bias
-
-
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE, unlabelled: int = UNLABELLED, buckets: int = BUCKETS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Fit on at most ``positives`` confirmed toxic rows and ``unlabelled`` others of ``docs``, by smallest seeded hash.
 
@@ -120,10 +109,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE, unlabel
     prior = min(0.9, max(1e-4, n_pos / n))
     pos = smallest_hashes(known.where("toxic = 1").select("doc_id"), positives, seed).withColumn("is_pos", F.lit(1).cast("long"))
     unl = smallest_hashes(docs.where("doc_id is not null").select("doc_id"), unlabelled, seed + 1).distinct().withColumn("is_pos", F.lit(0).cast("long"))
-    rows = features_of(texts_of(docs, pos.unionByName(unl)), ["doc_id", "is_pos"], lambda: counted(buckets))
-    part = lambda flag: Sparse([r[2] for r in rows if r[1] == flag], [r[3] for r in rows if r[1] == flag], buckets)
+    rows = cut(features_of(texts_of(docs, pos.unionByName(unl)), ["doc_id", "is_pos"], lambda: counted(buckets)))
+    keep = screen(rows)
+    place = np.full(buckets, -1, np.int32)
+    place[keep] = np.arange(len(keep))
+    few = sample_rows(narrowed(rows, ["doc_id", "is_pos"], place), ["doc_id", "is_pos"])
+    part = lambda flag: Sparse([r[2] for r in few if r[1] == flag], [r[3] for r in few if r[1] == flag], max(1, len(keep)))
     a, b = part(1), part(0)
-    return fit(a, b, prior) if a.shape[0] and b.shape[0] else zero
+    if not a.shape[0] or not b.shape[0]:
+        return zero
+    small, bias = nnpu(a, b, prior)
+    weights = np.zeros(buckets)
+    weights[keep] = small[: len(keep)]
+    return weights, bias
 
 
 def scorer_of(weights: np.ndarray, bias: float):

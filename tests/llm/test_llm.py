@@ -83,7 +83,7 @@ def test_toxic_words_are_found(spark):
 
 def test_toxicity_learns_from_the_whole_sample(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda a, b, prior: seen.append((a.shape[0], b.shape[0])) or (np.zeros(a.shape[1]), 0.0))
+    monkeypatch.setattr(toxicity, "nnpu", lambda a, b, prior: seen.append((a.shape[0], b.shape[0])) or (np.zeros(a.shape[1]), 0.0))
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), (F.col("id") < 2600).cast("int").alias("toxic"))
     toxicity.train(rows, rows.select("doc_id", "toxic"))
     assert seen == [(2500, 5000)]
