@@ -97,18 +97,11 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(HOT, total / 1000)).select(key)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """``rows`` joined with ``table`` (one small row a key); rows of ``hot`` keys stay where they are and get theirs by broadcast."""
-    marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
-    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
-    spread = marked.where("is_hot").drop("is_hot").join(few, key)
-    return spread.unionByName(marked.where("is_hot is null").drop("is_hot").join(table, key))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): the smallest node reachable.
 
-    Large stars and small stars by turns, written each round; nodes with very many edges are looked up by broadcast.
+    Large stars and small stars by turns, written each round.  A round deals the edges out by one end, then by the other,
+    and all that a node needs is done where its edges lie; nodes with very many edges get their least neighbour by broadcast.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     print_of = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -116,11 +109,14 @@ def components(edges: DataFrame) -> DataFrame:
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        many = least.where(F.col("k") > max(HOT, 2 * last[0] / 1000)).select("u")
-        large = looked_up(both.where("v > u"), least.select("u", "m"), "u", many).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hot = F.broadcast(least.where(F.col("k") > max(HOT, 2 * last[0] / 1000)).select("u", F.col("m").alias("hot_m")))  # a thousand nodes at most
+        up = both.where("v > u").join(hot, "u", "left")
+        far = up.where("hot_m is not null").select(F.col("v").alias("u"), F.col("hot_m").alias("v"))
+        near = up.where("hot_m is null").select("u", "v").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = far.unionByName(near).repartition("u").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        node = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))  # itself, or one that stood between
+        e = cut(large.join(root, "u").select(node.alias("u"), F.col("m").alias("v")))
         if (now := print_of(e)) == last:
             break
         last = now
