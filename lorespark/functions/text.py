@@ -16,11 +16,18 @@ STOP_WORDS = (
     "the a an of to in on for is are and or what how with by"
 ).split()
 
+#: Languages of code by extension.
+LANGUAGES = {
+    "python": [".py", ".pyi"], "kotlin": [".kt", ".kts"], "java": [".java"], "javascript": [".js", ".jsx", ".mjs", ".cjs"],
+    "typescript": [".ts", ".tsx"], "go": [".go"], "sql": [".sql"], "yaml": [".yaml", ".yml"], "json": [".json"],
+    "toml": [".toml"], "xml": [".xml"], "gradle": [".gradle"], "properties": [".properties"], "shell": [".sh"],
+}
+
 #: File kinds by extension.
 KINDS = {
     "markdown": [".md", ".markdown"], "rst": [".rst"], "html": [".html", ".htm"], "pdf": [".pdf"], "docx": [".docx"],
     "pptx": [".pptx"], "xlsx": [".xlsx"], "jsonl": [".jsonl", ".ndjson"], "text": [".txt", ".log"],
-    "code": [".py", ".kt", ".java", ".js", ".ts", ".go", ".sql", ".yaml", ".yml", ".json", ".toml", ".sh"],
+    "code": [x for many in LANGUAGES.values() for x in many if x not in (".mjs", ".cjs")],
 }
 
 

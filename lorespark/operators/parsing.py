@@ -1,10 +1,11 @@
-"""Parsers from text to units (section, text).  Markdown is read with windows in the JVM; HTML by a small row-local helper."""
+"""Parsers from text to units (section, text).  Markdown is read with windows in the JVM; HTML becomes a list of
+events by a small row-local helper, and windows over the events tell blocks, headings and what is skipped."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -86,109 +87,134 @@ def rst_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return headed_units(lines.withColumn("line", F.when(F.col("heads"), F.col("title")).otherwise(F.col("line"))), key)
 
 
-#: Elements whose text is left out, and elements that end a block.
-SKIPPED = {"script", "style", "noscript", "svg", "template", "iframe", "nav", "footer", "form", "button", "select", "aside"}
-BLOCKS = set("p div br ul ol table section blockquote header dl dt dd figure figcaption hr".split())
-HEADINGS = {f"h{n}": n for n in range(1, 7)}
+#: Elements whose text is left out, that end a block, what some stand for, and the properties that <meta> gives.
+SKIPPED = "script style noscript svg template iframe nav footer form button select aside".split()
+BLOCKS = "p div br ul ol table section blockquote header dl dt dd figure figcaption hr main article pre h1 h2 h3 h4 h5 h6".split()
+SIGNS = {"td": " | ", "th": " | ", "tr": "\n", "li": "\n- "}
+META = {
+    "description": "description", "og:description": "description", "author": "author", "keywords": "keywords",
+    "article:published_time": "published", "article:modified_time": "modified", "og:site_name": "site",
+}
 MAIN_LEAST = 200
+EVENT = "struct<kind:string,tag:string,value:string>"
 
 
-class _Page(HTMLParser):
-    """Collects (in main part, heading level or 0, text) blocks, links, title and language."""
+class Events(HTMLParser):
+    """What a page opens, closes and says, in order; what it means is worked out by windows over these rows."""
 
-    def __init__(self):
+    def __init__(self, url: str | None):
         super().__init__(convert_charrefs=True)
-        self.skipped = self.level = self.inner = self.raw = 0
-        self.titled, self.title, self.lang, self.now = False, "", None, []
-        self.found: list[tuple[bool, int, str]] = []
-        self.links: list[str] = []
-
-    def end_block(self):
-        said, self.now = "".join(self.now), []
-        if self.raw:
-            said = said.strip("\n")
-        else:
-            rows = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in said.split("\n"))
-            said = "\n".join(x for x in rows if x)
-        if said:
-            self.found.append((self.inner > 0, self.level, re.sub(r"\s+", " ", said) if self.level else said))
+        self.url, self.seen = url or "", []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skipped += 1
-        if self.skipped:
-            return
         given = dict(attrs)
-        if tag == "title":
-            self.titled = True
-        elif tag == "a" and given.get("href"):
-            self.links.append(given["href"])
-        elif tag == "html":
-            self.lang = given.get("lang") or self.lang
-        elif tag in ("td", "th", "tr", "li"):
-            self.now.append({"tr": "\n", "li": "\n- "}.get(tag, " | "))
-        elif tag == "pre":
-            self.end_block()
-            self.raw += 1
-            self.now.append("```\n")
-        elif tag in HEADINGS or tag in BLOCKS or tag in ("main", "article"):
-            self.end_block()
-            self.level = HEADINGS.get(tag, self.level)
-            self.inner += tag in ("main", "article")
+        value = {"a": given.get("href"), "html": given.get("lang"), "meta": given.get("content")}.get(tag)
+        kind = META.get((given.get("name") or given.get("property") or "").lower(), "") if tag == "meta" else "open"
+        if tag == "a" and value:
+            value = urldefrag(urljoin(self.url, value.strip()))[0]
+        self.seen.append((kind or "open", tag, value))
+        if said := "```\n" if tag == "pre" else SIGNS.get(tag):
+            self.seen.append(("said", "", said))
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        elif self.skipped:
-            return
-        elif tag == "title":
-            self.titled = False
-        elif tag == "pre":
-            self.now.append("\n```")
-            self.end_block()
-            self.raw = max(0, self.raw - 1)
-        elif tag in HEADINGS or tag in BLOCKS or tag in ("main", "article"):
-            self.end_block()
-            self.level = 0 if tag in HEADINGS else self.level
-            self.inner -= tag in ("main", "article") and self.inner > 0
+        self.seen += [("said", "", "\n```")] * (tag == "pre") + [("close", tag, None)]
 
     def handle_data(self, data):
-        if self.titled:
-            self.title += data
-        elif not self.skipped:
-            self.now.append(data)
+        self.seen.append(("said", "", data))
 
 
-def html_page(html: str | None) -> tuple[str, str | None, list[tuple[int, str]], list[str]]:
-    """Title, language, blocks of the main part (of the whole page if that has fewer than 200 characters), links."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page.end_block()
-    main = [(n, t) for inner, n, t in page.found if inner]
-    blocks = main if sum(len(t) for _, t in main) >= MAIN_LEAST else [(n, t) for _, n, t in page.found]
-    title = re.sub(r"\s+", " ", page.title).strip() or next((t for n, t in blocks if n == 1), "")
-    return title, page.lang, blocks, page.links
-
-
-def html_pages(pages: DataFrame) -> DataFrame:
-    """page_id, title, lang, text (blocks parted by blank lines), n_links, links; a page that can't be read gives an empty text, never a failed job."""
-    fields = "page_id bigint, title string, lang string, text string, links array<string>"
+def page_events(pages: DataFrame) -> DataFrame:
+    """page_id, at, kind, tag, value, error: a row for each event, and one at least for each page; a page that can't be read gives an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for h in b["html"].to_pylist():
+            made, errors = [], []
+            for html, url in zip(b["html"].to_pylist(), b["url"].to_pylist(), strict=True):
+                parser, error = Events(url), None
                 try:
-                    made.append(html_page(h))
-                except (ValueError, AssertionError):
-                    made.append(("", None, [], []))
-            yield pa.RecordBatch.from_arrays([
-                b["page_id"], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()),
-                pa.array(["\n\n".join(t for _, t in m[2]) for m in made], pa.string()), pa.array([m[3] for m in made], pa.list_(pa.string())),
-            ], names=["page_id", "title", "lang", "text", "links"])
-
-    return pages.select("page_id", "html").mapInArrow(run, fields)
+                    parser.feed(html or "")
+                    parser.close()
+                except (ValueError, AssertionError) as e:
+                    parser.seen, error = [], str(e)
+                made.append([dict(zip(("kind", "tag", "value"), x, strict=True)) for x in parser.seen])
+                errors.append(error)
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("tag", pa.string()), ("value", pa.string())]))
+            yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(made, kind), pa.array(errors, pa.string())], names=["page_id", "events", "error"])
+
+    url = F.col("url") if "url" in pages.columns else F.lit("").alias("url")
+    events = pages.select("page_id", "html", url).mapInArrow(run, f"page_id bigint, events array<{EVENT}>, error string")
+    return events.select("page_id", "error", F.posexplode_outer("events").alias("at", "x")).select("page_id", F.coalesce("at", F.lit(0)).alias("at"), "x.*", "error")
+
+
+def _depth(tags: list[str], upto) -> Column:
+    """How many of ``tags`` are open; a close without an open counts for nothing."""
+    change = F.when(F.col("tag").isin(tags), F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)
+    return F.sum(F.coalesce(change, F.lit(0))).over(upto)
+
+
+def _floored(rows: DataFrame, name: str, tags: list[str], upto) -> DataFrame:
+    rows = rows.withColumn(name, _depth(tags, upto))
+    return rows.withColumn(name, F.col(name) - F.least(F.lit(0), F.min(name).over(upto)))
+
+
+def page_blocks(events: DataFrame) -> DataFrame:
+    """page_id, block, level, text, inner: the runs of text between the ends of blocks; level 0 is no heading, inner is within main or article.
+
+    What stands in a skipped element is left out.  White space is folded but for line ends, and kept as it is in <pre>.
+    """
+    upto = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = _floored(events, "skipped", SKIPPED, upto).where(F.col("skipped") == 0).where(~F.coalesce(F.col("tag").isin(SKIPPED), F.lit(False)))
+    seen = _floored(_floored(seen, "raw", ["pre"], upto), "inner", ["main", "article"], upto).withColumn("titled", _depth(["title"], upto) > 0)
+    head = F.when(F.col("tag").rlike("^h[1-6]$"), F.when(F.col("kind") == "open", F.substring("tag", 2, 1).cast("int")).otherwise(0))
+    seen = seen.withColumn("level", F.coalesce(F.last(head, True).over(upto), F.lit(0))).withColumn("block", F.count_if(F.col("tag").isin(BLOCKS)).over(upto))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "")
+    blocks = seen.where("kind = 'said' and not titled").groupBy("page_id", "block", "level", F.col("raw") > 0, F.col("inner") > 0).agg(said.alias("text")).toDF("page_id", "block", "level", "raw", "inner", "text")
+    folded = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[ \\t\\r\\f\\x0B\\xA0]+", " "), " ?\n ?", "\n"), "\n{2,}", "\n")
+    text = F.when(F.col("raw"), F.regexp_replace("text", "^\n+|\n+$", "")).otherwise(F.regexp_replace(folded, r"^\s+|\s+$", ""))
+    text = F.when(F.col("level") > 0, F.regexp_replace(text, r"\s+", " ")).otherwise(text)
+    return blocks.withColumn("text", text).where("text <> ''").select("page_id", "block", "level", "text", "inner")
+
+
+def main_blocks(blocks: DataFrame) -> DataFrame:
+    """The blocks of the main part, or all where that has fewer than ``MAIN_LEAST`` characters."""
+    of = Window.partitionBy("page_id")
+    return blocks.withColumn("main", F.coalesce(F.sum(F.when(F.col("inner"), F.length("text"))).over(of), F.lit(0)) >= MAIN_LEAST).where("inner or not main").drop("main")
+
+
+def html_pages(pages: DataFrame) -> DataFrame:
+    """page_id, title, lang, text (blocks parted by blank lines), links, properties, doc_date, error.
+
+    ``pages`` has page_id, html and perhaps url, against which links are joined; fragments are cut off, and only http and
+    https stay.  The title is the page's own or its first heading; the date is that of the last change, else of publication.
+    """
+    events = page_events(pages)
+    upto = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = _floored(events, "skipped", SKIPPED, upto).withColumn("titled", F.coalesce(F.last(F.when((F.col("tag") == "title") & (F.col("skipped") == 0), F.col("kind") == "open"), True).over(upto), F.lit(False)))
+    shown, ordered = F.col("skipped") == 0, lambda x: F.transform(F.array_sort(F.collect_list(F.when(x, F.struct("at", "value")))), lambda y: y["value"])
+    about = shown & (F.col("tag") == "meta") & (F.col("kind") != "open") & (F.col("value") != "")
+    entries = F.array_sort(F.collect_list(F.when(about, F.struct("at", "kind", F.trim("value").alias("value")))))
+    last = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["kind"]), F.create_map(x["kind"], x["value"])))
+    link = shown & (F.col("tag") == "a") & F.col("value").rlike("^https?:")
+    heads = seen.groupBy("page_id").agg(
+        F.trim(F.regexp_replace(F.array_join(ordered(F.col("titled") & (F.col("kind") == "said")), ""), r"\s+", " ")).alias("own"),
+        F.max_by("value", F.when(shown & (F.col("tag") == "html") & (F.col("value") != ""), F.col("at"))).alias("lang"),
+        ordered(link).alias("links"), last.alias("properties"), F.max("error").alias("error"),
+    )
+    blocks = main_blocks(page_blocks(events))
+    texts = blocks.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.min_by("text", F.when(F.col("level") == 1, F.col("block"))).alias("first")
+    )
+    date = lambda k: F.nullif(F.regexp_extract(F.col("properties")[k], r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    return heads.join(texts, "page_id", "left").select(
+        "page_id", F.coalesce(F.nullif("own", F.lit("")), "first", F.lit("")).alias("title"), "lang", F.coalesce("text", F.lit("")).alias("text"), "links", "properties", F.coalesce(date("modified"), date("published")).alias("doc_date"), "error",
+    )
+
+
+def html_units(pages: DataFrame) -> DataFrame:
+    """page_id, unit, section, text (see :func:`headed_units`): a line for each block, and a blank one behind what is no heading."""
+    blocks = main_blocks(page_blocks(page_events(pages)))
+    line = F.when(F.col("level") > 0, F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    return headed_units(blocks.select("page_id", F.col("block").alias("at"), line.alias("line"), "level", F.col("text").alias("title")), "page_id")
 
 
 def json_units(rows: DataFrame, record: str, id_path: str, fields: list[str]) -> DataFrame:

