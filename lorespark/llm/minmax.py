@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 
 SHINGLE, PERCENT, PERMUTATIONS, ROWS, SEED, KNOWN = 4, 80, 64, 4, 5, 300_000
-BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, HOT = 2000, 2_000_000, 1_000_000, 1000
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, HOT, EDGES = 2000, 2_000_000, 1_000_000, 1000, 50_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,21 +102,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars and small stars by turns, written each round.  A round deals the edges out by one end, then by the other,
     and all that a node needs is done where its edges lie; nodes with very many edges get their least neighbour by broadcast.
+    As many tasks write as the edges ask for, so few edges leave few files.
     """
+    sized = lambda x, n: x.coalesce(max(8, n // EDGES))
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     print_of = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     last = print_of(e)
     while last[0]:
+        e = sized(e, last[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
         hot = F.broadcast(least.where(F.col("k") > max(HOT, 2 * last[0] / 1000)).select("u", F.col("m").alias("hot_m")))  # a thousand nodes at most
         up = both.where("v > u").join(hot, "u", "left")
         far = up.where("hot_m is not null").select(F.col("v").alias("u"), F.col("hot_m").alias("v"))
         near = up.where("hot_m is null").select("u", "v").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = far.unionByName(near).repartition("u").distinct()
+        large = sized(far, last[0]).unionByName(sized(near, last[0])).repartition("u").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         node = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))  # itself, or one that stood between
-        e = cut(large.join(root, "u").select(node.alias("u"), F.col("m").alias("v")))
+        e = cut(sized(large.join(root, "u").select(node.alias("u"), F.col("m").alias("v")), last[0]))
         if (now := print_of(e)) == last:
             break
         last = now
