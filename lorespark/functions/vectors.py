@@ -20,7 +20,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """A zero vector stays as it is."""
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    divided = lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return F.transform(F.array(norm(v)), divided)[0]  # the norm is worked out once
 
 
 def bucket(word: Column) -> Column:
