@@ -75,10 +75,10 @@ class Ids(dict):
 _known: dict[str, Ids] = {}
 
 
-def known_ids(path: str) -> Ids:
-    """The chunks that this Python worker has met, kept from task to task."""
-    if path not in _known:
-        _known[path] = Ids(path)
+def known_ids(path: str, most: int = KNOWN) -> Ids:
+    """The chunks that this Python worker has met, kept from task to task; ``most`` of them are about 200 bytes each."""
+    if path not in _known or _known[path].most != most:
+        _known[path] = Ids(path, most=most)
     return _known[path]
 
 
@@ -112,11 +112,11 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
     return made
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, end: int = END, most: int = KNOWN) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and then ``end``, cut into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_ids(path)
+        known = known_ids(path, most)
         for b in slices(batches, 16 << 20):
             texts = b["text"]
             size = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -230,10 +230,11 @@ def pack(made: DataFrame, capacity: int = CAPACITY, per_block: int = WINDOWS) ->
     return made.withColumn("block", block).groupBy("block").applyInArrow(run, fields)
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, per_block: int = WINDOWS, end: int = END) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, per_block: int = WINDOWS, end: int = END, most: int = KNOWN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone.  A document that occurs several times is packed as often.  Extra columns
-    are ignored; an empty table gives no rows.  Only lengths and check sums are shuffled, never texts or ids.
+    are ignored; an empty table gives no rows.  Only lengths and check sums are shuffled, never texts or ids.  ``most``
+    bounds the words that a Python worker remembers; it changes time and memory, never a result.
     """
-    return pack(cut(pieces(docs, path, capacity, piece, end)), capacity, per_block)
+    return pack(cut(pieces(docs, path, capacity, piece, end, most)), capacity, per_block)
