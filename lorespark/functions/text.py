@@ -98,18 +98,39 @@ def matches_mask(path: Column, mask: str) -> Column:
     return whole if "/" in mask else whole | F.element_at(F.split(path, "/"), -1).rlike(glob_pattern(mask))
 
 
+#: What some models want before a text.
+INSTRUCTION = "Given a question, retrieve passages from the knowledge base that answer the question"
+NOMIC, E5 = "nomic-embed", "(^|[/_-])e5"
+
+
 def query_prefix(model: Column, text: Column) -> Column:
-    """What some models want before a query."""
     name = F.lower(model)
-    return (
-        F.when(name.contains("nomic"), F.concat(F.lit("search_query: "), text))
-        .when(name.rlike("(^|[/-])e5"), F.concat(F.lit("query: "), text)).otherwise(text)
-    )
+    asked = F.when(name.contains("qwen3-embedding"), F.concat(F.lit(f"Instruct: {INSTRUCTION}\nQuery: "), text))
+    return asked.when(name.contains(NOMIC), F.concat(F.lit("search_query: "), text)).when(name.rlike(E5), F.concat(F.lit("query: "), text)).otherwise(text)
 
 
 def document_prefix(model: Column, text: Column) -> Column:
     name = F.lower(model)
-    return (
-        F.when(name.contains("nomic"), F.concat(F.lit("search_document: "), text))
-        .when(name.rlike("(^|[/-])e5"), F.concat(F.lit("passage: "), text)).otherwise(text)
-    )
+    return F.when(name.contains(NOMIC), F.concat(F.lit("search_document: "), text)).when(name.rlike(E5), F.concat(F.lit("passage: "), text)).otherwise(text)
+
+
+def model_parts(model_id: Column) -> Column:
+    """(provider, model), parted at the first slash; null unless both are there."""
+    part = lambda i: F.regexp_extract(model_id, "^([^/]+)/(.+)$", i)
+    return F.when(part(2) != "", F.struct(part(1).alias("provider"), part(2).alias("model")))
+
+
+def normalize_url(url: Column) -> Column:
+    """`https://` where no scheme is named; null unless it is http or https with a host."""
+    url = F.trim(url)
+    url = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), F.regexp_replace(url, "^/+", "")))
+    return F.when(url.rlike("(?i)^https?://([^/?#@]*@)?[^/?#:@]+"), url)
+
+
+def inline_filename(title: Column, content: Column, form: Column) -> Column:
+    """A file name for a text given inline: its title, or its first line; null for a blank text or an unknown format."""
+    content = F.regexp_replace(content, r"^\s+|\s+$", "")
+    title = F.coalesce(F.when(F.trim(title) != "", F.trim(title)), F.substring(F.substring_index(content, "\n", 1), 1, 80))
+    name = F.substring(F.trim(F.regexp_replace(title, r"[^\p{L}\p{N}_\- .]+", "_")), 1, 80)
+    ending = F.when(form == "markdown", ".md").when(form == "text", ".txt")
+    return F.when(content != "", F.concat(F.when(name != "", name).otherwise("text"), ending))

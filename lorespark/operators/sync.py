@@ -31,6 +31,12 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key, as a cache that is written again keeps it.  Rows meet within a task before the shuffle."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def unchanged(listing: DataFrame, stored: DataFrame, key: str = "source_key", force: bool = False) -> DataFrame:
     """(key, unchanged): indexed before without an error, from equal bytes, with the chunking and model that hold now.
 

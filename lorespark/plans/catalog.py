@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import bag_of_words, norm
-from ..operators import chunking, code, filters, parsing, retrieval, sync
+from ..operators import chunking, code, filters, listing, parsing, retrieval, search, sync
 from ..operators.retrieval import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,6 +481,145 @@ def chunk_offset_invariant(spark, sf_dir):
     return docs.join(chunks, "doc_id").groupBy("doc_id").agg(F.bool_and(at == F.col("chunk")).alias("offsets_hold"), F.bool_and(fits).alias("within_limit"))
 
 
+# Index, embeddings and listings ----------------------------------------------------------------------------------------
+
+INDEX = """with i as (select e.vec_id as chunk_id, e.embedding, d.lang from embeddings e join documents d on d.doc_id = e.vec_id
+    where e.vec_id % 13 <> 0 and d.doc_id % 9 <> 0 and d.source <> 'src1' and e.vec_id % 17 <> 0),
+q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0),
+p as (select query_id, chunk_id, lang, list_inner_product(i.embedding::double[], q.q::double[]) as raw from i, q)"""
+
+
+def _index(spark, sf_dir):
+    """Vectors as chunks of documents, sources as collections; src1 has another model now, and so has a chunk in seventeen."""
+    v, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    chunks = v.select(
+        F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), (F.col("vec_id") % 13 != 0).alias("enabled"), "embedding",
+        F.when(F.col("vec_id") % 17 == 0, "old").otherwise("now").alias("model"),
+    )
+    documents = d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("collection"), F.col("lang").alias("language"), (F.col("doc_id") % 9 != 0).alias("enabled"))
+    collections = d.where("source is not null").select(F.col("source").alias("collection"), F.when(F.col("source") == "src1", "next").otherwise("now").alias("model")).distinct()
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("now").alias("model"), F.col("embedding").alias("q"))
+    return search.index(chunks, documents, collections), asked
+
+
+@query(f"""{INDEX}, r as (select *, row_number() over (partition by query_id order by raw desc, chunk_id) as rank from p where lang in ('fr', 'de') and raw >= 0.05)
+select query_id, rank::int as rank, chunk_id, round(raw, 4) + 0.0 as score from r where rank <= 10""")
+def filtered_topk(spark, sf_dir):
+    """Filters before the best are taken, so that a filtered search still fills its ten; ranked by raw scores."""
+    chunks, asked = _index(spark, sf_dir)
+    found = search.best(search.scores(chunks, asked, {"languages": ["fr", "de"]}), 10, 0.05)
+    return found.select("query_id", "rank", "chunk_id", rounded(F.col("score")).alias("score"))
+
+
+@query(f"{INDEX} select query_id, chunk_id, round(raw, 4) + 0.0 as score from p where raw >= 0.2")
+def raw_score_threshold(spark, sf_dir):
+    chunks, asked = _index(spark, sf_dir)
+    return search.scores(chunks, asked).where("score >= 0.2").select("query_id", "chunk_id", rounded(F.col("score")).alias("score"))
+
+
+@query("select c as collection from (values ('src1'), ('nowhere'), ('src2')) v(c) where c not in (select source from documents where source is not null)")
+def missing_collections(spark, sf_dir):
+    requested = spark.createDataFrame([("src1",), ("nowhere",), ("src2",)], "collection string")
+    return search.missing(requested, table(spark, sf_dir, "documents").select(F.col("source").alias("collection")))
+
+
+@query("""select doc_id, sha256(substr(source || case when doc_id % 2 = 0 then ' › ' || lang else '' end || chr(10) || text, 1, 1500)) as asked,
+sha256(source || chr(10) || case when doc_id % 2 = 0 then lang || chr(10) else '' end || chr(10) || text) as embedded from documents""")
+def chunk_texts(spark, sf_dir):
+    """What a reranking and an embedding model are given: every second document has a section."""
+    section = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    asked = search.rerank_text(F.col("source"), section, F.col("text"), 1500)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(asked, 256).alias("asked"), F.sha2(search.embedding_text(F.col("source"), section, F.col("text")), 256).alias("embedded"))
+
+
+MODELS = "a/nomic-embed-text b/in/e5-base c/Qwen3-Embedding-8B d/bge-m3 bare /x".split()
+
+
+@query(f"""with m(id, provider, model, q, d) as (values ('a/nomic-embed-text', 'a', 'nomic-embed-text', 'search_query: ', 'search_document: '), ('b/in/e5-base', 'b', 'in/e5-base', 'query: ', 'passage: '),
+    ('c/Qwen3-Embedding-8B', 'c', 'Qwen3-Embedding-8B', 'Instruct: {T.INSTRUCTION}' || chr(10) || 'Query: ', ''), ('d/bge-m3', 'd', 'bge-m3', '', ''), ('bare', null, null, '', ''), ('/x', null, null, '', ''))
+select item_id, id, provider, model, q || text as asked, d || text as stored from benchmark, m""")
+def model_prefixes(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").withColumn("id", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("parts", T.model_parts(F.col("id")))
+    return rows.select("item_id", "id", "parts.provider", "parts.model", T.query_prefix(F.col("id"), F.col("text")).alias("asked"), T.document_prefix(F.col("id"), F.col("text")).alias("stored"))
+
+
+@query("select doc_id, text in (select text from documents where lang = 'fr') as cached, 256 as dims, 1.0::double as square from documents")
+def embed_with_cache(spark, sf_dir):
+    """French texts are in the cache; each other text is embedded once, copies included."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", T.content_hash(F.col("text")).alias("key"))
+    embed = lambda rows: retrieval.unit_vectors(rows, "key")
+    cache = embed(docs.where("lang = 'fr'").select("key", "text").dropDuplicates(["key"]))
+    out = search.embedded(docs.select("doc_id", "key", "text"), cache, embed)
+    return out.select("doc_id", "cached", F.size("v").alias("dims"), F.round(retrieval.dot(F.col("v"), F.col("v")), 6).alias("square"))
+
+
+@query("select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
+def newest_by_key(spark, sf_dir):
+    return sync.newest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("""with c as (select distinct source as collection from documents where source is not null union all select 'empty'),
+d as (select source, n_chars, case toxic when 0 then 'indexed' when 1 then 'failed' else case when doc_id % 2 = 0 then 'queued' else 'skipped' end end as status from documents left join labels using (doc_id) where source <> 'src1' or toxic = 0),
+s as (select collection, count(source) as documents, count(*) filter (status = 'indexed') as indexed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped,
+    count(*) filter (status = 'queued') as processing, count(source)::bigint as chunks, coalesce(sum(n_chars), 0)::bigint as size_bytes from c left join d on source = collection group by collection)
+select *, case when processing > 0 then 'processing' when documents = 0 then 'empty' when failed > 0 then 'has_errors' else 'ready' end as status from s""")
+def collection_states(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("source <> 'src1' or toxic = 0")
+    waiting = F.when(F.col("doc_id") % 2 == 0, "queued").otherwise("skipped")
+    status = F.when(F.col("toxic") == 0, "indexed").when(F.col("toxic") == 1, "failed").otherwise(waiting)
+    documents = rows.select(F.col("source").alias("collection"), status.alias("status"), F.lit(1).alias("chunk_count"), F.col("n_chars").alias("size_bytes"))
+    named = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("collection")).distinct()
+    return listing.collection_stats(named.unionByName(spark.createDataFrame([("empty",)], "collection string")), documents)
+
+
+def _jobs(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ["queued", "running", "completed", "failed"])), (F.col("event_id") % 4 + 1).cast("int"))
+    target = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("source_id")))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("collection"), F.col("ts").alias("created_at"), status.alias("status"), F.when(F.col("event_type") == "view", "index").otherwise("sync").alias("kind"), target.alias("target")
+    )
+
+
+@query("select event_id as id, (select count(*) from events where event_type = 'click') as total from events where event_type = 'click' order by ts desc, event_id desc limit 20 offset 20")
+def list_jobs(spark, sf_dir):
+    return listing.newest(_jobs(spark, sf_dir), "click", 20, 20).select("id", "total")
+
+
+@query("select event_id as id from events where event_id % 4 < 2 and event_type <> 'view' and json_extract_string(props, '$.k') = '7'")
+def active_sync_lookup(spark, sf_dir):
+    return listing.active_syncs(_jobs(spark, sf_dir), "7").select("id")
+
+
+@query("select doc_id, (select count(*) from conversations where conv_id = doc_id) as chunk_count from documents")
+def chunk_counts(spark, sf_dir):
+    chunks = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id")
+    return listing.with_chunk_count(table(spark, sf_dir, "documents").select("doc_id"), chunks, "doc_id")
+
+
+@query("select event_type as job, event_id from events qualify row_number() over (partition by event_type order by event_id) <= 100")
+def job_errors(spark, sf_dir):
+    """The first hundred errors of a job are the feature; the limit holds per job."""
+    return listing.first_errors(table(spark, sf_dir, "events").select(F.col("event_type").alias("job"), "event_id"), "event_id")
+
+
+@query(r"""with b as (select page_id, regexp_replace(url, '^https?://', '') as bare, url from pages)
+select page_id, 0 as form, url as address from b union all select page_id, 1, 'https://' || bare from b union all select page_id, 2, null from b union all select page_id, 3, null from b""")
+def normalized_urls(spark, sf_dir):
+    """As written, without a scheme and with blanks, with a scheme that is not of the web, and without a host."""
+    bare = F.regexp_replace("url", "^https?://", "")
+    forms = F.array("url", F.concat(F.lit(" //"), bare, F.lit(" ")), F.concat(F.lit("ftp://"), bare), F.lit("http:///path"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(forms).alias("form", "given")).select("page_id", "form", T.normalize_url(F.col("given")).alias("address"))
+
+
+@query(r"""with t as (select doc_id, lang, source, regexp_replace(text, '^\s+|\s+$', '', 'g') as body from documents),
+n as (select doc_id, lang, body, substr(trim(regexp_replace(case when doc_id % 3 = 0 then source || ': a/b' else substr(split_part(body, chr(10), 1), 1, 80) end, '[^\p{L}\p{N}_\- .]+', '_', 'g')), 1, 80) as name from t)
+select doc_id, case when body <> '' then case when name <> '' then name else 'text' end || case when lang = 'en' then '.md' else '.txt' end end as filename from n""")
+def inline_filenames(spark, sf_dir):
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(": a/b"))).otherwise(" ")
+    form = F.when(F.col("lang") == "en", "markdown").otherwise("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.inline_filename(title, F.col("text"), form).alias("filename"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
