@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from .filters import condition
 
-BLOCK = 1000
+BLOCK, PARTS = 1000, 64
 
 
 def index(chunks: DataFrame, documents: DataFrame, collections: DataFrame) -> DataFrame:
@@ -29,15 +29,22 @@ def missing(requested: DataFrame, existing: DataFrame, key: str = "collection")
     return requested.select(key).distinct().join(existing.select(key), key, "left_anti")
 
 
-def scores(chunks: DataFrame, queries: DataFrame, filters: dict[str, Any] | None = None) -> DataFrame:
+def scores(chunks: DataFrame, queries: DataFrame, filters: dict[str, Any] | None = None, key: str = "chunk_id") -> DataFrame:
     """Each chunk that passes ``filters`` with each query (query_id, model, q) of its model and size, and the raw product.
 
-    The queries are a stated set; they are dealt into blocks that each task meets one at a time, whatever their number.
+    The queries are a stated set.  Up to BLOCK of them are broadcast; more are dealt into blocks, and chunks into parts, so
+    that no model and no block is one task's alone.
     """
     many = max(1, -(-queries.count() // BLOCK))
     left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int"))
     right = chunks.where(condition(filters)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    pairs = right.join(left, ["block", "model"]).where(F.size("embedding") == F.size("q"))
+    if many == 1:
+        pairs = right.join(F.broadcast(left), ["block", "model"])
+    else:
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        right = right.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+        pairs = right.join(left, ["block", "part", "model"]).drop("part")
+    pairs = pairs.where(F.size("embedding") == F.size("q"))
     return pairs.withColumn("score", dot(F.col("embedding"), F.col("q"))).drop("block", "embedding", "q")
 
 
