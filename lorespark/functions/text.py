@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CYRILLIC, LETTER, WORD = "[А-Яа-яЁё]", r"\p{L}", r"([\p{L}\p{N}_]+)"
@@ -74,6 +74,12 @@ def terms(text: Column) -> Column:
     return F.transform(F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), lambda w: F.substring(w, 1, 6))
 
 
+def term_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term): :func:`terms` as rows; words become rows before they are looked at, so generated code does it."""
+    rows = docs.select(key, F.explode(words(F.col(text))).alias("word"))
+    return rows.where((F.length("word") > 1) & ~F.col("word").isin(STOP_WORDS)).select(key, F.substring("word", 1, 6).alias("term"))
+
+
 def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(name, r"\\", "/"), r"[^/](\.[^./]+)$", 1))
 

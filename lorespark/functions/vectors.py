@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import words
-
 BUCKETS = 256
+LONG_WORD = r"([\p{L}\p{N}_]{3,})"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,7 +33,7 @@ def bag_of_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Buckets are counted within the task before anything is shuffled: at most 256 rows a document are.
     """
-    stems = F.filter(words(F.col(text)), lambda w: F.length(w) >= 3)
-    hashed = F.transform(stems, bucket)
-    rows = docs.select(key, F.explode(F.when(F.size(hashed) > 0, hashed).otherwise(F.array(F.lit(0)))).alias("bucket"))
+    long = F.regexp_extract_all(F.lower(F.col(text)), F.lit(LONG_WORD), F.lit(1))
+    rows = docs.select(key, F.explode(F.when(F.size(long) > 0, long).otherwise(F.array(F.lit(None).cast("string")))).alias("word"))
+    rows = rows.select(key, F.when(F.col("word").isNull(), 0).otherwise(bucket(F.col("word"))).alias("bucket"))
     return rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean
+
 SEPARATOR = " › "
 
 
@@ -58,6 +60,40 @@ def markdown_units(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return headed_units(lines.withColumn("title", F.trim(F.regexp_replace("line", r"^\s*#{1,6}\s+|\s+#+\s*$", ""))), key)
 
 
+#: Properties of front matter with a column of their own, and how many lines it may have.
+TITLE, DATES, FRONT_LINES = "title", ("date", "updated", "last_modified"), 60
+
+
+def front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, title, doc_date, properties, text without the front matter.
+
+    Front matter stands between a first line `---` and the next `---` or `...` of the first lines.  Only entries of one line
+    count; quotes around values and the brackets of lists go, and of two entries with one name the later holds.  Without
+    front matter title and date are null and the properties empty; a null text is an empty one.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+    rows = docs.select(key, lines.alias("lines"))
+    ends = F.transform(F.slice("lines", 2, FRONT_LINES - 1), lambda x: F.trim(x).isin("---", "..."))
+    rows = rows.withColumn("end", F.when(F.trim(F.col("lines")[0]) == "---", F.array_position(ends, True)).otherwise(0).cast("int"))
+    given = F.slice("lines", F.lit(2), F.greatest(F.col("end") - 1, F.lit(0)))
+    entry = r"(?U)^([\w.][\w.-]{0,39})\s*:\s*['\"]*(.*?)['\"]*\s*$"
+    pairs = F.transform(given, lambda x: F.struct(F.regexp_extract(x, entry, 1).alias("name"), F.regexp_extract(x, entry, 2).alias("value")))
+    rows = rows.withColumn("pairs", F.filter(pairs, lambda x: (x["name"] != "") & (x["value"] != "")))
+    last = lambda *names: F.try_element_at(F.filter("pairs", lambda x: F.lower(x["name"]).isin(*names)), F.lit(-1))["value"]
+    others = F.filter("pairs", lambda x: ~F.lower(x["name"]).isin(TITLE, *DATES))
+    rows = rows.withColumn("others", F.transform(others, lambda x: x.withField("value", F.regexp_replace(x["value"], r"^\[+|\]+$", ""))))
+    rest = lambda i: F.slice("others", i + 2, F.size("others"))
+    held = F.filter("others", lambda x, i: ~F.exists(rest(i), lambda y: y["name"] == x["name"]))
+    body = F.array_join(F.slice("lines", F.when(F.col("end") > 0, F.col("end") + 2).otherwise(1), F.size("lines")), "\n")
+    return rows.select(key, last(TITLE).alias("title"), F.substring(last(*DATES), 1, 10).alias("doc_date"), F.map_from_entries(held).alias("properties"), body.alias("text"))
+
+
+def plain_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, unit, section, text: the whole clean text as one unit; blank and null texts have none."""
+    rows = docs.select(key, F.lit(1).alias("unit"), F.lit("").alias("section"), clean(F.col(text)).alias("text"))
+    return rows.where("text <> ''")
+
+
 def rst_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Units of reStructuredText (see :func:`headed_units`): a heading is underlined, or ruled above and below, by one
     repeated sign at least as long as itself.

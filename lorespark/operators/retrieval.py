@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized_hash, terms
 from ..functions.vectors import BUCKETS, bag_of_words, dot
+from ..functions.written import cut
 
 CANDIDATES, TOP, SAME, K1, B, VECTOR_WEIGHT = 20, 5, 0.97, 1.5, 0.75, 0.6
 
@@ -72,7 +73,7 @@ def unit_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def distinct_candidates(docs: DataFrame, best: DataFrame, same: float | None = SAME) -> DataFrame:
     """rank, doc_id, text, score of the ranked candidates ``best`` (doc_id, score) that :func:`collapse` leaves; with ``same`` None only equal hashes are skipped."""
-    found = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id")
+    found = cut(docs.select("doc_id", "text").join(F.broadcast(best), "doc_id"))  # bounded by the candidate limit, and used more than once
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc_id"))
     ranked = found.withColumn("rank", rank)
     if same is None:
@@ -83,18 +84,22 @@ def distinct_candidates(docs: DataFrame, best: DataFrame, same: float | None = S
     return collapse(ranked.select(F.lit(0).alias("query_id"), "rank", row, normalized_hash(F.col("text")).alias("hash"), "v"), same).select("rank", "key.*")
 
 
-def bm25(candidates: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(key, bm25) for each candidate; all statistics are the candidates' own."""
-    asked = query.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    split = candidates.select(key, terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
-    stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    tf = split.select(key, "length", F.explode("terms").alias("term")).join(F.broadcast(asked), "term").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def bm25(candidates: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, bm25) for each candidate; all statistics are the candidates' own.
+
+    The candidates of one query are few, so windows over them count what joins would ask their texts for again.
+    """
+    asked = query.select(F.array_distinct(terms(F.col("text"))).alias("asked"))
+    every = Window.partitionBy(F.lit(0))
+    rows = candidates.select(key, *keep, terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("mean", F.avg("length").over(every))
+    rows = rows.crossJoin(F.broadcast(asked)).withColumn("term", F.explode_outer("asked"))  # asked is one row
+    tf = F.size(F.filter("terms", lambda t: t == F.col("term")))
+    rows = rows.withColumn("tf", tf).withColumn("df", F.count_if(F.col("tf") > 0).over(Window.partitionBy("term")))
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
-    part = part / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    found = tf.join(df, "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(part).alias("bm25"))  # stats is one row
-    return candidates.select(key).join(found, key, "left").select(key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    part = F.when(F.col("tf") > 0, part / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean)))
+    return rows.groupBy(key, *keep).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
 
 
 def heuristic(scored: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
@@ -104,13 +109,22 @@ def heuristic(scored: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
     return scored.withColumn("rerank_score", rounded(weight * F.greatest(F.lit(0.0), F.col("score")) + (1 - weight) * lexical))
 
 
-def retrieve(docs: DataFrame, query: DataFrame, method: str = "heuristic", candidate_k: int = CANDIDATES, top_k: int = TOP, threshold: float | None = None, same: float | None = SAME) -> DataFrame:
-    """doc_id, score, rerank_score of the ``top_k`` results; of texts of equal normalised hash or a product above ``same`` (None: of equal hash only) the best candidate stays."""
+def retrieve(
+    docs: DataFrame, query: DataFrame, method: str = "heuristic", candidate_k: int = 0, top_k: int = 0, threshold: float | None = None, same: float | None = SAME, rerank_threshold: float | None = None,
+) -> DataFrame:
+    """doc_id, score, rerank_score of the ``top_k`` results; of texts of equal normalised hash or a product above ``same`` (None: of equal hash only) the best candidate stays.
+
+    0 takes the usual limits: TOP results of CANDIDATES or ``top_k`` candidates.  Both thresholds are inclusive; the one on
+    rerank_score holds where there is a rerank.
+    """
+    top_k = top_k or TOP
+    candidate_k = candidate_k or max(CANDIDATES, top_k)
     if not 1 <= top_k <= 50 or not top_k <= candidate_k <= 200 or method not in ("none", "heuristic"):
         raise ValueError("top_k is 1 to 50, candidate_k is top_k to 200, method is none or heuristic")
     best = top_candidates(text_scores(docs, query), candidate_k, threshold=threshold)
     found = distinct_candidates(docs, best, same)
     if method == "none":
         return found.select("doc_id", "score", F.col("score").alias("rerank_score")).orderBy(F.desc("score"), "doc_id").limit(top_k)
-    ranked = heuristic(found.select("doc_id", "score").join(bm25(found, query), "doc_id"))
+    ranked = heuristic(bm25(found, query, keep=("score",)))
+    ranked = ranked if rerank_threshold is None else ranked.where(F.col("rerank_score") >= rerank_threshold)
     return ranked.select("doc_id", "score", "rerank_score").orderBy(F.desc("rerank_score"), F.desc("score"), "doc_id").limit(top_k)

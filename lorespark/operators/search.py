@@ -55,6 +55,27 @@ def best(scored: DataFrame, k: int, threshold: float | None = None, key: str = "
     return scored.withColumn("rank", turn).where(F.col("rank") <= k)
 
 
+def shaped(found: DataFrame, documents: DataFrame, collections: DataFrame) -> DataFrame:
+    """Results as a reader gets them: query_id, rank, chunk_id, score, vector_score, rerank_score, text, section, seq, document, collection.
+
+    ``found`` has query_id, chunk_id, document_id, collection, text, section, seq, score and perhaps rerank_score, by which
+    results are ranked where it is not null.  Scores are raw until here and rounded now.  ``documents`` (document_id, title,
+    filename, ...) and ``collections`` (collection, name, ...) become structs; a document without a title has its file's name.
+    """
+    again = F.col("rerank_score") if "rerank_score" in found.columns else F.lit(None).cast("double")
+    found = found.withColumn("rerank_score", again)
+    order = [F.coalesce("rerank_score", "score").desc(), F.desc("score"), "chunk_id"]
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    title = F.coalesce(_filled(F.col("title")), "filename").alias("title")
+    about = documents.select("document_id", F.struct("document_id", title, *[c for c in documents.columns if c not in ("document_id", "title", "collection")]).alias("document"))
+    named = collections.select(F.col("collection"), F.struct(*collections.columns).alias("of"))
+    rounded = lambda x: F.round(x, 4) + F.lit(0.0)
+    return found.join(about, "document_id").join(named, "collection").select(
+        "query_id", "rank", "chunk_id", rounded(F.coalesce("rerank_score", "score")).alias("score"), rounded(F.col("score")).alias("vector_score"),
+        rounded(F.col("rerank_score")).alias("rerank_score"), "text", "section", "seq", "document", F.col("of").alias("collection"),
+    )
+
+
 def _filled(x: Column) -> Column:
     return F.when(x != "", x)
 

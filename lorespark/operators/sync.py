@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.written import cut
+
 
 def sync_diff(listing: DataFrame, stored: DataFrame, key: str = "source_key", version: str = "raw_hash") -> DataFrame:
     """(key, action): `new`, `changed`, `unchanged` or `deleted`, by one full outer join on the key."""
@@ -79,11 +81,10 @@ def job_outcome(counts: DataFrame) -> DataFrame:
 
 
 def crawl(start: DataFrame, links: DataFrame, depth: int, max_pages: int) -> DataFrame:
-    """(url, depth): breadth first over (src, dst) links; each round joins the frontier and leaves out what was seen."""
+    """(url, depth): breadth first over (src, dst) links; each round joins the frontier, leaves out what was seen, and is written once."""
     seen = frontier = start.select("url").distinct().withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         step = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = step.join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
-    turn = F.row_number().over(Window.orderBy("depth", "url"))
-    return seen.withColumn("turn", turn).where(F.col("turn") <= max_pages).drop("turn") if max_pages else seen
+    return seen.orderBy("depth", "url").limit(max_pages) if max_pages else seen

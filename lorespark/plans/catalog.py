@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import bag_of_words, norm
-from ..operators import chunking, code, filters, listing, parsing, retrieval, search, sync
+from ..functions.written import cut
+from ..operators import chunking, code, documents, filters, listing, parsing, retrieval, search, sync
 from ..operators.retrieval import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +85,7 @@ TERMS_SQL = f"list_transform(list_filter({WORDS_SQL}, lambda w: length(w) > 1 an
 @query(f"select term, count(*) as tf, count(distinct doc_id) as df from (select doc_id, unnest({TERMS_SQL}) as term from documents) group by term")
 def term_frequency(spark, sf_dir):
     """Counted first for each document and term, so a frequent term is no large group."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    rows = T.term_rows(table(spark, sf_dir, "documents"), "doc_id")
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -196,10 +197,7 @@ def retrieve_heuristic(spark, sf_dir):
 @query(f"with {RERANKED} select doc_id, round(bm25, 4) + 0.0 as bm25 from b")
 def bm25_candidates(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    best = retrieval.top_candidates(retrieval.text_scores(docs, asked))
-    found = docs.join(F.broadcast(best), "doc_id")
-    first = F.row_number().over(Window.partitionBy(T.normalized_hash(F.col("text"))).orderBy(F.desc("score"), "doc_id"))
-    found = found.withColumn("turn", first).where("turn = 1")
+    found = retrieval.distinct_candidates(docs, retrieval.top_candidates(retrieval.text_scores(docs, asked)), None)
     return retrieval.bm25(found, asked).select("doc_id", rounded(F.col("bm25")).alias("bm25"))
 
 
@@ -226,7 +224,7 @@ f as (select doc_id, score, text, rank from r where rank in (select unnest(picke
 
 def _distinct(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    best = retrieval.top_candidates(retrieval.text_scores(docs, _asked(spark, sf_dir)))
+    best = cut(retrieval.top_candidates(retrieval.text_scores(docs, _asked(spark, sf_dir))))
     return best, retrieval.distinct_candidates(docs, best)
 
 
@@ -410,6 +408,46 @@ def markdown_units(spark, sf_dir):
     return parsing.markdown_units(_docs(spark, sf_dir))
 
 
+@query(r"""select doc_id, case when doc_id % 3 = 0 then 'Doc ' || doc_id end as title, case when doc_id % 3 = 0 then '2024-01-05' end as doc_date,
+case when doc_id % 3 = 0 then nullif(lang, '') end as language, case when doc_id % 3 = 0 then 'a, b' end as tags, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents""")
+def front_matter(spark, sf_dir):
+    """Every third document begins with front matter: a title, a date and a time, a list, a name given twice, and a line that is no entry."""
+    head = F.concat(F.lit("---\ntitle: 'Doc "), F.col("doc_id").cast("string"), F.lit("'\nlang: x\ndate: 2024-01-05T10:00\ntags: [a, b]\n  - no: entry\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+    return parsing.front_matter(docs).select("doc_id", "title", "doc_date", F.col("properties")["lang"].alias("language"), F.col("properties")["tags"].alias("tags"), "text")
+
+
+KIND = "case doc_id % 6 when 0 then 'markdown' when 1 then 'rst' when 2 then 'html' when 3 then 'text' when 4 then 'jsonl' end"
+
+
+def _files(spark, sf_dir):
+    """Each document as a file of one of six kinds, the last of which no parser knows."""
+    n, body, name = F.col("doc_id") % 6, F.regexp_replace("text", r"\s+", " "), F.col("doc_id").cast("string")
+    head = F.concat(F.lit("Part "), name)
+    text = F.when(n == 0, F.concat(F.lit("---\ntitle: t\n---\n# "), head, F.lit("\n\n"), body)).when(n == 1, F.concat(head, F.lit("\n"), F.repeat(F.lit("="), F.length(head)), F.lit("\n\n"), body))
+    markup = F.concat(F.lit("<h1>"), head, F.lit("</h1><p>"), F.regexp_replace(F.regexp_replace(body, "&", "&amp;"), "<", "&lt;"), F.lit("</p>"))
+    text = text.when(n == 2, markup).when(n == 4, F.to_json(F.struct(F.col("doc_id").alias("id"), body.alias("text")))).otherwise(body)
+    ends = F.array(*map(F.lit, (".md", ".rst", ".html", ".txt", ".jsonl", ".bin")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(name, F.element_at(ends, (n + 1).cast("int"))).alias("filename"), text.alias("text"))
+
+
+@query(rf"""select doc_id, kind, 1::int as unit, case doc_id % 6 when 3 then '' when 4 then 'Запись ' || doc_id else 'Part ' || doc_id end as section,
+case when doc_id % 6 = 4 then sha256('text: ' || body) when doc_id % 6 = 3 then sha256(body) end as text_sha256
+from (select doc_id, {KIND} as kind, trim(regexp_replace(text, '\s+', ' ', 'g')) as body from documents) where kind is not null and body <> ''""")
+def parse_documents(spark, sf_dir):
+    """Units of all kinds; the texts of headed kinds differ in their heading's line, so only their sections are compared."""
+    units = documents.parse_documents(_files(spark, sf_dir))
+    whole = F.when(F.col("kind").isin("text", "jsonl"), F.sha2("text", 256))
+    return units.select("doc_id", "kind", "unit", "section", whole.alias("text_sha256"))
+
+
+@query(rf"""select doc_id, {KIND} as kind, (case when doc_id % 6 < 5 then 1 else 0 end)::bigint as units, (case when doc_id % 6 not in (3, 5) then 1 end)::bigint as sections,
+case when doc_id % 6 = 5 then 'unsupported format' end as error from documents""")
+def parse_outcomes(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return documents.outcomes(files, documents.parse_documents(files))
+
+
 @query()
 def parse_html(spark, sf_dir):
     return parsing.html_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "lang", "text", F.size("links").alias("n_links"))
@@ -517,6 +555,22 @@ def raw_score_threshold(spark, sf_dir):
     return search.scores(chunks, asked).where("score >= 0.2").select("query_id", "chunk_id", rounded(F.col("score")).alias("score"))
 
 
+@query(f"""{INDEX}, r as (select *, row_number() over (partition by query_id order by raw desc, chunk_id) as rank from p where raw >= 0.05)
+select query_id, rank::int as rank, chunk_id, round(raw, 4) + 0.0 as score, round(raw, 4) + 0.0 as vector_score, null::double as rerank_score, d.doc_id as document_id,
+case when d.doc_id % 2 = 0 then 'Title ' || d.doc_id else d.doc_id || '.txt' end as title, 'The ' || d.source as collection_name
+from r join documents d on d.doc_id = r.chunk_id where rank <= 5""")
+def shaped_results(spark, sf_dir):
+    """Every second document has a title; the others go by their file's name."""
+    chunks, asked = _index(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    found = search.best(search.scores(chunks, asked), 5, 0.05).withColumns({"text": F.lit(""), "section": F.lit(""), "seq": F.lit(0)}).drop("rank")
+    number = F.col("doc_id").cast("string")
+    about = docs.select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Title "), number)).alias("title"), F.concat(number, F.lit(".txt")).alias("filename"))
+    named = docs.where("source is not null").select(F.col("source").alias("collection"), F.concat(F.lit("The "), "source").alias("name")).distinct()
+    out = search.shaped(found, about, named)
+    return out.select("query_id", "rank", "chunk_id", "score", "vector_score", "rerank_score", "document.document_id", "document.title", F.col("collection.name").alias("collection_name"))
+
+
 @query("select c as collection from (values ('src1'), ('nowhere'), ('src2')) v(c) where c not in (select source from documents where source is not null)")
 def missing_collections(spark, sf_dir):
     requested = spark.createDataFrame([("src1",), ("nowhere",), ("src2",)], "collection string")
