@@ -45,9 +45,9 @@ def propagate(nodes: DataFrame, hot: DataFrame, cap: float, shards: int = SHARDS
     return nodes
 
 
-def _dealt(rows: DataFrame, buckets: int, by: list[str]) -> DataFrame:
-    """Add ``bucket`` by hash, so that running sums never need one task for all rows."""
-    return rows.withColumn("order", F.xxhash64(*by, F.lit(SEED + 1))).withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
+def _dealt(rows: DataFrame, buckets: int, by: list[str], seed: int) -> DataFrame:
+    """Add ``bucket`` by seeded hash, so that running sums never need one task for all rows."""
+    return rows.withColumn("order", F.xxhash64(*by, F.lit(seed))).withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -86,8 +86,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, rows_per_
         at += max(0.0, cap - load.get(s, 0))
         ends.append(at)
     buckets = max(64, -(-(n or 0) // rows_per_bucket))
-    placed = cut(held.unionByName(_filled(_dealt(pool, buckets, ["doc_id", "size", "text_crc32"]), ends)))
-    return _slots(_dealt(placed, buckets, ["doc_id", "size", "text_crc32"]))
+    placed = cut(held.unionByName(_filled(_dealt(pool, buckets, ["doc_id", "size", "text_crc32"], SEED + 1), ends)))
+    # The pool's buckets went to shards in their order, so slots are dealt anew: a shard has rows in all buckets.
+    return _slots(_dealt(placed, buckets, ["doc_id", "size", "text_crc32"], SEED + 2))
 
 
 def _filled(pool: DataFrame, ends: list[float]) -> DataFrame:
