@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, langid, licences, minmax, mixing, packing, quality, shards, toxicity
+from . import alignment, ann, exact_dedup, fim, langid, licences, minmax, mixing, packing, quality, shards, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = op1_language_id, op2_licence_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality, op8_near_dedup, op9_sharding, op10_nearest
+    ops = op1_language_id, op2_licence_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality, op8_near_dedup, op9_sharding, op10_nearest, op11_fill_in_middle, op12_token_alignment
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
@@ -101,4 +109,4 @@ from w left join n using (doc_id) join m on m.a = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_SQL, "op6_mixing": mixing.ORACLE, "op8_near_dedup": NEAR_SQL}
+    return {"op4_exact_dedup": EXACT_SQL, "op6_mixing": mixing.ORACLE, "op8_near_dedup": NEAR_SQL, "op11_fill_in_middle": fim.ORACLE}
