@@ -130,7 +130,7 @@ class Chunks(dict):
         stat[:, 4] = np.bincount(owner, minlength=len(chunks))
         if self.table is not None:
             keys, counts, best = self.table
-            place = np.searchsorted(keys, key)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             stat[:, 5] = np.bincount(owner, best[place], len(chunks))
             np.add.at(stat[:, 6], owner, counts[place])
             self.text += self._texts(flat_a, flat_b, group_a, group_b, stat[:, 3])
@@ -270,7 +270,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, links: str = "end", salts:
     """
     docs = docs.select("doc_id", "text")
     counts = cut(with_best(cut(pair_counts(docs, path_a, path_b, links, salts))))
-    if counts.count() <= broadcast_pairs:
+    if 0 < counts.count() <= broadcast_pairs:
         rows = counts.orderBy("key").toArrow()
         table = tuple(rows[c].to_numpy() for c in ("key", "n", "best"))
         return _described(docs, path_a, path_b, links, (table[0], table[1], table[2].astype(np.float64)), False)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, exact_dedup, fim, langid, licences, minmax, mixing, packing, quality, shards, toxicity
+from . import alignment, ann, exact_dedup, fim, langid, licences, minmax, mixing, packing, quality, repeats, shards, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.strip_repeats(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = op1_language_id, op2_licence_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality, op8_near_dedup, op9_sharding, op10_nearest, op11_fill_in_middle, op12_token_alignment
+    ops = op1_language_id, op2_licence_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality, op8_near_dedup, op9_sharding, op10_nearest, op11_fill_in_middle, op12_token_alignment, op13_suffix_dedup
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
