@@ -9,9 +9,10 @@ from ..functions.written import cut
 
 
 def sync_diff(listing: DataFrame, stored: DataFrame, key: str = "source_key", version: str = "raw_hash") -> DataFrame:
-    """(key, action): `new`, `changed`, `unchanged` or `deleted`, by one full outer join on the key."""
-    a, b = listing.select(key, F.col(version).alias("now")), stored.select(key, F.col(version).alias("then"))
-    action = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("now") == F.col("then"), "unchanged").otherwise("changed")
+    """(key, action): `new`, `changed`, `unchanged` or `deleted`, by one full outer join on the key; a null hash on either side is `changed`."""
+    a = listing.select(key, F.col(version).alias("now"), F.lit(True).alias("listed"))
+    b = stored.select(key, F.col(version).alias("then"), F.lit(True).alias("known"))
+    action = F.when(F.col("known").isNull(), "new").when(F.col("listed").isNull(), "deleted").when(F.col("now") == F.col("then"), "unchanged").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 

@@ -674,9 +674,15 @@ def inline_filenames(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.inline_filename(title, F.col("text"), form).alias("filename"))
 
 
+def _loaded() -> None:
+    from . import kept  # noqa: F401  adds its own queries
+
+
 def queries() -> dict[str, Query]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_SQL)
