@@ -37,3 +37,21 @@ def bag_of_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(key, F.explode(F.when(F.size(long) > 0, long).otherwise(F.array(F.lit(None).cast("string")))).alias("word"))
     rows = rows.select(key, F.when(F.col("word").isNull(), 0).otherwise(bucket(F.col("word"))).alias("bucket"))
     return rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bag_vector(text: Column) -> Column:
+    """The same embedding as a dense unit vector, worked out within the row: buckets are sorted, and each one's number is the
+    distance from where it begins to where the next one does."""
+    let = lambda x, use: F.transform(F.array(x), use)[0]
+    long = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LONG_WORD), F.lit(1))
+    buckets = F.array_sort(F.transform(F.when(F.size(long) > 0, long), bucket))
+
+    def counts(met: Column) -> Column:
+        present = F.array_distinct(met)
+        begins = F.transform(present, lambda b: F.array_position(met, b))
+        ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(met) + F.lit(1).cast("bigint")))
+        return F.map_from_arrays(present, F.zip_with(begins, ends, lambda a, b: b - a))
+
+    dense = lambda n: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at(n, b), F.lit(0)).cast("double"))
+    met = F.coalesce(buckets, F.array(F.lit(0)))
+    return let(let(met, lambda m: let(counts(m), dense)), l2_normalize)

@@ -1,38 +1,37 @@
-"""Two-stage retrieval: filtered cosine candidates, near-duplicate collapse, then reranking."""
+"""Two-stage retrieval for many queries at once: filtered cosine candidates, near-duplicate collapse, then reranking."""
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_hash, terms
-from ..functions.vectors import BUCKETS, bag_of_words, dot
+from ..functions.vectors import bag_vector, dot
 from ..functions.written import cut
+from . import search
 
 CANDIDATES, TOP, SAME, K1, B, VECTOR_WEIGHT = 20, 5, 0.97, 1.5, 0.75, 0.6
+#: Candidates are compared by scores of this many places, so that the order of additions does not decide.
+PLACES = 9
+#: Chunk ids of candidates that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+COUNTERS = ("candidates", "after_threshold", "after_dedup", "after_rerank", "returned")
 
 
 def rounded(x: Column, digits: int = 4) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
-def text_scores(docs: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score): cosine of bag-of-words vectors; ``query`` has one row with ``text``.
-
-    The query's vector has at most 256 rows and is broadcast; each document is one partial sum, so one shuffle of at most
-    256 counts a document does all.
-    """
-    q = bag_of_words(query.select(F.lit(0).alias("q"), "text"), "q", "text").select("bucket", F.col("n").alias("m"))
-    q = q.withColumn("m", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(F.lit(0)))))
-    rows = bag_of_words(docs, key, text).join(F.broadcast(q), "bucket", "left")
-    score = F.sum(F.col("n") * F.coalesce("m", F.lit(0.0))) / F.sqrt(F.sum(F.col("n") * F.col("n")))
-    return rows.groupBy(key).agg(rounded(score).alias("score"))
+def embedded(rows: DataFrame, text: str = "text", model: str = "bow") -> DataFrame:
+    """Add ``embedding`` and ``model``: the offline bag-of-words vector of each row's text, without a shuffle."""
+    return rows.withColumn("embedding", bag_vector(F.col(text))).withColumn("model", F.lit(model))
 
 
-def top_candidates(scores: DataFrame, k: int = CANDIDATES, key: str = "doc_id", threshold: float | None = None) -> DataFrame:
-    """The k best; the threshold is inclusive; ties go to the smaller key."""
-    scores = scores if threshold is None else scores.where(F.col("score") >= threshold)
-    return scores.orderBy(F.desc("score"), key).limit(k)
+def asked(rows: DataFrame, key: str, text: str = "text", model: str = "bow") -> DataFrame:
+    """Rows of texts as queries: query_id, text, model, q."""
+    return rows.select(F.col(key).alias("query_id"), F.col(text).alias("text"), F.lit(model).alias("model"), bag_vector(F.col(text)).alias("q"))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -63,68 +62,85 @@ def collapse(candidates: DataFrame, same: float = SAME) -> DataFrame:
     return listed.select("query_id", F.explode(taken).alias("x")).select("query_id", "x.rank", "x.key")
 
 
-def unit_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, v): the bag-of-words embedding of a bounded table as dense unit vectors."""
-    n = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
-    rows = bag_of_words(docs, key, text).groupBy(key).agg(n.alias("counts"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    every = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
-    return rows.select(key, F.transform(every, lambda b: F.coalesce(F.try_element_at("counts", b), F.lit(0)) / F.col("length")).alias("v"))
-
-
-def distinct_candidates(docs: DataFrame, best: DataFrame, same: float | None = SAME) -> DataFrame:
-    """rank, doc_id, text, score of the ranked candidates ``best`` (doc_id, score) that :func:`collapse` leaves; with ``same`` None only equal hashes are skipped."""
-    found = cut(docs.select("doc_id", "text").join(F.broadcast(best), "doc_id"))  # bounded by the candidate limit, and used more than once
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc_id"))
-    ranked = found.withColumn("rank", rank)
-    if same is None:
-        first = F.row_number().over(Window.partitionBy(normalized_hash(F.col("text"))).orderBy("rank"))
-        return ranked.withColumn("turn", first).where("turn = 1").select("rank", "doc_id", "text", "score")
-    ranked = ranked.join(unit_vectors(found), "doc_id")
-    row = F.struct("doc_id", "text", "score").alias("key")
-    return collapse(ranked.select(F.lit(0).alias("query_id"), "rank", row, normalized_hash(F.col("text")).alias("hash"), "v"), same).select("rank", "key.*")
+def candidates(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, filters: dict[str, Any] | None = None, key: str = "chunk_id") -> DataFrame:
+    """query_id, key, score, rank: each query's ``k`` best of the chunks that pass ``filters``; ties go to the smaller key."""
+    slim = chunks.drop("text", "title", "section")
+    scored = search.scores(slim, queries.select("query_id", "model", "q"), filters, key)
+    scored = scored.select("query_id", key, F.round("score", PLACES).alias("score"))
+    return search.best(scored, k, key=key)
 
 
-def bm25(candidates: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep, bm25) for each candidate; all statistics are the candidates' own.
+def bm25(found: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, key, bm25 of each candidate (query_id, key, text); all statistics are those of its query's candidates.
 
-    The candidates of one query are few, so windows over them count what joins would ask their texts for again.
+    ``queries`` has query_id and text.  A term that no candidate has counts nothing; a query without terms gives 0 to all.
     """
-    asked = query.select(F.array_distinct(terms(F.col("text"))).alias("asked"))
-    every = Window.partitionBy(F.lit(0))
-    rows = candidates.select(key, *keep, terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("mean", F.avg("length").over(every))
-    rows = rows.crossJoin(F.broadcast(asked)).withColumn("term", F.explode_outer("asked"))  # asked is one row
-    tf = F.size(F.filter("terms", lambda t: t == F.col("term")))
-    rows = rows.withColumn("tf", tf).withColumn("df", F.count_if(F.col("tf") > 0).over(Window.partitionBy("term")))
+    own = Window.partitionBy("query_id")
+    rows = found.select("query_id", key, terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("mean", F.avg("length").over(own))
+    wanted = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("asked"))
+    rows = rows.join(wanted, "query_id").withColumn("term", F.explode_outer("asked"))
+    rows = rows.withColumn("tf", F.size(F.filter("terms", lambda t: t == F.col("term")))).drop("terms", "asked")
+    rows = rows.withColumn("df", F.count_if(F.col("tf") > 0).over(Window.partitionBy("query_id", "term")))
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = F.when(F.col("tf") > 0, part / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean)))
-    return rows.groupBy(key, *keep).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
+    return rows.groupBy("query_id", key).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
 
 
 def heuristic(scored: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
-    """Add rerank_score: the vector score and the share of the best BM25, weighed; ``scored`` holds one query's candidates."""
-    best = F.max("bm25").over(Window.partitionBy(F.lit(0)))
+    """Add rerank_score: the vector score and the share of the query's best BM25, weighed."""
+    best = F.max("bm25").over(Window.partitionBy("query_id"))
     lexical = F.when(best > 0, F.col("bm25") / best).otherwise(0.0)
-    return scored.withColumn("rerank_score", rounded(weight * F.greatest(F.lit(0.0), F.col("score")) + (1 - weight) * lexical))
+    return scored.withColumn("rerank_score", rounded(weight * F.greatest(F.lit(0.0), rounded(F.col("score"))) + (1 - weight) * lexical))
 
 
-def retrieve(
-    docs: DataFrame, query: DataFrame, method: str = "heuristic", candidate_k: int = 0, top_k: int = 0, threshold: float | None = None, same: float | None = SAME, rerank_threshold: float | None = None,
-) -> DataFrame:
-    """doc_id, score, rerank_score of the ``top_k`` results; of texts of equal normalised hash or a product above ``same`` (None: of equal hash only) the best candidate stays.
+def distinct(chunks: DataFrame, best: DataFrame, same: float = SAME, key: str = "chunk_id") -> DataFrame:
+    """The candidates ``best`` (query_id, key, score, rank) that :func:`collapse` leaves, with the columns of their chunks.
+
+    Texts are read a second time here, of candidates only, whose number ``k`` bounds for each query.
+    """
+    ids = best.select(key).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    rows = best.join(cut(chunks.join(F.broadcast(ids) if few else ids, key)), key)
+    left = collapse(rows.select("query_id", "rank", F.col(key).alias("key"), normalized_hash(F.col("text")).alias("hash"), F.col("embedding").alias("v")), same)
+    return rows.drop("embedding").join(left.select("query_id", F.col("key").alias(key)), ["query_id", key])
 
-    0 takes the usual limits: TOP results of CANDIDATES or ``top_k`` candidates.  Both thresholds are inclusive; the one on
-    rerank_score holds where there is a rerank.
+
+def retrieve(
+    chunks: DataFrame, queries: DataFrame, filters: dict[str, Any] | None = None, method: str = "none", candidate_k: int = 0, top_k: int = 0,
+    threshold: float | None = None, same: float = SAME, rerank_threshold: float | None = None, key: str = "chunk_id",
+) -> tuple[DataFrame, DataFrame]:
+    """(results, counters) of all ``queries`` (query_id, text, model, q; see :func:`asked`).
+
+    ``chunks`` has key, text, embedding, model and what ``filters`` ask for; title and section, if there, are part of what
+    is reranked.  Results are the chunks' columns with query_id, rank, score and rerank_score (null without a rerank), up to
+    ``top_k`` for each query; 0 takes the usual limits, TOP results of CANDIDATES or ``top_k`` candidates.  Filters hold
+    before candidates are taken.  Both thresholds are inclusive, and the one on rerank_score holds where there is a rerank.
+    Of texts of equal normalised hash, or with a product above ``same``, the better candidate stays.  Counters have a row
+    for each query, also for one that finds nothing: candidates, after_threshold, after_dedup, after_rerank, returned.
     """
     top_k = top_k or TOP
     candidate_k = candidate_k or max(CANDIDATES, top_k)
     if not 1 <= top_k <= 50 or not top_k <= candidate_k <= 200 or method not in ("none", "heuristic"):
         raise ValueError("top_k is 1 to 50, candidate_k is top_k to 200, method is none or heuristic")
-    best = top_candidates(text_scores(docs, query), candidate_k, threshold=threshold)
-    found = distinct_candidates(docs, best, same)
-    if method == "none":
-        return found.select("doc_id", "score", F.col("score").alias("rerank_score")).orderBy(F.desc("score"), "doc_id").limit(top_k)
-    ranked = heuristic(bm25(found, query, keep=("score",)))
-    ranked = ranked if rerank_threshold is None else ranked.where(F.col("rerank_score") >= rerank_threshold)
-    return ranked.select("doc_id", "score", "rerank_score").orderBy(F.desc("rerank_score"), F.desc("score"), "doc_id").limit(top_k)
+    met = cut(candidates(chunks, queries, candidate_k, filters, key))
+    passed = met if threshold is None else met.where(F.col("score") >= threshold)
+    found = cut(distinct(chunks, passed, same, key))
+    if method == "heuristic":
+        part = lambda c: F.col(c) if c in found.columns else F.lit(None).cast("string")
+        texts = found.select("query_id", key, search.rerank_text(part("title"), part("section"), F.col("text")).alias("text"))
+        ranked = heuristic(found.join(bm25(texts, queries, key), ["query_id", key])).drop("bm25")
+        ranked = ranked if rerank_threshold is None else ranked.where(F.col("rerank_score") >= rerank_threshold)
+        order = [F.desc("rerank_score"), "rank"]
+    else:
+        ranked, order = found.withColumn("rerank_score", F.lit(None).cast("double")), ["rank"]
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    ranked = cut(ranked)
+    results = ranked.where(F.col("rank") <= top_k)
+    each = [(met, {"candidates": F.count(F.lit(1)), "after_threshold": F.count_if(F.lit(True) if threshold is None else F.col("score") >= threshold)}),
+            (found, {"after_dedup": F.count(F.lit(1))}), (ranked, {"after_rerank": F.count(F.lit(1)), "returned": F.count_if(F.col("rank") <= top_k)})]
+    counters = queries.select("query_id")
+    for df, what in each:
+        counters = counters.join(df.groupBy("query_id").agg(*[c.alias(n) for n, c in what.items()]), "query_id", "left")
+    return results, counters.na.fill(0, list(COUNTERS))

@@ -147,113 +147,92 @@ def score_threshold(spark, sf_dir):
 
 # Retrieval -------------------------------------------------------------------------------------------------------------
 
-SCORES = r"""
-q as (select text from benchmark order by item_id limit 1),
-bag as (select doc_id, bucket, count(*) as n from (
-    select doc_id, unnest(case when len(ws) > 0 then list_transform(ws, lambda w: concat('0x', right(md5(w[1:5]), 2))::int) else [0] end) as bucket
-    from (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3) as ws from documents)) group by all),
-qb as (select bucket, count(*) as m from (
-    select unnest(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3), lambda w: concat('0x', right(md5(w[1:5]), 2))::int)) as bucket from q) group by all),
-qn as (select bucket, m / sqrt(sum(m * m) over ()) as m from qb),
-scores as (select doc_id, round(sum(n * coalesce(m, 0)) / sqrt(sum(n * n)), 4) + 0.0 as score from bag left join qn using (bucket) group by doc_id),
-c as (select doc_id, score from scores order by score desc, doc_id limit 20)"""
-COLLAPSED = SCORES + rf""",
-k as (select doc_id, score, text, row_number() over (partition by {NORMAL} order by score desc, doc_id) as turn from c join documents using (doc_id)),
-f as (select doc_id, score, text from k where turn = 1)"""
-RERANKED = COLLAPSED + f""",
-t as (select doc_id, score, {TERMS_SQL} as ts from f),
-st as (select count(*) as n, avg(len(ts)) as mean from t),
-asked as (select distinct unnest({TERMS_SQL}) as term from q),
-tf as (select doc_id, len(ts) as length, term, count(*) as tf from (select doc_id, ts, unnest(ts) as term from t) join asked using (term) group by all),
-df as (select term, count(*) as df from tf group by term),
-bm as (select doc_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / mean))) as bm25 from tf join df using (term), st group by doc_id),
-b as (select doc_id, score, coalesce(bm25, 0) as bm25 from f left join bm using (doc_id)),
-h as (select doc_id, score, round(0.6::double * greatest(0, score) + 0.4::double * case when max(bm25) over () > 0 then bm25 / max(bm25) over () else 0 end, 4) + 0.0 as rerank_score from b)"""
+LONG_SQL = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3)"
+BAG_SQL = "unnest(case when len(ws) > 0 then list_transform(ws, lambda w: concat('0x', right(md5(w[1:5]), 2))::int) else [0] end) as bucket"
+#: Every benchmark item is a query; candidates are its twenty best documents of three languages, before and after the collapse.
+CANDIDATE_SQL = rf"""
+t as (select doc_id as id, text from documents where lang in ('en', 'fr', 'de') union all select -1 - item_id, text from benchmark),
+bag as (select id, bucket, count(*) as n from (select id, {BAG_SQL} from (select id, {LONG_SQL} as ws from t)) group by all),
+len as (select id, sum(n * n) as l from bag group by id),
+v as (select len.id, list(coalesce(n, 0) / sqrt(l) order by x.bucket) as v from len cross join (select unnest(range(256))::int as bucket) x left join bag on bag.id = len.id and bag.bucket = x.bucket group by len.id),
+p as (select -1 - q.id as query_id, d.id as doc_id, d.v, round(list_inner_product(d.v, q.v), 9) as score from v d, v q where d.id >= 0 and q.id < 0),
+c as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from p qualify rank <= 20)"""
+DISTINCT_SQL = CANDIDATE_SQL + rf""",
+r as (select query_id, rank, doc_id, score, v, text, {NORMAL} as h from c join documents using (doc_id) where score >= 0.3),
+near as (select b.query_id, b.rank, list(a.rank) as before from r a join r b on a.query_id = b.query_id and a.rank < b.rank and (a.h = b.h or list_inner_product(a.v, b.v) > 0.97) group by all),
+g as (select distinct query_id, 0::bigint as rank, []::bigint[] as picked from r
+      union all select g.query_id, r.rank, case when list_has_any(g.picked, coalesce(near.before, [])) then g.picked else list_append(g.picked, r.rank) end
+      from g join r on r.query_id = g.query_id and r.rank = g.rank + 1 left join near on near.query_id = r.query_id and near.rank = r.rank),
+f as (select query_id, rank, doc_id, score, text from r where exists (select 1 from g where g.query_id = r.query_id and g.rank = r.rank and list_contains(g.picked, r.rank)))"""
+RERANK_SQL = DISTINCT_SQL + f""",
+ts as (select query_id, rank, doc_id, score, {TERMS_SQL} as ts from f),
+st as (select query_id, count(*) as n, avg(len(ts)) as mean from ts group by query_id),
+ask as (select distinct item_id as query_id, unnest({TERMS_SQL}) as term from benchmark),
+tf as (select query_id, doc_id, len(ts) as length, term, count(*) as tf from (select query_id, doc_id, ts, unnest(ts) as term from ts) join ask using (query_id, term) group by all),
+df as (select query_id, term, count(*) as df from tf group by all),
+bm as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / mean))) as bm25
+       from tf join df using (query_id, term) join st using (query_id) group by all),
+b as (select ts.query_id, rank, doc_id, score, coalesce(bm25, 0) as bm25 from ts left join bm using (query_id, doc_id)),
+h as (select query_id, rank, doc_id, score, round(0.6::double * greatest(0, round(score, 4)) + 0.4::double * case when max(bm25) over own > 0 then bm25 / max(bm25) over own else 0 end, 4) + 0.0 as rerank_score
+      from b window own as (partition by query_id)),
+o as (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as place from h)"""
+ASKED = {"languages": ["en", "fr", "de"]}
+
+
+def _chunks(spark, sf_dir):
+    return retrieval.embedded(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text"))
 
 
 def _asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select("text")
+    return retrieval.asked(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def _retrieved(spark, sf_dir, **given):
+    return retrieval.retrieve(_chunks(spark, sf_dir), _asked(spark, sf_dir), ASKED, threshold=0.3, key="doc_id", **given)
 
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(f"with {SCORES} select doc_id, score from c")
+@query(f"with {CANDIDATE_SQL} select query_id, rank::int as rank, doc_id, round(score, 4) + 0.0 as score from c")
 def cosine_topk(spark, sf_dir):
-    return retrieval.top_candidates(retrieval.text_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)))
+    found = retrieval.candidates(_chunks(spark, sf_dir), _asked(spark, sf_dir), filters=ASKED, key="doc_id")
+    return found.select("query_id", "rank", "doc_id", rounded(F.col("score")).alias("score"))
+
+
+@query(f"with recursive {DISTINCT_SQL} select query_id, doc_id, rank::int as rank from f")
+def near_dup_collapse(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    best = cut(retrieval.candidates(chunks, _asked(spark, sf_dir), filters=ASKED, key="doc_id")).where("score >= 0.3")
+    return retrieval.distinct(chunks, best, key="doc_id").select("query_id", "doc_id", "rank")
 
 
-@query(f"with {COLLAPSED} select doc_id, score, score as rerank_score from f order by score desc, doc_id limit 5")
+@query(f"""with recursive {DISTINCT_SQL}, k as (select *, row_number() over (partition by query_id order by rank) as place from f)
+select query_id, place::int as rank, doc_id, round(score, 4) + 0.0 as score from k where place <= 5""")
 def retrieve_none(spark, sf_dir):
-    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), "none", same=None)
+    return _retrieved(spark, sf_dir)[0].select("query_id", "rank", "doc_id", rounded(F.col("score")).alias("score"))
 
 
-@query(f"with {RERANKED} select doc_id, score, rerank_score from h order by rerank_score desc, score desc, doc_id limit 5")
+@query(f"with recursive {RERANK_SQL} select query_id, place::int as rank, doc_id, round(score, 4) + 0.0 as score, rerank_score from o where place <= 5")
 def retrieve_heuristic(spark, sf_dir):
-    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), same=None)
+    return _retrieved(spark, sf_dir, method="heuristic")[0].select("query_id", "rank", "doc_id", rounded(F.col("score")).alias("score"), "rerank_score")
 
 
-@query(f"with {RERANKED} select doc_id, round(bm25, 4) + 0.0 as bm25 from b")
+@query(f"with recursive {RERANK_SQL} select query_id, doc_id, round(bm25, 4) + 0.0 as bm25 from b")
 def bm25_candidates(spark, sf_dir):
-    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    found = retrieval.distinct_candidates(docs, retrieval.top_candidates(retrieval.text_scores(docs, asked)), None)
-    return retrieval.bm25(found, asked).select("doc_id", rounded(F.col("bm25")).alias("bm25"))
+    chunks, asked = _chunks(spark, sf_dir), _asked(spark, sf_dir)
+    best = cut(retrieval.candidates(chunks, asked, filters=ASKED, key="doc_id")).where("score >= 0.3")
+    return retrieval.bm25(cut(retrieval.distinct(chunks, best, key="doc_id")), asked, "doc_id").select("query_id", "doc_id", rounded(F.col("bm25")).alias("bm25"))
 
 
-@query(f"""with {COLLAPSED} select (select count(*) from c) as candidates, (select count(*) from c where score >= 0.3) as after_threshold,
-(select count(*) from f where score >= 0.3) as after_dedup""")
+@query(f"""with recursive {RERANK_SQL}, one as (select query_id, count(*) as candidates, count_if(score >= 0.3)::bigint as after_threshold from c group by query_id),
+two as (select query_id, count(*) as after_dedup from f group by query_id), three as (select query_id, count(*) as after_rerank, least(count(*), 5) as returned from h where rerank_score >= 0.5 group by query_id)
+select item_id as query_id, coalesce(candidates, 0)::bigint as candidates, coalesce(after_threshold, 0)::bigint as after_threshold, coalesce(after_dedup, 0)::bigint as after_dedup,
+coalesce(after_rerank, 0)::bigint as after_rerank, coalesce(returned, 0)::bigint as returned
+from benchmark left join one on one.query_id = item_id left join two on two.query_id = item_id left join three on three.query_id = item_id""")
 def retrieval_stage_counts(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    best = retrieval.top_candidates(retrieval.text_scores(docs, _asked(spark, sf_dir)))
-    found = docs.join(F.broadcast(best), "doc_id").select("score", T.normalized_hash(F.col("text")).alias("h"))
-    return found.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= 0.3).alias("after_threshold"), F.countDistinct(F.when(F.col("score") >= 0.3, F.col("h"))).alias("after_dedup"))
-
-
-#: Queries with the whole rule; those above skip equal hashes only, as their SQL says.
-DISTINCT = SCORES + rf""",
-r as (select doc_id, score, text, row_number() over (order by score desc, doc_id) as rank, {NORMAL} as h from c join documents using (doc_id)),
-u as (select rank, bucket, n / sqrt(sum(n * n) over (partition by rank)) as x from bag join r using (doc_id)),
-d as (select a.rank as a, b.rank as b, sum(a.x * b.x) as x from u a join u b on a.bucket = b.bucket and a.rank < b.rank group by all),
-near as (select b as rank, list(a) as before from (select a, b from d where x > 0.97 union select a.rank, b.rank from r a join r b on a.h = b.h and a.rank < b.rank) t(a, b) group by b),
-g as (select 0::bigint as rank, []::bigint[] as picked
-      union all select r.rank, case when list_has_any(g.picked, coalesce(near.before, [])) then g.picked else list_append(g.picked, r.rank) end
-      from g join r on r.rank = g.rank + 1 left join near on near.rank = r.rank),
-f as (select doc_id, score, text, rank from r where rank in (select unnest(picked) from g where rank = (select count(*) from r)))"""
-
-
-def _distinct(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    best = cut(retrieval.top_candidates(retrieval.text_scores(docs, _asked(spark, sf_dir))))
-    return best, retrieval.distinct_candidates(docs, best)
-
-
-@query(f"with recursive {DISTINCT} select doc_id, rank::int as rank from f")
-def near_dup_collapse(spark, sf_dir):
-    return _distinct(spark, sf_dir)[1].select("doc_id", "rank")
-
-
-@query(f"with recursive {DISTINCT} select doc_id, score, score as rerank_score from f order by score desc, doc_id limit 5")
-def retrieve_none_collapsed(spark, sf_dir):
-    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir), "none")
-
-
-@query(f"with recursive {DISTINCT}{RERANKED.removeprefix(COLLAPSED)} select doc_id, score, rerank_score from h order by rerank_score desc, score desc, doc_id limit 5")
-def retrieve_heuristic_collapsed(spark, sf_dir):
-    return retrieval.retrieve(_docs(spark, sf_dir), _asked(spark, sf_dir))
-
-
-@query(f"with recursive {DISTINCT}{RERANKED.removeprefix(COLLAPSED)} select doc_id, round(bm25, 4) + 0.0 as bm25 from b")
-def bm25_collapsed(spark, sf_dir):
-    return retrieval.bm25(_distinct(spark, sf_dir)[1], _asked(spark, sf_dir)).select("doc_id", rounded(F.col("bm25")).alias("bm25"))
-
-
-@query(f"""with recursive {DISTINCT} select (select count(*) from c) as candidates, (select count(*) from c where score >= 0.3) as after_threshold,
-(select count(*) from f where score >= 0.3) as after_dedup""")
-def collapsed_stage_counts(spark, sf_dir):
-    best, left = _distinct(spark, sf_dir)
-    met = best.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= 0.3).alias("after_threshold"))
-    return met.crossJoin(F.broadcast(left.agg(F.count_if(F.col("score") >= 0.3).alias("after_dedup"))))  # one row each; greedy by rank, so the threshold may come last
+    return _retrieved(spark, sf_dir, method="heuristic", rerank_threshold=0.5)[1]
 
 
 @query("select doc_id, lang, source from documents where lang in ('fr', 'de') and source in ('src1', 'src2', 'src3')")

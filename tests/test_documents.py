@@ -2,6 +2,7 @@ import math
 
 import pytest
 from lorespark.functions import text as T
+from lorespark.functions.vectors import bag_of_words
 from lorespark.operators import documents, parsing, retrieval, search, sync
 
 TEXT = "doc_id bigint, text string"
@@ -37,32 +38,63 @@ def test_files_of_all_kinds(spark):
 
 
 def test_bm25_by_brute_force(spark):
+    """Two queries over different candidates: the statistics are each query's own."""
     texts = {1: "red apple apple pie", 2: "green apple", 3: "", 4: None, 5: "blue sky red red red"}
-    query = spark.createDataFrame([("red apple of the sea",)], "text string")
-    got = {r["doc_id"]: r["bm25"] for r in retrieval.bm25(spark.createDataFrame(list(texts.items()), TEXT), query).collect()}
-    split = {k: (v or "").split() for k, v in texts.items()}
-    mean, n = sum(len(split[k]) for k in (1, 2, 3, 5)) / 4, len(texts)
-    for k, words in split.items():
-        score = 0.0
-        for term in ("red", "apple", "sea"):
-            df, tf = sum(term in w for w in split.values()), words.count(term)
-            score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
-        assert got[k] == pytest.approx(score), k
-    none = spark.createDataFrame([("of the",)], "text string")
-    assert {r["bm25"] for r in retrieval.bm25(spark.createDataFrame(list(texts.items()), TEXT), none).collect()} == {0.0}
+    asked = {7: "red apple of the sea", 8: "apple", 9: "of the"}
+    has = {7: (1, 2, 3, 4, 5), 8: (1, 2), 9: (1, 5)}
+    found = spark.createDataFrame([(q, k, texts[k]) for q, ks in has.items() for k in ks], "query_id int, doc_id bigint, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    got = {(r["query_id"], r["doc_id"]): r["bm25"] for r in retrieval.bm25(found, queries, "doc_id").collect()}
+    assert set(got) == {(q, k) for q, ks in has.items() for k in ks}
+    for q, ks in has.items():
+        split = {k: (texts[k] or "").split() for k in ks}
+        n, mean = len(ks), sum(len(split[k]) for k in ks if texts[k] is not None) / sum(texts[k] is not None for k in ks)
+        for k, words in split.items():
+            score = 0.0
+            for term in [t for t in asked[q].split() if t not in ("of", "the")]:
+                df, tf = sum(term in w for w in split.values()), words.count(term)
+                score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+            assert got[q, k] == pytest.approx(score), (q, k)
+
+
+def test_bag_vector_is_the_embedding(spark):
+    texts = {1: "red Apple apple pie a of", 2: "", 3: None, 4: "ab", 5: "one two three " * 200}
+    rows = spark.createDataFrame(list(texts.items()), TEXT)
+    counts = {}
+    for r in bag_of_words(rows.fillna(""), "doc_id", "text").collect():
+        counts.setdefault(r["doc_id"], [0.0] * 256)[r["bucket"]] = float(r["n"])
+    for r in retrieval.embedded(rows).collect():
+        want = counts[r["doc_id"]]
+        length = math.sqrt(sum(x * x for x in want))
+        assert r["embedding"] == pytest.approx([x / length for x in want])
 
 
 def test_limits_and_thresholds(spark):
-    docs = spark.createDataFrame([(i, f"apple number{i} " + "pear " * i) for i in range(1, 9)], TEXT)
-    query = spark.createDataFrame([("apple pear",)], "text string")
-    found = retrieval.retrieve(docs, query, same=None).collect()
-    assert len(found) == 5
-    line = found[2]["rerank_score"]
-    kept = retrieval.retrieve(docs, query, same=None, rerank_threshold=line).collect()
-    assert kept == [r for r in found if r["rerank_score"] >= line]
+    docs = retrieval.embedded(spark.createDataFrame([(i, f"apple number{i} " + " ".join(f"pear{i}{j}" for j in range(i)), "en" if i < 8 else "de") for i in range(1, 9)], TEXT + ", language string"))
+    queries = retrieval.asked(spark.createDataFrame([(1, "apple pear11 pear21"), (2, "zzz qqq")], "item_id int, text string"), "item_id")
+    run = lambda **given: [[tuple(r) for r in x.collect()] for x in (lambda rc: (rc[0].select("query_id", "rank", "doc_id", "score", "rerank_score").orderBy("query_id", "rank"), rc[1].orderBy("query_id")))(retrieval.retrieve(docs, queries, key="doc_id", **given))]
+    found, counts = run(method="heuristic", threshold=0.2)
+    mine = [r for r in found if r[0] == 1]
+    assert [r[1] for r in mine] == list(range(1, len(mine) + 1)) and counts[0][1] == 8 and counts[0][5] == len(mine) <= 5
+    line = mine[1][4]
+    again, counts = run(method="heuristic", threshold=0.2, rerank_threshold=line)
+    assert [r for r in again if r[0] == 1] == [r for r in mine if r[4] >= line] and counts[0][4] >= counts[0][5] >= 2
+    plain, _ = run(filters={"languages": ["de"]})
+    assert {r[2] for r in plain} == {8} and all(r[4] is None for r in plain)
+    none, counts = run(threshold=1.5)
+    assert none == [] and counts == [(1, 8, 0, 0, 0, 0), (2, 8, 0, 0, 0, 0)]
+    empty, counts = retrieval.retrieve(docs.limit(0), queries, key="doc_id", method="heuristic")
+    assert empty.count() == 0 and [tuple(r)[1:] for r in counts.collect()] == [(0,) * 5] * 2
     for bad in ({"top_k": 51}, {"candidate_k": 201}, {"candidate_k": 3}, {"method": "model"}):
         with pytest.raises(ValueError):
-            retrieval.retrieve(docs, query, **bad)
+            retrieval.retrieve(docs, queries, **bad)
+
+
+def test_title_and_section_are_reranked(spark):
+    docs = retrieval.embedded(spark.createDataFrame([(1, "same words here", "Apple", ""), (2, "same words there", None, "")], "doc_id bigint, text string, title string, section string"))
+    queries = retrieval.asked(spark.createDataFrame([(1, "apple same")], "item_id int, text string"), "item_id")
+    got = retrieval.retrieve(docs, queries, method="heuristic", key="doc_id")[0].orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [1, 2] and got[0]["rerank_score"] > got[1]["rerank_score"] and got[0]["title"] == "Apple"
 
 
 def test_results_are_shaped(spark):

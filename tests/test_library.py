@@ -186,19 +186,20 @@ def test_retrieve_collapses_near_copies(spark, method, tmp_path):
     """Near copies of one text by other hashes, all above 0.97, stand once; so do the counts of the stages."""
     text = " ".join(f"{a}{b}lorem" for a in "abcdefgh" for b in "klmnopqr")
     rows = [(i, f"{text} tail{i}") for i in range(30)] + [(100, text.upper()), (101, "aklorem other words"), (102, "alorem blorem house"), (103, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = retrieval.retrieve(docs, spark.createDataFrame([(text,)], "text string"), method, candidate_k=34)
-    assert {r["doc_id"] for r in got.collect()} == {100, 101, 102, 103}
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string")
+    asked = retrieval.asked(spark.createDataFrame([(1, text)], "item_id bigint, text string"), "item_id")
+    got, counts = retrieval.retrieve(retrieval.embedded(docs), asked, method=method, candidate_k=34, key="doc_id")
+    assert {r["doc_id"] for r in got.collect()} == {100, 101, 102, 103} and counts.first()["after_dedup"] == 4
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, text)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     q = catalog.queries()
-    assert tuple(q["collapsed_stage_counts"](spark, str(tmp_path)).first()) == (20, 20, 1)
-    assert q["bm25_collapsed"](spark, str(tmp_path)).count() == 1
+    assert tuple(q["retrieval_stage_counts"](spark, str(tmp_path)).first()) == (1, 20, 20, 1, 1, 1)
+    assert q["bm25_candidates"](spark, str(tmp_path)).count() == 1
     ours = q["near_dup_collapse"](spark, str(tmp_path)).collect()
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
-    assert [tuple(r) for r in ours] == con.sql(catalog.oracle_sql()["near_dup_collapse"]).fetchall() == [(100, 1)]
+    assert [tuple(r) for r in ours] == con.sql(catalog.oracle_sql()["near_dup_collapse"]).fetchall() == [(1, 100, 1)]
 
 
 def test_sync(spark):
