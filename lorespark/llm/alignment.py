@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 
 #: Chunks remembered by a Python worker, and the bytes of their data at most.
-KNOWN, KNOWN_BYTES = 200_000, 64 << 20
+KNOWN, KNOWN_BYTES = 400_000, 128 << 20
 #: Id pairs that are broadcast at most (16 bytes each); beyond it documents and pairs meet by a join.
 BROADCAST_PAIRS, SALTS, FLUSH = 2_000_000, 16, 1_000_000
-_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_BREAK, _PLAIN = re.compile(r"(?<=\S)(?=[ \n]\S)"), re.compile(r"[ \n]\S+")
+#: Short chunks encoded together.
+TOGETHER = 500
 
 
 def byte_decoder() -> dict[str, int]:
@@ -56,11 +59,63 @@ class Pair:
         self.blank = self.b.piece_to_id("▁")
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both; a chunk that does not begin with a blank loses the blank that the second tokenizer adds (None where it can't)."""
-        a = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return a, [y if c[0] == " " else y[1:] if y and y[0] == self.blank else None for c, y in zip(chunks, b, strict=True)]
+    def _alone(self, chunk: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for one chunk, None where either does not give its bytes back.  A chunk that does not begin with a blank
+        loses the blank that the second tokenizer adds."""
+        a, b = self.a.encode(chunk, add_special_tokens=False).ids, self.b.encode(chunk[1:] if chunk[0] == " " else chunk)
+        if chunk[0] != " ":
+            b = b[1:] if b and b[0] == self.blank else []
+        raw = chunk.encode("utf-8", "surrogatepass")
+        same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else None
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """(right, ids of A, of B, numbers of A's ids by chunk, of B's).  Short chunks are encoded many at a time, as in a text of
+        their own: one behind the other they are cut where they were; where that fails, each by itself."""
+        runs: list[list[int]] = [[]]
+        for i, c in enumerate(chunks):
+            if len(c) > 64 or not _PLAIN.fullmatch(c):
+                runs += [[i], []]
+            else:
+                runs[-1].append(i)
+                if len(runs[-1]) == TOGETHER:
+                    runs.append([])
+        runs = [r for r in runs if r]
+        many = [r for r in runs if len(r) > 1]
+        joined = ["".join([chunks[i] for i in r]) for r in many]
+        both = zip(self.a.encode_batch_fast([" a" + g for g in joined], add_special_tokens=False), self.b.encode(["a" + g for g in joined], num_threads=1), joined, strict=True)
+        right, ids, n = np.zeros(len(chunks), bool), ([], []), (np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64))
+        for r in runs:
+            taken = self._together(*next(both), [chunks[i] for i in r]) if len(r) > 1 else None
+            if taken is not None:
+                right[r] = True
+                for side in (0, 1):
+                    ids[side].append(taken[side])
+                    n[side][r] = taken[side + 2]
+                continue
+            for i in r:
+                if (one := self._alone(chunks[i])) is not None:
+                    right[i] = True
+                    for side in (0, 1):
+                        ids[side].append(one[side])
+                        n[side][i] = len(one[side])
+        flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in ids]
+        return right, *flat, *n
+
+    def _together(self, a, b: list[int], joined: str, chunks: list[str]) -> tuple | None:
+        raw = b" a" + joined.encode("utf-8", "surrogatepass")
+        ends = np.cumsum([2, *(len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in chunks)])
+        found = []
+        for ids, of, size in ((a.ids, self.bytes_a, self.size_a), (b, self.bytes_b, self.size_b)):
+            if b"".join([of[i] for i in ids]) != raw:
+                return None
+            ids = np.array(ids, np.int64)
+            at = np.cumsum(size[ids])
+            cut = np.searchsorted(at, ends)
+            if (at[cut] != ends).any():
+                return None
+            found.append((ids[cut[0] + 1 :], np.diff(cut)))
+        return found[0][0], found[1][0], found[0][1], found[1][1]
 
 
 def linked(ends_a: np.ndarray, ends_b: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +135,16 @@ class Chunks(dict):
     def _empty(self) -> None:
         self.clear()
         self.fresh: list[str] = []
-        self.used = 0
         self.n = np.zeros((0, 7), np.int64)  # right, n_a, n_b, n_groups, n_links, n_best, count_sum
         self.text: list[bytes] = []
         self.keys: list[np.ndarray] = []
+        self.used, self.most = 0, KNOWN
+
+    def _forget(self) -> None:
+        """Keep the first that were met, the frequent ones among them."""
+        for c in self.late:
+            del self[c]
+        self.n, self.text, self.keys = self.n[: self.most], self.text[: self.most], self.keys[: self.most]
 
     def __missing__(self, chunk: str) -> int:
         i = self[chunk] = len(self)
@@ -91,24 +152,22 @@ class Chunks(dict):
         return i
 
     def look(self, chunks: list[str]) -> np.ndarray:
-        """The number of each chunk; all of them are known afterwards."""
-        if len(self) > KNOWN or self.used > KNOWN_BYTES:
-            self._empty()
+        """The number of each chunk; all of them are known afterwards, until the next look."""
+        if len(self) > self.most:
+            self._forget()
+        before = len(self)
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         if self.fresh:
             self._learn(self.fresh)
-            self.fresh = []
+            self.used += sum(map(len, self.fresh[: max(0, self.most - before)]))
+            if self.used * 16 > KNOWN_BYTES:
+                self.most = min(self.most, before)
+            self.late, self.fresh = self.fresh[max(0, self.most - before) :], []
         return at
 
     def _learn(self, chunks: list[str]) -> None:
         p = self.pair
-        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
-        ids_a, ids_b = p.encode(chunks)
-        right = np.array([b is not None and b"".join([p.bytes_a[i] for i in a]) == r and b"".join([p.bytes_b[i] for i in b]) == r for a, b, r in zip(ids_a, ids_b, raw, strict=True)], bool)
-        a, b = ([x if ok else [] for x, ok in zip(ids, right, strict=True)] for ids in (ids_a, ids_b))
-        count = lambda x: np.fromiter(map(len, x), np.int64, len(x))
-        n_a, n_b = count(a), count(b)
-        flat_a, flat_b = (np.fromiter((i for y in x for i in y), np.int64) for x in (a, b))
+        right, flat_a, flat_b, n_a, n_b = p.encode(chunks)
         ends_a, ends_b = np.cumsum(p.size_a[flat_a]), np.cumsum(p.size_b[flat_b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -138,7 +197,6 @@ class Chunks(dict):
             at = np.r_[0, np.cumsum(stat[:, 4])]
             self.keys += [key[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         self.n = np.concatenate([self.n, stat])
-        self.used += sum(map(len, raw)) * 8
 
     @staticmethod
     def _texts(flat_a, flat_b, group_a, group_b, n_groups) -> list[bytes]:
@@ -154,12 +212,26 @@ class Chunks(dict):
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
+_known: dict[tuple, Chunks] = {}
 
 
-def _chunks(path_a: str, path_b: str, links: str, table=None) -> Chunks:
+def _chunks(path_a: str, path_b: str, links: str, table=None, name=None) -> Chunks:
+    """What this Python worker knows, from task to task, under ``name``; what it knew under others goes."""
     if (path_a, path_b) not in _pairs:
         _pairs[path_a, path_b] = Pair(path_a, path_b)
-    return Chunks(_pairs[path_a, path_b], links, table)
+    key = (path_a, path_b, links, name)
+    if key not in _known:
+        for other in [k for k in _known if k[3] != name]:
+            del _known[other]
+        _known[key] = Chunks(_pairs[path_a, path_b], links, table)
+    return _known[key]
+
+
+def _regular(t: str) -> bool:
+    """Whether all white space of ``t``, which begins with a blank, is single blanks and line ends before something else, so that
+    each is a place to cut."""
+    words = t.split()
+    return len(t) - sum(map(len, words)) == len(words) == t.count(" ") + t.count("\n") and "\0" not in t
 
 
 def _cut(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray]:
@@ -168,7 +240,8 @@ def _cut(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray]:
     ends = []
     for t in texts:
         if t:
-            flat += _BREAK.split(" " + t)
+            t = " " + t
+            flat += t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:] if _regular(t) else _BREAK.split(t)
         ends.append(len(flat))
     return flat, np.array(ends, np.int64)
 
@@ -186,7 +259,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, links: str = "end", s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _chunks(path_a, path_b, links)
+        known = _chunks(path_a, path_b, links, None, "counts")
         held: list[np.ndarray] = []
 
         def added(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,11 +305,11 @@ FIELDS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint
 def _described(docs: DataFrame, path_a: str, path_b: str, links: str, table, pairs: bool) -> DataFrame:
     """Each row with its numbers; ``pairs`` gives the ids and counts of its distinct links as well, for a join."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)
+    shared, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _chunks(path_a, path_b, links, shared.value)
-        plain = _chunks(path_a, path_b, links) if pairs else None
+        known = _chunks(path_a, path_b, links, shared.value, name)
+        plain = Chunks(known.pair, links, None) if pairs else None
         for batch in slices(batches):
             flat, ends = _cut(batch["text"].to_pylist())
             at = known.look(flat)

@@ -114,12 +114,15 @@ def test_alignment_of_documents(spark):
 
 
 def test_alignment_forgets(monkeypatch):
-    monkeypatch.setattr(alignment, "KNOWN", 0)
-    known = alignment._chunks(*map(tokenizer_path, PATHS), "end")
-    at = known.look([" a", " b", " a"])
+    monkeypatch.setattr(alignment, "KNOWN", 2)
+    known = alignment.Chunks(alignment.Pair(*map(tokenizer_path, PATHS)), "end", None)
+    at = known.look([" a", " b", " a", " word"])
     first = known.n[at]
-    at = known.look([" b", " a"])
-    assert (known.n[at] == first[[1, 0]]).all() and len(known) == 2
+    assert len(known) == 3
+    at = known.look([" word", " other", " b"])
+    assert (known.n[at][[0, 2]] == first[[3, 1]]).all() and len(known) == 4
+    at = known.look([" a", " b"])
+    assert (known.n[at] == first[:2]).all() and len(known) == 2
 
 
 def test_alignment_empty(empty):
