@@ -480,12 +480,69 @@ def paragraph_spans(spark, sf_dir):
 
 @query()
 def chunk_structure(spark, sf_dir):
-    return chunking.chunk(_docs(spark, sf_dir), chunking.Chunking("structure", max_chunk_tokens=300, min_chunk_tokens=40))
-
-
-@query()
+    return chunking.chunk(_with_literals(spark, sf_dir), chunking.Chunking("structure", max_chunk_tokens=300, min_chunk_tokens=40))
+
+
+#: Files of five languages in the parts that they fall into, (section, text); # stands for the document's id, ~ for its text.
+SOURCES = {
+    "a.kt": [("", "package x"), ("N#", "/** doc */\n@Ann\ndata class N#(val a: Int) {"), ("N# › m#", "    private fun m#(): Int {\n        // ~\n        return call(1)\n    }\n}\n"), ("top#", "fun <T> List<T>.top#() = 1")],
+    "A.java": [("", "package x;\n"), ("N#", "public final class N# extends B {\n    int x = 1;"), ("N# › go#", "    // ~\n    @Override\n    public List<Map<A, B>> go#(int a) {\n        return new Foo(a);\n    }"), ("N# › I#", "    interface I# {\n    }\n}")],
+    "a.ts": [("", "import x from 'y'"), ("S#", "export class S# {"), ("S# › run#", "  // ~\n  async run#(a: number): Promise<void> {\n    if (a) {\n    }\n  }\n}"), ("k#", "export const k# = 1")],
+    "a.go": [("", "package m\n"), ("T#", "// T is ~\ntype T# struct {\n}\n"), ("T#.Do", "func (t *T#) Do() {\n}"), ("main#", "func main#() {}")],
+    "a.toml": [("", "x = 1"), ("t#", "# ~\n[t#]\ny = 2"), ("u.v#", "[[u.v#]]\nz = 1")],
+    "a.py": [("", "import os\n"), ("f#", "# about\n@dec\ndef f#():\n    # ~\n    pass\n"), ("A#", "class A#:\n    x = 1"), ("A# › m", "    def m(self):\n        pass\n"), ("", "if 1:\n    f#()")],
+}
+_literal = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("#", "' || doc_id || '").replace("~", "' || body || '") + "'"
+_PARTS = [(i, n, section, text.strip("\n")) for i, (name, parts) in enumerate(SOURCES.items()) for n, (section, text) in enumerate(parts)]
+SOURCE_SQL = " union all ".join(f"select doc_id, {_literal(section)} as section, {_literal(text.replace('# about', chr(1)).replace('# ~', chr(2)))} as text from b where doc_id % 6 = {i}" for i, _, section, text in _PARTS)
+SOURCE_SQL = SOURCE_SQL.replace(chr(1), "# about").replace(chr(2), "# ' || body || '")
+
+
+@query(rf"with b as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as body from documents) {SOURCE_SQL}")
+def code_units_declared(spark, sf_dir):
+    """Each document as the comment of a file of one of six languages, cut at its declarations."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("body"), F.col("doc_id").cast("string").alias("number"))
+    name = text = F.lit(None).cast("string")
+    for i, (file, parts) in enumerate(SOURCES.items()):
+        whole = "\n".join(t for _, t in parts).replace("# about", "\1").replace("# ~", "\2")
+        made = F.replace(F.replace(F.replace(F.replace(F.lit(whole), F.lit("#"), F.col("number")), F.lit("\1"), F.lit("# about")), F.lit("\2"), F.lit("# ~")), F.lit("~"), F.col("body"))
+        name, text = F.when(F.col("doc_id") % 6 == i, file).otherwise(name), F.when(F.col("doc_id") % 6 == i, made).otherwise(text)
+    return code.code_units(docs.select("doc_id", name.alias("filename"), text.alias("text"))).select("doc_id", "section", "text")
+
+
+LITERALS = [
+    (-1, "Первое предложение. Второе! " * 60), (-2, "one two three four five " * 150), (-3, ("A sentence here. And another one? " * 20 + "\n\n") * 6), (-4, "x" * 3000), (-5, " \n\t "), (-6, "tail   " + "\n" * 900 + "end."), (-7, ""),
+    (-8, "line of words\n" * 300), (-9, ("no end of it " * 90 + "\n") * 3 + "```\ncode\n\nmore\n```\n\nlast."),
+]
+
+
+def _with_literals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(LITERALS, "doc_id bigint, text string"))
+
+
+LITERAL_SQL = """(select doc_id, text from documents union all values (-1::bigint, repeat('Первое предложение. Второе! ', 60)), (-2, repeat('one two three four five ', 150)),
+(-3, repeat(repeat('A sentence here. And another one? ', 20) || chr(10) || chr(10), 6)), (-4, repeat('x', 3000)), (-5, ' ' || chr(10) || chr(9) || ' '), (-6, 'tail   ' || repeat(chr(10), 900) || 'end.'), (-7, ''),
+(-8, repeat('line of words' || chr(10), 300)), (-9, repeat(repeat('no end of it ', 90) || chr(10), 3) || '```' || chr(10) || 'code' || chr(10) || chr(10) || 'more' || chr(10) || '```' || chr(10) || chr(10) || 'last.'))"""
+LEAD_SQL = r"(length({0}) - length(regexp_replace({0}, '^\s+', '')))"
+FIXED_SQL = rf"""with recursive d as (select doc_id, text, length(text) as n, length(text) / ({TOKENS}) as per from {LITERAL_SQL} t where length(text) > 0),
+w as (select doc_id, text, n, greatest(50, floor(200 * per))::int as size, floor(30 * per)::int as ov, 0 as pos, 0 as round, null::int as s, null::int as e from d
+    union all
+    select doc_id, text, n, size, ov, case when blank then pos + size when stop >= n then n when ov > 0 and back > start then back + coalesce(nullif(length(regexp_extract(lap, '(?s)^(.*?[.!?…\n]["»”)]*\s+)', 1)), 0), instr(lap, ' '))
+        when back > start then back else stop end::int as pos, round + 1, case when not blank then start + {LEAD_SQL.format("piece")} end::int as s, case when not blank then start + length(regexp_replace(piece, '\s+$', '')) end::int as e
+    from (select *, substr(text, start + 1, stop - start) as piece, stop - ov as back, substr(text, stop - ov + 1, ov) as lap
+        from (select *, case when start + size >= n then n else low + coalesce(nullif(length(regexp_extract(win, '(?s)^(.*\n\n)', 1)), 0), nullif(length(regexp_extract(win, '(?s)^(.*\n)', 1)), 0),
+                nullif(length(regexp_extract(win, '(?s)^(.*[.!?…]["»”)]*\s)', 1)), 0), nullif(length(regexp_extract(win, '(?s)^(.* )', 1)), 0), length(win)) end as stop
+            from (select *, substr(text, low + 1, start + size - low) as win
+                from (select *, start + floor(size * 0.6::double)::int as low
+                    from (select *, pos + {LEAD_SQL.format("ahead")} as start, not regexp_matches(ahead, '\S') as blank
+                        from (select *, substr(text, pos + 1, size) as ahead from w where pos < n))))))),
+p as (select doc_id, s, e, substr(text, s + 1, e - s) as text, row_number() over (partition by doc_id order by round) - 1 as seq from w where s < e)
+select doc_id, seq::int as seq, s as char_start, e as char_end, ({TOKENS})::int as tokens, text from p"""
+
+
+@query(FIXED_SQL)
 def chunk_fixed(spark, sf_dir):
-    return chunking.chunk(_docs(spark, sf_dir), chunking.Chunking("fixed", chunk_size_tokens=200, chunk_overlap_tokens=30))
+    return chunking.chunk(_with_literals(spark, sf_dir), chunking.Chunking("fixed", chunk_size_tokens=200, chunk_overlap_tokens=30))
 
 
 @query("select doc_id, true as offsets_hold, true as within_limit from documents")

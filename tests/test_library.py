@@ -254,6 +254,13 @@ CODE = {
     "a.json": ('{"a": 1, "b": [1]}', ["a", "b"]),
     "b.json": ("[1, {}]", ["[0]", "[1]"]),
     "a.toml": ("x = 1\n# t\n[t]\ny = 2\n[[u.v]]\nz = 1\n", ["", "t", "u.v"]),
+    "more.kt": ("@file:X\nsealed interface I<T : Any> {\n    companion object {\n    }\n    suspend fun <T> List<T>.each(f: () -> Unit)\n    typealias Q = Int\n}\nfun interface Run {\n}\ninline fun <reified T> Map<String, T>.pick() = 1\nobject One\nfun `a name`() {}\nval x = 1\n", ["I", "I › companion", "I › each", "Run", "pick", "One", "a name"]),
+    "More.java": ("@Deprecated(since = \"1\")\npublic non-sealed class M<T extends Map<String, List<T>>> {\n    private final int x = call(1);\n    public <R> Map<R, T> turn(\n        int a) {\n        return new Foo(1) {\n    }\n    M(int a) {\n    }\n}\n@interface Note {\n}\nrecord P(int a) {\n}\n", ["M", "M › turn", "Note", "P"]),
+    "more.js": ("export default function* gen() {\n}\nasync function f() {}\nclass C {\n  static async *walk(a) {\n    if (x) {\n  }\n  get size() {\n  }\n  while (1) {\n}\nexport default class extends C {}\nlet a = 1, b\nfoo(1)\n", ["gen", "f", "C", "C › walk", "C › size", "extends", "a"]),
+    "more.go": ("func (s *Set[K]) Add(k K) {\n}\nfunc (t T) Get() int {\n}\nfunc Map[T any](x T) {\n}\ntype E interface {\n}\n", ["Set.Add", "T.Get", "Map", "E"]),
+    "more.yml": ("\"q k\": 1\na:b: 2\n- x: 1\nlist :\n  - 1\nurl: http://x\n", ["q k", "list", "url"]),
+    "more.toml": ("[ a . b ]\nx = [\n[1]\n]\n", ["a . b", "1"]),
+    "more.py": ("x = 1\ny = 2\n\nasync def g():\n    pass\nz = 1\nw = 2\n@d\nclass K:\n    @p\n    def a(self): pass\n    class In:\n        def deep(self): pass\ndef h(): pass\n", ["", "g", "", "K", "K › a", "K › In", "h"]),
     "a.sh": ("echo 1\n", [""]), "bad.py": ("def (", [""]), "bad.json": ("{", [""]), "empty.py": ("", []),
 }
 
@@ -265,7 +272,7 @@ def test_code_units(spark):
     got = code.code_units(spark.createDataFrame(rows, "doc_id bigint, filename string, text string")).orderBy("doc_id", "unit").collect()
     for i, (name, (_, sections)) in enumerate(CODE.items()):
         assert [r["section"] for r in got if r["doc_id"] == i] == sections, name
-    assert {r["text"] for r in got if r["section"] == "f"} == {"# about f\n@dec\ndef f():\n    pass"}
+    assert {r["text"] for r in got if r["section"] == "f" and r["doc_id"] == 0} == {"# about f\n@dec\ndef f():\n    pass"}
     assert [r["text"] for r in got if r["doc_id"] >= 90] == ["x"]
 
 
