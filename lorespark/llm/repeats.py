@@ -20,7 +20,7 @@ from .suffixes import repeated
 
 WIDTH, GRAM = 200, 64
 #: Bytes looked at together in a task; of contexts in a shard, about.
-RUN, SHARD_BYTES = 1 << 17, 2 << 20
+RUN, SHARD_BYTES = 1 << 17, 1 << 20
 #: Rows that are broadcast at most (up to 32 bytes each); contexts of one anchor that a shard takes at most.
 BROADCAST, HOT = 2_000_000, 2000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
