@@ -711,7 +711,7 @@ def inline_filenames(spark, sf_dir):
 
 
 def _loaded() -> None:
-    from . import kept  # noqa: F401  adds its own queries
+    from . import kept, read  # noqa: F401  add their own queries
 
 
 def queries() -> dict[str, Query]:
