@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.written import cut
-
 
 def sync_diff(listing: DataFrame, stored: DataFrame, key: str = "source_key", version: str = "raw_hash") -> DataFrame:
     """(key, action): `new`, `changed`, `unchanged` or `deleted`, by one full outer join on the key; a null hash on either side is `changed`."""
@@ -79,13 +77,3 @@ def cascade_delete(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def job_outcome(counts: DataFrame) -> DataFrame:
     """A job failed only if something failed and nothing was done or unchanged."""
     return counts.withColumn("outcome", F.when((F.col("failed") > 0) & (F.col("done") + F.col("unchanged") == 0), "failed").otherwise("completed"))
-
-
-def crawl(start: DataFrame, links: DataFrame, depth: int, max_pages: int) -> DataFrame:
-    """(url, depth): breadth first over (src, dst) links; each round joins the frontier, leaves out what was seen, and is written once."""
-    seen = frontier = start.select("url").distinct().withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
-        step = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = cut(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(frontier)
-    return seen.orderBy("depth", "url").limit(max_pages) if max_pages else seen

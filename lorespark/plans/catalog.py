@@ -361,17 +361,6 @@ def job_outcome(spark, sf_dir):
     return sync.job_outcome(c).drop("lang")
 
 
-LINKS = "with recursive l as (select page_id as src, (page_id * 7 + 3) % (select count(*) from pages) as dst from pages union select page_id, (page_id * 3 + 1) % (select count(*) from pages) from pages)"
-
-
-@query(f"""{LINKS}, w as (select 0::bigint as url, 0 as depth union select dst, depth + 1 from w join l on src = url where depth < 3) select url, min(depth)::int as depth from w group by url""")
-def crawl_bfs(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id")
-    n = F.lit(pages.count())
-    links = pages.select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") * 3 + 1) % n)).alias("dst"))
-    return sync.crawl(spark.range(1).select(F.col("id").alias("url")), links, 3, 0)
-
-
 # Parsing and chunking --------------------------------------------------------------------------------------------------
 
 
@@ -524,8 +513,10 @@ LITERAL_SQL = """(select doc_id, text from documents union all values (-1::bigin
 (-3, repeat(repeat('A sentence here. And another one? ', 20) || chr(10) || chr(10), 6)), (-4, repeat('x', 3000)), (-5, ' ' || chr(10) || chr(9) || ' '), (-6, 'tail   ' || repeat(chr(10), 900) || 'end.'), (-7, ''),
 (-8, repeat('line of words' || chr(10), 300)), (-9, repeat(repeat('no end of it ', 90) || chr(10), 3) || '```' || chr(10) || 'code' || chr(10) || chr(10) || 'more' || chr(10) || '```' || chr(10) || chr(10) || 'last.'))"""
 LEAD_SQL = r"(length({0}) - length(regexp_replace({0}, '^\s+', '')))"
-FIXED_SQL = rf"""with recursive d as (select doc_id, text, length(text) as n, length(text) / ({TOKENS}) as per from {LITERAL_SQL} t where length(text) > 0),
-w as (select doc_id, text, n, greatest(50, floor(200 * per))::int as size, floor(30 * per)::int as ov, 0 as pos, 0 as round, null::int as s, null::int as e from d
+def fixed_sql(rows: str, size: str, overlap: str) -> str:
+    """Windows over ``rows`` (doc_id, text, ...); both sizes are in tokens and may be columns."""
+    return rf"""with recursive d as (select *, length(text) as n, length(text) / ({TOKENS}) as per from {rows} t where length(text) > 0),
+w as (select doc_id, text, n, greatest(50, floor({size} * per))::int as size, floor({overlap} * per)::int as ov, 0 as pos, 0 as round, null::int as s, null::int as e from d
     union all
     select doc_id, text, n, size, ov, case when blank then pos + size when stop >= n then n when ov > 0 and back > start then back + coalesce(nullif(length(regexp_extract(lap, '(?s)^(.*?[.!?…\n]["»”)]*\s+)', 1)), 0), instr(lap, ' '))
         when back > start then back else stop end::int as pos, round + 1, case when not blank then start + {LEAD_SQL.format("piece")} end::int as s, case when not blank then start + length(regexp_replace(piece, '\s+$', '')) end::int as e
@@ -540,7 +531,7 @@ p as (select doc_id, s, e, substr(text, s + 1, e - s) as text, row_number() over
 select doc_id, seq::int as seq, s as char_start, e as char_end, ({TOKENS})::int as tokens, text from p"""
 
 
-@query(FIXED_SQL)
+@query(fixed_sql(LITERAL_SQL, "200", "30"))
 def chunk_fixed(spark, sf_dir):
     return chunking.chunk(_with_literals(spark, sf_dir), chunking.Chunking("fixed", chunk_size_tokens=200, chunk_overlap_tokens=30))
 

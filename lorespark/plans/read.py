@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pages
-from .catalog import query, table
+from ..operators import chunking, crawling, pages, parsing
+from .catalog import fixed_sql, query, table
 
 
 def _pages(spark, sf_dir):
@@ -37,3 +37,54 @@ def paged_units(spark, sf_dir):
 def paged_outcomes(spark, sf_dir):
     rows = _pages(spark, sf_dir)
     return pages.paged_outcomes(rows, pages.paged_units(rows))
+
+
+LAYERED = """(select doc_id, text, case when doc_id % 10 = 0 then 100 when source = 'src1' then 150 when lang = 'en' then 200 else 400 end as tokens, case when doc_id % 10 = 0 then 50 when lang = 'en' then 30 else 0 end as lap_tokens
+from documents where doc_id % 17 <> 0)"""
+
+
+@query(fixed_sql(LAYERED, "tokens", "lap_tokens"))
+def chunk_layered(spark, sf_dir):
+    """Languages as collections, sources, and documents with settings of their own: one plan with many configurations.  Every
+    seventeenth document has settings that are no such thing, and so no chunks."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("source", F.lit("none")).alias("source_id"), F.coalesce("lang", F.lit("")).alias("collection"), "text")
+    own = F.when(F.col("document_id") % 17 == 0, '{"chunk_size_tokens": true}').when(F.col("document_id") % 10 == 0, '{"chunk_size_tokens": 100, "chunk_overlap_tokens": 50}').when(F.col("document_id") % 3 == 0, '{"chunk_size_tokens": null}')
+    sources = docs.select("source_id").distinct().withColumn("settings", F.when(F.col("source_id") == "src1", '{"chunk_size_tokens": 150}'))
+    size = F.when(F.col("collection") == "en", '{"method": "fixed", "chunk_size_tokens": 200, "chunk_overlap_tokens": 30}').otherwise('{"method": "fixed", "chunk_size_tokens": 400, "chunk_overlap_tokens": 0}')
+    rows = chunking.effective(docs.withColumn("settings", own), sources, docs.select("collection").distinct().withColumn("settings", size)).where("chunking_error is null")
+    units = rows.select(F.col("document_id").alias("doc_id"), F.lit(0).alias("unit"), "text", "chunking")
+    return chunking.chunk_units(units).select("doc_id", "seq", "char_start", "char_end", "tokens", "text")
+
+
+def _linked_pages(spark, sf_dir):
+    """The pages with a section of links at their end: to three other pages by number, to one that is not there, and to another host."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    n, own = F.lit(p.count()), lambda x: F.concat(F.lit("https://site.example/p/"), x.cast("string"))
+    to = lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))
+    i = F.col("page_id")
+    more = F.concat(F.lit("<section>"), to(F.concat(own((i * 7 + 3) % n), F.lit("#top"))), to(F.concat(F.lit("/gone/"), i.cast("string"))), to(own((i * 3 + 1) % n)), to(F.lit("https://other.example/p/1")), to(own((i + 2) % n)), F.lit("</section>"))
+    return p.select("page_id", own(i).alias("url"), F.concat("html", more).alias("html"))
+
+
+CRAWL = """with n as (select count(*) as n from pages),
+l as (select page_id as src, pos, case pos when 0 then (page_id * 7 + 3) % n when 1 then -1 - page_id when 2 then (page_id * 3 + 1) % n else (page_id + 2) % n end as dst from pages, n, range(0, 4) r(pos)
+    where not (case pos when 0 then (page_id * 7 + 3) % n when 2 then (page_id * 3 + 1) % n when 3 then (page_id + 2) % n else 0 end)::varchar like '%9'),
+d0 as (select 0::bigint as id, 1::bigint as rank, 0 as depth),
+"""
+_LEVEL = """d{0} as (select dst as id, row_number() over (order by min(rank * 10 + pos)) as rank, {0} as depth from l join d{1} on src = id where id >= 0 and id % 6 <> 5 and dst not in ({2}) group by dst),
+"""
+CRAWL += "".join(_LEVEL.format(d, d - 1, " union ".join(f"select id from d{k}" for k in range(d))) for d in (1, 2, 3))
+CRAWL += """a as (select *, row_number() over (order by depth, rank) as place, (id >= 0 and id % 6 <> 5) as fetched from (select * from d0 union all select * from d1 union all select * from d2 union all select * from d3)),
+b as (select *, sum(fetched::int) over (order by place) - fetched::int as before from a)
+select case when id >= 0 then 'https://site.example/p/' || id else 'https://site.example/gone/' || (-1 - id) end as url, depth, place, fetched from b where before < 25"""
+
+
+@query(CRAWL)
+def crawl_pages(spark, sf_dir):
+    """From page 0 over the links that the pages' HTML holds, three deep, until 25 pages are fetched; every sixth page fails, and
+    pages whose number ends with 9 are masked out."""
+    pages_ = _linked_pages(spark, sf_dir)
+    parsed = parsing.html_pages(pages_).select("page_id", F.posexplode("links").alias("at", "dst"))
+    links = pages_.select("page_id", F.col("url").alias("src")).join(parsed, "page_id")
+    ok = pages_.select("url", (F.col("page_id") % 6 != 5).alias("ok"))
+    return crawling.crawl("https://site.example/p/0", ok, links.select("src", "dst", "at"), 3, 25, exclude=["https://site.example/p/*9"])

@@ -207,10 +207,6 @@ def test_sync(spark):
     two = spark.createDataFrame([(2, "b"), (3, "x"), (4, "d")], "source_key bigint, raw_hash string")
     assert {tuple(r) for r in sync.sync_diff(one, two).collect()} == {(1, "new"), (2, "unchanged"), (3, "changed"), (4, "deleted")}
     assert sync.upsert(two, one, ["source_key"]).count() == 4 and sync.cascade_delete(two, one, "source_key").count() == 1
-    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (1, 0), (0, 2)], "src bigint, dst bigint")
-    start = spark.createDataFrame([(0,)], "url bigint")
-    assert {tuple(r) for r in sync.crawl(start, links, 2, 0).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2)}
-    assert sync.crawl(start, links, 2, 2).count() == 2
 
 
 def test_stream_and_files(spark, tmp_path):
