@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators import sync
+from lorespark.sources.raw import RawStore
 from lorespark.sources.snapshots import Catalogue, Change, Conflict
 from lorespark.streaming import ingest
 
@@ -132,3 +133,21 @@ def test_stream_into_state(spark, tmp_path):
     (root / "a.md").write_text("changed")  # under a path that the stream has seen, so the listing tells of it
     ingest.reconcile(state, "listing", listed())
     assert pairs(state.read("documents")) == pairs(listed()) and set(pairs(listed())) == {"a.md", "c.md"}
+
+
+def test_raw_store(spark, tmp_path):
+    store = RawStore(spark, f"file://{tmp_path}/r", buckets=2, max_bytes=10)
+    files = lambda *r: spark.createDataFrame([(d, n, c and bytearray(c)) for d, n, c in r], "document_id int, filename string, content binary")
+    now = lambda v=None: {r["document_id"]: (r["filename"], bytes(r["content"])) for r in store.read(v).collect()}
+    refs = lambda: sorted(r["n"] for r in store.references().collect())
+    assert store.put("a", files((1, "c:\\x\\a.md", b"one"), (2, "b\x01.md", b"one"), (3, " ", b"two"), (4, "big", b"x" * 11), (5, "n", None), (None, "n", b"z"))) == 1
+    assert now() == {"1": ("a.md", b"one"), "2": ("b_.md", b"one"), "3": ("file", b"two")} and refs() == [1, 2]
+    assert store.put("a", files((1, "zzz", b"other"))) == 1 and now()["1"] == ("a.md", b"one")
+    docs = spark.createDataFrame([(1, "file"), (2, "url"), (3, "file")], "document_id int, source_type string")
+    version, refused = store.replace("b", files((1, "n.md", b"three"), (2, "n.md", b"x"), (3, "n.exe", b"x"), (9, "n.md", b"x")), docs, [".md"])
+    assert version == 2 and {r["document_id"] for r in refused.collect()} == {"2", "3", "9"}
+    assert now() == {"1": ("n.md", b"three"), "2": ("b_.md", b"one"), "3": ("file", b"two")} and refs() == [1, 1, 1]
+    store.delete("c", docs.where("document_id = 3"))
+    assert refs() == [0, 1, 1] and store.collect("d") == 4 and refs() == [1, 1]
+    assert now(1)["3"] == ("file", b"two") and set(now()) == {"1", "2"}
+    assert store.put("e", files((7, "t", b"two"))) == 5 and now()["7"] == ("t", b"two")
