@@ -72,7 +72,7 @@ def synced_state(spark, sf_dir):
     return state.read("documents").select("source_key", "raw_hash", "size_bytes")
 
 
-@query("""with f as (select 'd' || doc_id as document_id, case when doc_id % 5 = 0 then doc_id || '.md' else doc_id || '.txt' end as filename, case when doc_id % 5 = 0 then upper(text) else text end as content from documents where doc_id % 7 <> 0)
+@query("""with f as (select 'd' || doc_id as document_id, case when doc_id % 5 = 0 then doc_id || '.md' else doc_id || '.txt' end as filename, case when doc_id % 5 = 0 then text || chr(33) else text end as content from documents where doc_id % 7 <> 0)
 select document_id, filename, sha256(content) as raw_hash, octet_length(encode(content)) as size_bytes, count(*) over (partition by sha256(content)) as n from f""")
 def raw_store(spark, sf_dir):
     """All documents as files; every fifth is replaced, every seventh deleted, and what nobody refers to is collected."""
@@ -80,7 +80,7 @@ def raw_store(spark, sf_dir):
     name = lambda ending: F.concat("doc_id", F.lit(ending)).alias("filename")
     store = RawStore(spark, shared_folder(spark, "raw"), buckets=8)
     store.put("first", docs.select("document_id", name(".txt"), F.col("text").cast("binary").alias("content")))
-    new = docs.where("doc_id % 5 = 0 or doc_id % 9 = 0").select("document_id", F.concat(F.lit("up\\"), "doc_id", F.when(F.col("doc_id") % 5 == 0, ".md").otherwise(".exe")).alias("filename"), F.upper("text").cast("binary").alias("content"))
+    new = docs.where("doc_id % 5 = 0 or doc_id % 9 = 0").select("document_id", F.concat(F.lit("up\\"), "doc_id", F.when(F.col("doc_id") % 5 == 0, ".md").otherwise(".exe")).alias("filename"), F.concat("text", F.lit("!")).cast("binary").alias("content"))
     store.replace("second", new, docs.select("document_id", F.lit("file").alias("source_type")), [".md"])
     store.delete("third", docs.where("doc_id % 7 = 0"))
     store.collect("fourth")
