@@ -15,8 +15,9 @@ from .common import cut
 from .textmodel import Adam
 
 K, SAMPLE, INNER_SAMPLE, ASKED, GRAPH, HIDDEN, EPOCHS, AIM, SEED = 10, 6000, 2000, 200, 10, 96, 40, 0.94, 17
-#: Rows of a partition, about; a level of the router has at most WIDTH parts, so two levels index WIDTH ** 2 * LEAF rows.
-LEAF, WIDTH = 1000, 64
+#: Rows of a partition at most, about; a level of the router has at most WIDTH parts, so leaves grow beyond WIDTH ** 2 * LEAF
+#: rows.  Vectors are placed SLICE at a time.
+LEAF, WIDTH, SLICE = 1000, 64, 1000
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
 
 
@@ -208,6 +209,12 @@ def _packed(model: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
+def leaf_rows(n: int) -> int:
+    """Rows of a leaf for a table of ``n``: about twice their root while one level is enough, so that a small table is routed
+    too, and LEAF from there on."""
+    return min(LEAF, max(math.ceil(2 * math.sqrt(n)), -(-n // WIDTH), 1))
+
+
 def learn(rows: DataFrame, width: int, n: int, sample: int = SAMPLE, leaf: int = LEAF, k: int = K, aim: float = AIM) -> tuple[Router, int]:
     """Router and probes for ``n`` rows (vec_id, v) of ``width`` components, as many leaves as ``leaf`` rows each ask for.
 
@@ -239,29 +246,29 @@ def learn(rows: DataFrame, width: int, n: int, sample: int = SAMPLE, leaf: int =
     return router, probes_for(router, rows, ids[asked], drawn[asked], k, aim)
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, leaf: int = LEAF, probes: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, leaf: int | None = None, probes: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score, probes, leaves: the ``k`` nearest found, by Euclidean distance, for each of ``queries`` (of the table's form).
 
     A router (see :func:`learn`) is learned from bounded samples of the vectors of the commonest dimension; every row of
-    it is indexed under its most probable leaf.  Leaves grow in number with the rows, so a query reads about ``probes`` x
-    ``leaf`` rows, however large the table.  A query looks into its ``probes`` most probable leaves (learned, unless
+    it is indexed under its most probable leaf.  Leaves (of :func:`leaf_rows`, unless given) grow in number with the rows up to
+    WIDTH ** 2, about four million rows; beyond that they grow in size.  A query reads about ``probes`` x ``leaf`` rows.  A query looks into its ``probes`` most probable leaves (learned, unless
     given) and ranks all rows there exactly.  Distances need equal dimensions: vectors of any other dimension form one
     leaf for each dimension and are compared with all of their own kind.  Leaves are dealt into blocks of about
     ``block_rows`` rows and ``block_queries`` queries that meet pairwise, so a leaf of any size is no large task.
-    Unusable vectors (see :func:`usable`) take no part; repeated rows are all candidates; an empty table gives no rows;
+    Unusable vectors (see :func:`usable`) take no part; repeated rows are all candidates, and a query that occurs twice is answered once; an empty table gives no rows;
     extra columns are ignored.
     """
-    rows, asked = usable(table), usable(queries)
+    rows, asked = usable(table), usable(queries).dropDuplicates(["vec_id", "v"])
     width = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     width, n = (width["d"], width["n"]) if width else (0, 0)
     main = lambda x: x.where(F.size("v") == width)
     other = lambda x: x.where(F.size("v") != width).select("vec_id", "v", (-F.size("v")).alias("part"))
-    router, aimed = learn(main(rows), width, n, sample, leaf, k) if width else (Router(whole(0)), 1)
+    router, aimed = learn(main(rows), width, n, sample, leaf or leaf_rows(n), k) if width else (Router(whole(0)), 1)
     probes = min(probes or aimed, router.leaves())
 
     def routed(place):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole_batch.slice(i, SLICE) for whole_batch in batches for i in range(0, len(whole_batch), SLICE)):
                 if len(b):
                     yield pa.RecordBatch.from_pydict({"vec_id": b["vec_id"], "v": b["v"], "parts": pa.array(list(place(_matrix(b["v"])).astype(np.int32)), pa.list_(pa.int32()))})
 

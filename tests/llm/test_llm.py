@@ -552,3 +552,17 @@ def test_pipeline_with_null_and_repeated_ids(spark, high):
     assert {r["text"]: r["count"] for r in again}[texts[5]] <= 2 * 3 and mixed.where("doc_id is null").count() > 0
     packed = stages["packing"](spark, mixed, sf)
     assert packed.where("start = 0").count() == mixed.count() and packed.where("start = 0 and doc_id is null").count() == mixed.where("doc_id is null").count()
+
+
+def test_nearest_of_repeated_queries(spark):
+    """A query row that occurs twice is answered once, with distinct neighbours; small tables are routed as well."""
+    rng = np.random.default_rng(3)
+    made = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    table = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+    asked = table.where("vec_id % 50 = 0")
+    got = ann.search(table, asked.unionByName(asked)).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r)
+    assert len(by) == 6 and all(sorted(r["rank"] for r in rs) == list(range(1, 11)) and len({r["vec_id"] for r in rs}) == 10 for rs in by.values())
+    assert got[0]["leaves"] > 1 and ann.leaf_rows(500) < 50 and ann.leaf_rows(10**9) == ann.LEAF
