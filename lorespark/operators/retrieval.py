@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +16,13 @@ from ..functions.text import normalized_hash, terms
 from ..functions.vectors import bag_vector, dot
 from ..functions.written import cut
 from . import search
+from .filters import condition
 
 CANDIDATES, TOP, SAME, K1, B, VECTOR_WEIGHT = 20, 5, 0.97, 1.5, 0.75, 0.6
 #: Candidates are compared by scores of this many places, so that the order of additions does not decide.
 PLACES = 9
+#: Queries that go to the tasks in one pass; each is as long as a vector.
+QUERIES = 10_000
 #: Chunk ids of candidates that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 COUNTERS = ("candidates", "after_threshold", "after_dedup", "after_rerank", "returned")
@@ -63,11 +71,51 @@ def collapse(candidates: DataFrame, same: float = SAME) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, filters: dict[str, Any] | None = None, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, score, rank: each query's ``k`` best of the chunks that pass ``filters``; ties go to the smaller key."""
-    slim = chunks.drop("text", "title", "section")
-    scored = search.scores(slim, queries.select("query_id", "model", "q"), filters, key)
-    scored = scored.select("query_id", key, F.round("score", PLACES).alias("score"))
-    return search.best(scored, k, key=key)
+    """query_id, key, score, rank: each query's ``k`` best of the chunks that pass ``filters``; ties go to the smaller key.
+
+    Queries, a stated set, go to the tasks in passes of QUERIES at most; a task multiplies its chunks' vectors with them and
+    keeps ``k`` for each query, so what is shuffled does not grow with the chunks of a task.  Chunks meet queries of their
+    own model and size only; rows without a vector meet none.
+    """
+    passes = max(1, -(-queries.count() // QUERIES))
+    rows = chunks.where(condition(filters) & F.col("embedding").isNotNull()).select(key, "model", F.col("embedding").cast("array<double>").alias("embedding"))
+    parts = []
+    for i in range(passes):
+        one = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).select("query_id", "model", F.col("q").cast("array<double>").alias("q")).toArrow()
+        parts.append(_best_in_tasks(rows, one, k, key, queries.schema["query_id"].dataType.simpleString()))
+    return search.best(reduce(DataFrame.unionByName, parts), k, key=key)
+
+
+def _best_in_tasks(rows: DataFrame, queries: pa.Table, k: int, key: str, kind: str) -> DataFrame:
+    by: dict[tuple, list[int]] = {}
+    for i, (model, q) in enumerate(zip(queries["model"].to_pylist(), queries["q"].to_pylist(), strict=True)):
+        by.setdefault((model, len(q)), []).append(i)
+    sets = [(model, size, queries["query_id"].combine_chunks().take(pa.array(at)), np.array([queries["q"][i].as_py() for i in at])) for (model, size), at in by.items()]
+    shared = rows.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, models = batch["embedding"], batch["model"].to_pylist()
+            at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+            for model, size, ids, q in shared.value:
+                mine = np.flatnonzero((np.diff(at) == size) & np.fromiter((m == model for m in models), bool, len(models)))
+                if not len(mine):
+                    continue
+                scores = np.round(flat[at[mine][:, None] + np.arange(size)] @ q.T, PLACES)
+                scores[~np.isfinite(scores)] = -np.inf  # of vectors with holes; they are nobody's best
+                keys = batch[key].take(pa.array(mine))
+                turn = np.argsort(pc.array_sort_indices(keys).to_numpy(), kind="stable")  # the place of each key
+                least = np.partition(scores, len(mine) - k, axis=0)[len(mine) - k] if len(mine) > k else np.full(len(q), -np.inf)
+                who, which = [], []
+                for j in range(len(q)):
+                    near = np.flatnonzero((scores[:, j] >= least[j]) & (scores[:, j] > -np.inf))
+                    near = near[np.lexsort((turn[near], -scores[near, j]))[:k]]
+                    who.append(np.full(len(near), j))
+                    which.append(near)
+                who, which = np.concatenate(who), np.concatenate(which)
+                yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(who)), key: keys.take(pa.array(which)), "score": scores[which, who]})
+
+    return rows.mapInArrow(run, f"query_id {kind}, {key} {rows.schema[key].dataType.simpleString()}, score double")
 
 
 def bm25(found: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:

@@ -88,3 +88,17 @@ def crawl_pages(spark, sf_dir):
     links = pages_.select("page_id", F.col("url").alias("src")).join(parsed, "page_id")
     ok = pages_.select("url", (F.col("page_id") % 6 != 5).alias("ok"))
     return crawling.crawl("https://site.example/p/0", ok, links.select("src", "dst", "at"), 3, 25, exclude=["https://site.example/p/*9"])
+
+
+LINKS = "with recursive l as (select page_id as src, (page_id * 7 + 3) % (select count(*) from pages) as dst from pages union select page_id, (page_id * 3 + 1) % (select count(*) from pages) from pages)"
+
+
+@query(f"""{LINKS}, w as (select 0::bigint as url, 0 as depth union select dst, depth + 1 from w join l on src = url where depth < 3) select url, min(depth)::int as depth from w group by url""")
+def crawl_bfs(spark, sf_dir):
+    """Every page can be fetched, and the budget is above their number."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    many = p.count()
+    n, name = F.lit(many), lambda x: x.cast("string")
+    links = p.select(name(F.col("page_id")).alias("src"), F.posexplode(F.array(name((F.col("page_id") * 7 + 3) % n), name((F.col("page_id") * 3 + 1) % n))).alias("at", "dst"))
+    found = crawling.crawl("0", p.select(name(F.col("page_id")).alias("url"), F.lit(True).alias("ok")), links, 3, many + 1, same_host=False)
+    return found.select(F.col("url").cast("bigint").alias("url"), "depth")
