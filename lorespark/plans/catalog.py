@@ -628,7 +628,7 @@ def model_prefixes(spark, sf_dir):
 def embed_with_cache(spark, sf_dir):
     """French texts are in the cache; each other text is embedded once, copies included."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", T.content_hash(F.col("text")).alias("key"))
-    embed = lambda rows: retrieval.unit_vectors(rows, "key")
+    embed = lambda rows: retrieval.embedded(rows).select("key", F.col("embedding").alias("v"))
     cache = embed(docs.where("lang = 'fr'").select("key", "text").dropDuplicates(["key"]))
     out = search.embedded(docs.select("doc_id", "key", "text"), cache, embed)
     return out.select("doc_id", "cached", F.size("v").alias("dims"), F.round(retrieval.dot(F.col("v"), F.col("v")), 6).alias("square"))

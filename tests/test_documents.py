@@ -3,7 +3,7 @@ import math
 import pytest
 from lorespark.functions import text as T
 from lorespark.functions.vectors import bag_of_words
-from lorespark.operators import documents, parsing, retrieval, search, sync
+from lorespark.operators import crawling, documents, parsing, retrieval, search, sync
 
 TEXT = "doc_id bigint, text string"
 
@@ -116,7 +116,7 @@ def test_term_rows_are_terms(spark):
     assert sorted(tuple(r) for r in T.term_rows(docs, "doc_id").collect()) == sorted((r["doc_id"], t) for r in whole for t in r["t"] or [])
 
 
-def test_crawl_takes_the_nearest(spark):
-    links = spark.createDataFrame([(0, 5), (0, 4), (5, 1), (1, 0)], "src bigint, dst bigint")
-    start = spark.createDataFrame([(0,)], "url bigint")
-    assert [tuple(r) for r in sync.crawl(start, links, 3, 3).orderBy("depth", "url").collect()] == [(0, 0), (4, 1), (5, 1)]
+def test_crawl_in_order_of_discovery(spark):
+    links = spark.createDataFrame([("0", "5", 0), ("0", "4", 1), ("5", "1", 0), ("1", "0", 0)], "src string, dst string, at int")
+    pages = spark.createDataFrame([(x, True) for x in "0145"], "url string, ok boolean")
+    assert [(r["url"], r["depth"]) for r in crawling.crawl("0", pages, links, 3, 3, same_host=False).orderBy("place").collect()] == [("0", 0), ("5", 1), ("4", 1)]
