@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -44,13 +45,18 @@ def bag_of_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bags(texts: pd.Series) -> pd.Series:
+def bags(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """The unit vectors of texts, in Python."""
     out = []
     for t in texts:
         words = _LONG.findall(t.lower()) if t else []
         n = np.bincount([_buckets[w[:5]] for w in words] or [0], minlength=BUCKETS).astype(float)
         out.append(n / np.sqrt((n * n).sum()))
-    return pd.Series(out, dtype=object)
+    return out
+
+
+def _bags(texts: pd.Series) -> pd.Series:
+    return pd.Series(bags(texts), dtype=object)
 
 
 class _Buckets(dict):
@@ -58,7 +64,7 @@ class _Buckets(dict):
 
     def __missing__(self, word: str) -> int:
         found = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[-1]
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = found
         return found
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_hash, terms
-from ..functions.vectors import bag_vector, dot
+from ..functions.vectors import bag_vector, bags, dot
 from ..functions.written import cut
 from . import search
 from .filters import condition
@@ -23,6 +23,8 @@ CANDIDATES, TOP, SAME, K1, B, VECTOR_WEIGHT = 20, 5, 0.97, 1.5, 0.75, 0.6
 PLACES = 9
 #: Queries that go to the tasks in one pass; each is as long as a vector.
 QUERIES = 10_000
+#: Rows whose vectors a task holds at a time.
+SLICE = 1000
 #: Chunk ids of candidates that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 COUNTERS = ("candidates", "after_threshold", "after_dedup", "after_rerank", "returned")
@@ -75,10 +77,13 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, filte
 
     Queries, a stated set, go to the tasks in passes of QUERIES at most; a task multiplies its chunks' vectors with them and
     keeps ``k`` for each query, so what is shuffled does not grow with the chunks of a task.  Chunks meet queries of their
-    own model and size only; rows without a vector meet none.
+    own model and size only; rows without a vector meet none.  Without a column ``embedding`` the offline one is worked out
+    from ``text`` where the products are, a few rows at a time.
     """
     passes = max(1, -(-queries.count() // QUERIES))
-    rows = chunks.where(condition(filters) & F.col("embedding").isNotNull()).select(key, "model", F.col("embedding").cast("array<double>").alias("embedding"))
+    vector = F.col("embedding").cast("array<double>").alias("embedding") if "embedding" in chunks.columns else F.col("text")
+    rows = chunks.where(condition(filters)).select(key, "model", vector)
+    rows = rows.where("embedding is not null") if "embedding" in chunks.columns else rows
     parts = []
     for i in range(passes):
         one = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).select("query_id", "model", F.col("q").cast("array<double>").alias("q")).toArrow()
@@ -94,9 +99,14 @@ def _best_in_tasks(rows: DataFrame, queries: pa.Table, k: int, key: str, kind: s
     shared = rows.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors, models = batch["embedding"], batch["model"].to_pylist()
-            at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
+            models = batch["model"].to_pylist()
+            if "text" in batch.schema.names:
+                flat = np.concatenate(bags(batch["text"].to_pylist()))
+                at = np.arange(len(models) + 1) * (len(flat) // len(models))
+            else:
+                vectors = batch["embedding"]
+                at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
             for model, size, ids, q in shared.value:
                 mine = np.flatnonzero((np.diff(at) == size) & np.fromiter((m == model for m in models), bool, len(models)))
                 if not len(mine):
@@ -150,7 +160,8 @@ def distinct(chunks: DataFrame, best: DataFrame, same: float = SAME, key: str =
     """
     ids = best.select(key).distinct()
     few = ids.count() <= BROADCAST_IDS
-    rows = best.join(cut(chunks.join(F.broadcast(ids) if few else ids, key)), key)
+    found = chunks.join(F.broadcast(ids) if few else ids, key)
+    rows = best.join(cut(found if "embedding" in chunks.columns else found.withColumn("embedding", bag_vector(F.col("text")))), key)
     left = collapse(rows.select("query_id", "rank", F.col(key).alias("key"), normalized_hash(F.col("text")).alias("hash"), F.col("embedding").alias("v")), same)
     return rows.drop("embedding").join(left.select("query_id", F.col("key").alias(key)), ["query_id", key])
 
@@ -161,7 +172,7 @@ def retrieve(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, counters) of all ``queries`` (query_id, text, model, q; see :func:`asked`).
 
-    ``chunks`` has key, text, embedding, model and what ``filters`` ask for; title and section, if there, are part of what
+    ``chunks`` has key, text, model, perhaps embedding (else it is the offline one) and what ``filters`` ask for; title and section, if there, are part of what
     is reranked.  Results are the chunks' columns with query_id, rank, score and rerank_score (null without a rerank), up to
     ``top_k`` for each query; 0 takes the usual limits, TOP results of CANDIDATES or ``top_k`` candidates.  Filters hold
     before candidates are taken.  Both thresholds are inclusive, and the one on rerank_score holds where there is a rerank.

@@ -180,7 +180,7 @@ ASKED = {"languages": ["en", "fr", "de"]}
 
 
 def _chunks(spark, sf_dir):
-    return retrieval.embedded(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text", F.lit("bow").alias("model"))
 
 
 def _asked(spark, sf_dir):
