@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import kind
-from . import code, parsing
+from . import code, parsing, records
 
 PARSED = ("markdown", "rst", "html", "jsonl", "text", "code")
 UNSUPPORTED, EMPTY = "unsupported format", "no text"
@@ -14,6 +14,8 @@ UNSUPPORTED, EMPTY = "unsupported format", "no text"
 
 def record_units(docs: DataFrame, id_path: str, fields: list[str]) -> DataFrame:
     """doc_id, unit, section, text: a unit for each readable line of JSON, numbered by line."""
+    if "text_fields" in docs.columns:
+        return records.record_units(records.parsed_records(docs))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\\r?\\n|\\r")).alias("at", "record")).where("record <> ''")
     units = parsing.json_units(lines, "record", id_path, fields)
     return units.select("doc_id", (F.col("at") + 1).alias("unit"), F.coalesce("section", F.lit("")).alias("section"), F.col("unit_text").alias("text"))
@@ -22,10 +24,13 @@ def record_units(docs: DataFrame, id_path: str, fields: list[str]) -> DataFrame:
 def parse_documents(docs: DataFrame, id_path: str = "id", fields: tuple[str, ...] = ("text",)) -> DataFrame:
     """doc_id, kind, unit, section, text of files (doc_id long and unique, filename, text); ``fields`` and ``id_path`` are for JSON records.
 
+    Files that come from :func:`..filetypes.with_types` have their kind and fields already, and those hold.
+
     Units are numbered in order within a file, and blank ones are left out.  Files of other kinds and null or blank texts
     have no units (see :func:`outcomes`).  Each parser reads the rows of its kind alone, so write what is dear to decode.
     """
-    rows = docs.select("doc_id", "filename", "text", kind(F.col("filename")).alias("kind")).where("text is not null")
+    typed = [c for c in ("text_fields", "metadata_fields") if "kind" in docs.columns and c in docs.columns]
+    rows = docs.select("doc_id", "filename", "text", *typed, (F.col("kind") if typed else kind(F.col("filename"))).alias("kind")).where("text is not null")
     of = lambda k: rows.where(F.col("kind") == k)
     made = {
         "markdown": parsing.markdown_units(parsing.front_matter(of("markdown"))),
@@ -46,6 +51,7 @@ def outcomes(docs: DataFrame, units: DataFrame) -> DataFrame:
     """doc_id, kind, units, sections (distinct, null for none), error: what became of each file."""
     section = F.when(F.col("section") != "", F.col("section"))
     counts = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.count_distinct(section).alias("sections"))
-    rows = docs.select("doc_id", kind(F.col("filename")).alias("kind")).join(counts, "doc_id", "left")
+    typed = {"kind", "text_fields"} <= set(docs.columns)
+    rows = docs.select("doc_id", (F.col("kind") if typed else kind(F.col("filename"))).alias("kind")).join(counts, "doc_id", "left")
     error = F.when(F.col("kind").isNull() | ~F.col("kind").isin(*PARSED), UNSUPPORTED).when(F.col("units").isNull(), EMPTY)
     return rows.select("doc_id", "kind", F.coalesce("units", F.lit(0)).alias("units"), F.nullif("sections", F.lit(0)).alias("sections"), error.alias("error"))

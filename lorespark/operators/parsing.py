@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.properties import property_value
 from ..functions.text import clean
 
 SEPARATOR = " › "
@@ -68,7 +69,8 @@ def front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """key, title, doc_date, properties, text without the front matter.
 
     Front matter stands between a first line `---` and the next `---` or `...` of the first lines.  Only entries of one line
-    count; quotes around values and the brackets of lists go, and of two entries with one name the later holds.  Without
+    count; quotes around values and the brackets of lists go, of two entries with one name the later holds, and properties are
+    normalised (see :func:`..functions.properties.property_value`).  Without
     front matter title and date are null and the properties empty; a null text is an empty one.
     """
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
@@ -84,6 +86,7 @@ def front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = rows.withColumn("others", F.transform(others, lambda x: x.withField("value", F.regexp_replace(x["value"], r"^\[+|\]+$", ""))))
     rest = lambda i: F.slice("others", i + 2, F.size("others"))
     held = F.filter("others", lambda x, i: ~F.exists(rest(i), lambda y: y["name"] == x["name"]))
+    held = F.filter(F.transform(held, lambda x: x.withField("value", property_value(x["value"]))), lambda x: x["value"].isNotNull())
     body = F.array_join(F.slice("lines", F.when(F.col("end") > 0, F.col("end") + 2).otherwise(1), F.size("lines")), "\n")
     return rows.select(key, last(TITLE).alias("title"), F.substring(last(*DATES), 1, 10).alias("doc_date"), F.map_from_entries(held).alias("properties"), body.alias("text"))
 
