@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -37,6 +39,16 @@ def iso_date(text: Column) -> Column:
     return F.date_format(F.try_to_date(found, "yyyy-MM-dd"), "yyyy-MM-dd")
 
 
+def overlay(*layers: Column) -> Column:
+    """One map of the ``layers``, each laid over those before it; null layers and null values let what lies below through."""
+    none = F.create_map().cast("map<string,string>")
+
+    def lay(below: Column, layer: Column) -> Column:
+        return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(layer, k)), layer)
+
+    return reduce(lay, [F.map_filter(F.coalesce(x, none), lambda _, v: v.isNotNull()) for x in layers], none)
+
+
 def property_map(rows: DataFrame, names: list[str]) -> Column:
     """A map of the columns ``names`` that have a value: days and times as `yyyy-MM-dd`, lists joined, truth values and numbers as they are."""
     values = []

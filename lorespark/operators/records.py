@@ -61,18 +61,21 @@ def parsed_records(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keys = F.when(F.col("inside").isNotNull(), F.json_object_keys("line")).otherwise(F.array(F.lit("value")))
     own = F.filter(keys, lambda k: (k != "id") & ~F.array_contains("about", k) & is_scalar(F.try_element_at("record", k)))
     rows = rows.withColumn("fields", F.when(F.size("wanted") > 0, F.col("wanted")).otherwise(own))
-    said = F.transform("fields", lambda k: F.struct(k.alias("name"), stripped(shown(field(F.col("record"), k))).alias("said")))
+    found = F.transform("fields", lambda k: F.struct(k.alias("name"), field(F.col("record"), k).alias("value")))
+    said = F.transform(found, lambda x: F.struct(x["name"].alias("name"), stripped(shown(x["value"])).alias("said")))
     rows = rows.withColumn("said", F.filter(said, lambda x: x["said"] != ""))
     lines = F.transform("said", lambda x: F.when(F.size("fields") == 1, x["said"]).otherwise(F.concat(x["name"], F.lit(": "), x["said"])))
     number = F.try_element_at("record", F.lit("id"))
     named = is_scalar(number) | (F.array_contains("about", "id") & (_shape(number) != "VOID"))
     kept = F.filter(F.transform(F.array_union("about", F.array(F.lit("id"))), lambda k: F.struct(k.alias("name"), field(F.col("record"), k).alias("value"))), lambda x: is_scalar(x["value"]))
-    return rows.select(
-        key, (F.col("at") + 1).cast("int").alias("at"), F.col("value").isNull().alias("bad"),
+    made = F.struct(
+        (F.col("at") + 1).cast("int").alias("at"), F.col("value").isNull().alias("bad"),
         F.concat(F.lit(SECTION), F.when(named, shown(number)).otherwise((F.col("at") + 1).cast("string"))).alias("section"),
         F.when(F.size("said") > 0, F.array_join(lines, "\n")).alias("text"),
         F.map_from_entries(F.transform(kept, lambda x: F.struct(x["name"], shown(x["value"])))).alias("metadata"),
     )
+    # A row of its own by a generator: what is asked of the result later is then not worked out anew below, once for each use.
+    return rows.select(key, F.inline(F.array(made)))
 
 
 def record_units(parsed: DataFrame, key: str = "doc_id") -> DataFrame:

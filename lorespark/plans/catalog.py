@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.properties import overlay
 from ..functions.vectors import bag_of_words, norm
 from ..functions.written import cut
 from ..operators import chunking, code, documents, filters, listing, parsing, retrieval, search, sync
@@ -347,9 +348,13 @@ def embedding_cache_misses(spark, sf_dir):
 
 @query("select doc_id, coalesce('q' || quality::varchar, lang) as grade, coalesce(toxic::varchar, source) as note from documents left join labels using (doc_id)")
 def metadata_overlay(spark, sf_dir):
-    """User values lie over document properties; maps are joined with the last value winning."""
+    """Maps of a document's properties, of what a source says and of users' values, laid over each other."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), "lang").alias("grade"), F.coalesce(F.col("toxic").cast("string"), "source").alias("note"))
+    text = lambda c: F.col(c).cast("string")
+    own = F.create_map(F.lit("grade"), F.col("lang"), F.lit("note"), F.col("source"))
+    user = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.create_map(F.lit("grade"), F.concat(F.lit("q"), text("quality")), F.lit("note"), text("toxic")))
+    laid = rows.select("doc_id", overlay(own, F.create_map(F.lit("note"), F.lit(None).cast("string")), user).alias("laid"))
+    return laid.select("doc_id", F.col("laid")["grade"].alias("grade"), F.col("laid")["note"].alias("note"))
 
 
 @query("""with c as (select source, count(*) filter (toxic = 1) as failed, count(*) filter (quality = 1 and toxic = 0) as done, count(*) filter (quality = 0 and toxic = 0) as unchanged
@@ -702,7 +707,7 @@ def inline_filenames(spark, sf_dir):
 
 
 def _loaded() -> None:
-    from . import kept, read  # noqa: F401  add their own queries
+    from . import kept, read, typed  # noqa: F401  add their own queries
 
 
 def queries() -> dict[str, Query]:

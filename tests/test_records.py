@@ -117,3 +117,9 @@ def test_masks_are_held_against_the_path_below_the_root(spark, tmp_path):
     names = lambda **k: sorted(r["path"].rsplit("/", 1)[1] for r in scan(spark, str(root), **k).collect())
     assert names() == ["a.md", "b.md"] and names(include=["sub/*"]) == ["b.md"] and names(exclude=()) == ["a.md", "b.md", "c.md"]
     assert spark.range(1).select(below(F.lit("s3a://bucket/x/y/z.md"), "s3a://bucket/x/")).first()[0] == "y/z.md"
+
+
+def test_overlay(spark):
+    rows = spark.sql("select map('a', '1', 'b', '2', 'c', null) as low, map('b', '3', 'c', '4') as mid, map('b', cast(null as string), 'd', '5') as top, cast(null as map<string,string>) as no")
+    laid = lambda *c: rows.select(P.overlay(*map(F.col, c)).alias("m")).first()["m"]
+    assert laid("low", "mid", "no", "top") == {"a": "1", "b": "3", "c": "4", "d": "5"} and laid("mid", "low") == {"a": "1", "b": "2", "c": "4"} and laid("no") == laid() == {}
