@@ -17,6 +17,7 @@ from ..functions.vectors import bag_vector, bags, dot
 from ..functions.written import cut
 from . import search
 from .filters import condition
+from .products import scored
 
 CANDIDATES, TOP, SAME, K1, B, VECTOR_WEIGHT = 20, 5, 0.97, 1.5, 0.75, 0.6
 #: Candidates are compared by scores of this many places, so that the order of additions does not decide.
@@ -45,16 +46,13 @@ def asked(rows: DataFrame, key: str, text: str = "text", model: str = "bow") ->
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: exact cosine of unit vectors; ``queries`` (query_id, q) is a stated set met by all rows in blocks.
+    """query_id, rank, vec_id, score: exact cosine of unit vectors; ``queries`` (query_id, q) is a stated set met by all rows.
 
-    Each side is dealt into as many blocks as its size asks for, and a window keeps k rows a query before the last sort.
+    Both sides are dealt into cells, and each cell keeps k rows a query before the last sort.
     """
-    many = max(1, -(-queries.count() // 1000))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int"))
-    right = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    pairs = right.join(F.broadcast(left) if many == 1 else left, "block").withColumn("score", rounded(dot(F.col("embedding"), F.col("q"))))
+    pairs = scored(vectors, queries, "vec_id", k=k, places=4)
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.where(F.size("embedding") == F.size("q")).withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def collapse(candidates: DataFrame, same: float = SAME) -> DataFrame:
@@ -146,11 +144,11 @@ def bm25(found: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str
     return rows.groupBy("query_id", key).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
 
 
-def heuristic(scored: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
+def heuristic(found: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
     """Add rerank_score: the vector score and the share of the query's best BM25, weighed."""
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     lexical = F.when(best > 0, F.col("bm25") / best).otherwise(0.0)
-    return scored.withColumn("rerank_score", rounded(weight * F.greatest(F.lit(0.0), rounded(F.col("score"))) + (1 - weight) * lexical))
+    return found.withColumn("rerank_score", rounded(weight * F.greatest(F.lit(0.0), rounded(F.col("score"))) + (1 - weight) * lexical))
 
 
 def distinct(chunks: DataFrame, best: DataFrame, same: float = SAME, key: str = "chunk_id") -> DataFrame:
