@@ -8,10 +8,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
 from .filters import condition
+from .products import scored
 
-BLOCK, PARTS = 1000, 64
+#: Queries of one cell.
+BLOCK = 4096
 
 
 def index(chunks: DataFrame, documents: DataFrame, collections: DataFrame) -> DataFrame:
@@ -29,30 +30,21 @@ def missing(requested: DataFrame, existing: DataFrame, key: str = "collection")
     return requested.select(key).distinct().join(existing.select(key), key, "left_anti")
 
 
-def scores(chunks: DataFrame, queries: DataFrame, filters: dict[str, Any] | None = None, key: str = "chunk_id") -> DataFrame:
+def scores(chunks: DataFrame, queries: DataFrame, filters: dict[str, Any] | None = None, key: str = "chunk_id", k: int | None = None, threshold: float | None = None) -> DataFrame:
     """Each chunk that passes ``filters`` with each query (query_id, model, q) of its model and size, and the raw product.
 
-    The queries are a stated set.  Up to BLOCK of them are broadcast; more are dealt into blocks, and chunks into parts, so
-    that no model and no block is one task's alone.
+    The queries are a stated set; both sides are dealt into cells (see :func:`lorespark.operators.products.scored`).  A search
+    that wants ``k`` for each query, or products of ``threshold`` at least, says so here: no other pairs become rows then, and
+    :func:`best` ranks those that do.
     """
-    many = max(1, -(-queries.count() // BLOCK))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int"))
-    right = chunks.where(condition(filters)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    if many == 1:
-        pairs = right.join(F.broadcast(left), ["block", "model"])
-    else:
-        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        right = right.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
-        pairs = right.join(left, ["block", "part", "model"]).drop("part")
-    pairs = pairs.where(F.size("embedding") == F.size("q"))
-    return pairs.withColumn("score", dot(F.col("embedding"), F.col("q"))).drop("block", "embedding", "q")
-
-
-def best(scored: DataFrame, k: int, threshold: float | None = None, key: str = "chunk_id") -> DataFrame:
+    return scored(chunks.where(condition(filters)), queries, key, ["model"], k, threshold, block=BLOCK)
+
+
+def best(found: DataFrame, k: int, threshold: float | None = None, key: str = "chunk_id") -> DataFrame:
     """Add rank: each query's ``k`` best by raw score, ties to the smaller key; the threshold is inclusive and unrounded."""
-    scored = scored if threshold is None else scored.where(F.col("score") >= threshold)
+    found = found if threshold is None else found.where(F.col("score") >= threshold)
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", turn).where(F.col("rank") <= k)
+    return found.withColumn("rank", turn).where(F.col("rank") <= k)
 
 
 def shaped(found: DataFrame, documents: DataFrame, collections: DataFrame) -> DataFrame:
