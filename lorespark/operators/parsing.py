@@ -135,6 +135,8 @@ META = {
     "article:published_time": "published", "article:modified_time": "modified", "og:site_name": "site",
 }
 MAIN_LEAST = 200
+#: Bytes of pages whose events a task holds at a time.
+PARSED = 256 << 10
 EVENT = "struct<kind:string,tag:string,value:string>"
 
 
@@ -163,28 +165,41 @@ class Events(HTMLParser):
 
 
 def page_events(pages: DataFrame) -> DataFrame:
-    """page_id, at, kind, tag, value, error: a row for each event, and one at least for each page; a page that can't be read gives an error."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made, errors = [], []
-            for html, url in zip(b["html"].to_pylist(), b["url"].to_pylist(), strict=True):
-                parser, error = Events(url), None
-                try:
-                    parser.feed(html or "")
-                    parser.close()
-                except (ValueError, AssertionError) as e:
-                    parser.seen, error = [], str(e)
-                made.append([dict(zip(("kind", "tag", "value"), x, strict=True)) for x in parser.seen])
-                errors.append(error)
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("tag", pa.string()), ("value", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(made, kind), pa.array(errors, pa.string())], names=["page_id", "events", "error"])
+    """page_id, at, kind, tag, value, error: a row for each event, and one at least for each page; a page that can't be read gives an error.
 
+    A task parses pages of about PARSED bytes at a time and hands their events on, so what Python holds is a batch of pages as
+    it came and those events, however many pages a task has.
+    """
     url = F.col("url") if "url" in pages.columns else F.lit("").alias("url")
-    events = pages.select("page_id", "html", url).mapInArrow(run, f"page_id bigint, events array<{EVENT}>, error string")
+    events = pages.select("page_id", "html", url).mapInArrow(parsed, f"page_id bigint, events array<{EVENT}>, error string")
     return events.select("page_id", "error", F.posexplode_outer("events").alias("at", "x")).select("page_id", F.coalesce("at", F.lit(0)).alias("at"), "x.*", "error")
 
 
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The events of pages (see :func:`_parsed`), in batches of PARSED bytes of pages, or of one page that has more."""
+    for b in batches:
+        step = max(1, b.num_rows * PARSED // max(1, b.nbytes))
+        yield from (_parsed(b.slice(i, step)) for i in range(0, b.num_rows, step))
+
+
+def _parsed(pages: pa.RecordBatch) -> pa.RecordBatch:
+    """page_id, events, error of each page."""
+    seen, ends, errors = [], [0], []
+    for html, url in zip(pages["html"].to_pylist(), pages["url"].to_pylist(), strict=True):
+        parser, error = Events(url), None
+        try:
+            parser.feed(html or "")
+            parser.close()
+        except (ValueError, AssertionError) as e:
+            parser.seen, error = [], str(e)
+        seen += parser.seen
+        ends.append(len(seen))
+        errors.append(error)
+    fields = [pa.array(list(x), pa.string()) for x in zip(*seen, strict=True)] if seen else [pa.array([], pa.string())] * 3
+    events = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["kind", "tag", "value"]))
+    return pa.RecordBatch.from_arrays([pages["page_id"], events, pa.array(errors, pa.string())], names=["page_id", "events", "error"])
+
+
 def _depth(tags: list[str], upto) -> Column:
     """How many of ``tags`` are open; a close without an open counts for nothing."""
     change = F.when(F.col("tag").isin(tags), F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)

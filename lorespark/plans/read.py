@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.written import cut
 from ..operators import chunking, crawling, pages, parsing
 from .catalog import fixed_sql, query, table
 
@@ -87,7 +88,8 @@ def crawl_pages(spark, sf_dir):
     parsed = parsing.html_pages(pages_).select("page_id", F.posexplode("links").alias("at", "dst"))
     links = pages_.select("page_id", F.col("url").alias("src")).join(parsed, "page_id")
     ok = pages_.select("url", (F.col("page_id") % 6 != 5).alias("ok"))
-    return crawling.crawl("https://site.example/p/0", ok, links.select("src", "dst", "at"), 3, 25, exclude=["https://site.example/p/*9"])
+    links = cut(links.select("src", "dst", "at"))  # every depth meets them, and pages are parsed once
+    return crawling.crawl("https://site.example/p/0", ok, links, 3, 25, exclude=["https://site.example/p/*9"])
 
 
 LINKS = "with recursive l as (select page_id as src, (page_id * 7 + 3) % (select count(*) from pages) as dst from pages union select page_id, (page_id * 3 + 1) % (select count(*) from pages) from pages)"
