@@ -97,6 +97,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
+def counted(words: Column) -> Column:
+    """The different ``words`` with their numbers (term, tf): where each begins among the sorted ones, and where the next does."""
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    tf = lambda s, at, p, i: (F.coalesce(F.get(at, i + 1), F.size(s) + 1) - p).cast("bigint").alias("tf")
+    runs = lambda z: F.transform(z["at"], lambda p, i: F.struct(F.get(z["s"], p - 1).alias("term"), tf(z["s"], z["at"], p, i)))
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    return let(F.array_sort(words), lambda s: F.when(F.size(s) > 0, let(F.struct(s.alias("s"), starts(s).alias("at")), runs)))
+
+
 def any_of(words: list[str]) -> str:
     """A pattern for any of the sorted ``words`` that tries only those with the next letter."""
     rest = [(first, [w[1:] for w in own]) for first, own in groupby(words, key=lambda w: w[:1])]
@@ -134,25 +143,28 @@ def scan(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     df = {r["term"]: r["df"] for r in common.where(F.col("term").isin(vocabulary)).collect()}  # as many rows as the templates have terms
     unknown = math.log((1 + n) / (1 + floor)) + 1
     idf = {t: math.log((1 + n) / (1 + max(df.get(t, 0), floor))) + 1 for t in vocabulary}
-    weights, keys = [], set()
-    for (name, i), bag in bags.items():
+    weights, keys = {t: [None] * len(bags) for t in vocabulary}, set()
+    for at, bag in enumerate(bags.values()):
         length = math.sqrt(sum((c * idf[t]) ** 2 for t, c in bag.items()))
-        weights += [(name, i, t, c * idf[t] / length) for t, c in bag.items()]
+        for t, c in bag.items():
+            weights[t][at] = c * idf[t] / length
         light = 0.0
         for t in sorted(bag, key=lambda t: (-df.get(t, 0), idf[t] * bag[t], t)):  # the commonest terms that cannot reach the threshold by themselves
             light += (bag[t] * idf[t] / length) ** 2
             if light >= threshold**2 - 1e-9:
                 keys.add(t)
     spark = files.sparkSession
-    table = spark.createDataFrame(weights, "licence string, template int, term string, weight double")
+    table = spark.createDataFrame(list(weights.items()), "term string, weights array<double>")  # a weight for each template
     weighed = common.select("term", (F.log((1 + n) / (1 + F.greatest("df", F.lit(floor)))) + 1).alias("idf"))
     has_key = lambda x: F.lower(x).rlike(rf"(?<![a-z0-9]){any_of(sorted(keys))}(?![a-z0-9])")
     said = files.where(has_key(F.col("text"))).select("file", F.explode(passages(F.col("text"))).alias("said")).where(has_key(F.col("said")))
-    bag = said.select("file", F.sha2("said", 256).alias("said"), F.explode(terms(F.col("said"))).alias("term")).groupBy("file", "said", "term").agg(F.count(F.lit(1)).alias("tf"))
-    bag = cut(bag.join(F.broadcast(weighed), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown))))
-    length = bag.groupBy("file", "said").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = bag.join(F.broadcast(table), "term").groupBy("file", "said", "licence", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    best = dots.join(length, ["file", "said"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= threshold)
+    said = said if most < 2 else said.distinct()
+    # A passage's terms are counted in its row and added up in its task, so that one row of a passage is shuffled, not its terms.
+    bag = said.select("file", F.unhex(F.sha2("said", 256)).alias("said"), F.explode(counted(terms(F.col("said")))).alias("x")).select("file", "said", "x.*")
+    bag = bag.join(F.broadcast(weighed), "term", "left").join(F.broadcast(table), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    sums = bag.groupBy("file", "said").agg(F.sum(F.col("x") * F.col("x")).alias("square"), *[F.sum(F.col("x") * F.col("weights")[i]).alias(f"dot{i}") for i in range(len(bags))])
+    score = [F.struct(F.round(F.col(f"dot{i}") / F.sqrt("square"), 6).alias("score"), F.lit(name).alias("licence")) for i, (name, _) in enumerate(bags)]
+    best = sums.select("file", F.explode(F.filter(F.array(*score), lambda x: x["score"] >= threshold)).alias("x")).select("file", "x.*") if bags else sums.select("file", F.lit(0.0).alias("score"), F.lit("").alias("licence")).limit(0)
     own = best.groupBy("file").agg(F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("own"), F.max("score").alias("own_score"))
     return files.select("file").distinct().join(own, "file", "left").select("file.path", "own", "own_score")
 
