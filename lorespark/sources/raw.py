@@ -38,9 +38,9 @@ class RawStore:
         rows = files.select(F.col("document_id").cast("string").alias("document_id"), safe_name(F.col("filename")).alias("filename"), F.sha2("content", 256).alias("raw_hash"), F.length("content").cast("bigint").alias("size_bytes"))
         rows = rows.groupBy("document_id").agg(F.max(F.struct("filename", "raw_hash", "size_bytes")).alias("x")).select("document_id", "x.*")
         rows = cut(rows)
-        lacking = rows.select("raw_hash").distinct().join(self.state.read("blobs").select("raw_hash"), "raw_hash", "left_anti")
+        lacking = cut(rows.select("raw_hash").distinct().join(self.state.read("blobs").select("raw_hash"), "raw_hash", "left_anti"))
         bytes_ = files.select(F.sha2("content", 256).alias("raw_hash"), "content").join(lacking, "raw_hash", "left_semi").groupBy("raw_hash").agg(F.first("content").alias("content"))
-        return self.state.apply(run_id, {"files": Change(rows=rows), "blobs": Change(rows=cut(bytes_))})
+        return self.state.apply(run_id, {"files": Change(rows=rows), "blobs": Change(rows=bytes_, keys=lacking)})  # the bytes go straight into their buckets
 
     def replace(self, run_id: str, files: DataFrame, documents: DataFrame, kinds: list[str]) -> tuple[int, DataFrame]:
         """Replace the files of documents that were uploaded: (version, refused).
