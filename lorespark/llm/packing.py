@@ -16,7 +16,7 @@ from .common import cut, slices
 
 CAPACITY, END, PIECE, WINDOWS, KNOWN = 2048, 1, 512, 256, 200_000
 #: Characters encoded together, about; texts are never split here.
-RUN = 2_000_000
+RUN = 8_000_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -28,48 +28,71 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-class Ids(dict):
-    """Chunk between spaces -> its ids as bytes.  White space never joins two chunks in one token, so texts may be cut there.
+def _runs(store: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``store`` that begin at ``first``, one after another, and where each of them begins, and the last one ends."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return store[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
+class Ids:
+    """Chunk between spaces -> its ids.  White space never joins two chunks in one token, so texts may be cut there.
 
     New chunks are encoded many at a time, with a digit between blanks between them that none of them holds; a digit by
-    itself is one token of its own, so the ids are split at it again.
+    itself is one token of its own, so the ids are split at it again.  The ids of all chunks lie in one array.
     """
 
     def __init__(self, path: str, signs: str = "7391", most: int = KNOWN, together: int = 20_000):
-        super().__init__()
         self.t, self.most, self.together = tokenizer(path), most, together
+        self.at: dict[str, int] = {}
+        self.store, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         ids = lambda x: self.t.encode(x, add_special_tokens=False).ids
         self.marks = {x: ids(x)[0] for x in signs if len(ids(x)) == 1 and ids(f"a {x} b") == ids("a") + ids(x) + ids("b")}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {}
-        left = words
+    def _encode(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """``words`` in the order in which they were encoded, their ids and how many each has."""
+        order, made, sizes, left = [], [], [], words
         for sign, mark in self.marks.items():
             plain = [w for w in left if sign not in w and "<|" not in w]
-            groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
-            for group in groups:
+            left = [w for w in left if sign in w or "<|" in w]
+            for i in range(0, len(plain), self.together):
+                group = plain[i : i + self.together]
                 a = np.array(self.t.encode_batch_fast([f" {sign} ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
-                at, raw = (np.flatnonzero(a == mark) * 4).tolist(), a.tobytes()
-                found.update(zip(group, [raw[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(raw)], strict=True)], strict=True))
-            left = [w for w in left if w not in found]
+                marked = a == mark
+                sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], marked, [True]]))) - 1)
+                made.append(a[~marked])
+                order += group
         for w in left:
-            found[w] = np.array(self.t.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-        return [found[w] for w in words]
-
-    def of(self, words: list[str]) -> list[bytes]:
-        """Closing marks behind an ASCII letter are tokens of their own, so the words before them are looked up without."""
-        cores, tails = [], []
-        for w in words:
-            core = w.rstrip(",.!?;:")
-            core = core if core and core[-1].isascii() and core[-1].isalpha() else w
-            cores.append(core)
-            tails.append(w[len(core) :])
-        new = list(dict.fromkeys(x for x in (*cores, *tails) if x not in self))
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        if len(self) < self.most:
-            self.update(fresh)
-        take = lambda x: fresh[x] if x in fresh else self[x]
-        return [take(c) + take(t) if t else take(c) for c, t in zip(cores, tails, strict=True)]
+            made.append(np.array(self.t.encode(w, add_special_tokens=False).ids, np.uint32))
+            sizes.append([len(made[-1])])
+            order.append(w)
+        return order, np.concatenate([self.store[:0], *made]), np.concatenate([self.size[:0], *sizes])
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``words``, and where those of each begin and the last end.
+
+        Closing marks behind an ASCII letter are tokens of their own, so the words before them are looked up without."""
+        cores, tails = words.to_numpy(zero_copy_only=False).tolist(), []
+        marked = np.flatnonzero(pc.match_substring_regex(words, "[A-Za-z][,.!?;:]+$").to_numpy(zero_copy_only=False))
+        for i in marked.tolist():
+            w = cores[i]
+            cores[i] = w.rstrip(",.!?;:")
+            tails.append(w[len(cores[i]) :])
+        every = cores + tails
+        row, store, size = list(map(self.at.get, every)), self.store, self.size
+        new = list(dict.fromkeys(w for w, i in zip(every, row, strict=True) if i is None))
+        if new:
+            order, ids, sizes = self._encode(new)
+            fresh = dict(zip(order, range(len(size), len(size) + len(order)), strict=True))
+            row = [fresh[w] if i is None else i for w, i in zip(every, row, strict=True)]
+            store, size = np.concatenate([store, ids]), np.concatenate([size, sizes])
+            if len(self.at) < self.most:
+                self.at.update(fresh)
+                self.store, self.size = store, size
+        row = np.array(row, np.int64)
+        # A word's closing marks stand right behind it.
+        row = np.insert(row[: len(cores)], marked + 1, row[len(cores) :])
+        tokens, upto = _runs(store, (np.cumsum(size) - size)[row], size[row])
+        return tokens, np.delete(upto, marked + np.arange(1, len(marked) + 1))
 
 
 _known: dict[str, Ids] = {}
@@ -86,14 +109,10 @@ def encoded(texts: pa.Array, known: Ids) -> Iterator[np.ndarray]:
     """The ids of each text; null counts as empty."""
     chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
     flat = chunks.flatten().dictionary_encode()
-    ids = known.of(flat.dictionary.to_pylist())
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    store, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+    store, first = known.of(flat.dictionary)
     word = flat.indices.to_numpy(zero_copy_only=False)
-    n, at = size[word], chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
-    upto = np.concatenate([[0], np.cumsum(n)])
-    place = np.repeat(first[word] - upto[:-1], n) + np.arange(upto[-1])
-    tokens = store[place]
+    tokens, upto = _runs(store, first[word], np.diff(first)[word])
+    at = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
     for a, b in zip(at[:-1], at[1:], strict=True):
         yield tokens[upto[a] : upto[b]]
 
@@ -153,24 +172,23 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     count = n
     while len(heap) > 1:
         (_, _, a, x), (_, _, b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        loads, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)  # a partition holds its filled windows only
-        loads[: len(a)], nodes[: len(a)] = a, x
-        low = k - len(b)
-        meet = np.flatnonzero((nodes[low:] >= 0) & (y[::-1] >= 0)) + low
-        loads[low:] += b[::-1]
-        fresh = np.arange(len(left), len(left) + len(meet))
-        left.extend(nodes[meet].tolist())
-        right.extend(y[k - 1 - meet].tolist())
-        nodes[low:] = np.where(y[::-1] >= 0, y[::-1], nodes[low:])
-        nodes[meet] = fresh
+        if len(a) + len(b) <= k:  # their windows do not meet, nothing is added
+            loads, nodes = np.concatenate([a, b[::-1]]), np.concatenate([x, y[::-1]])
+        else:
+            loads, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)  # a partition holds its filled windows only
+            loads[: len(a)], nodes[: len(a)] = a, x
+            low = k - len(b)
+            meet = np.flatnonzero((nodes[low:] >= 0) & (y[::-1] >= 0)) + low
+            loads[low:] += b[::-1]
+            fresh = np.arange(len(left), len(left) + len(meet))
+            left.extend(nodes[meet].tolist())
+            right.extend(y[k - 1 - meet].tolist())
+            nodes[low:] = np.where(y[::-1] >= 0, y[::-1], nodes[low:])
+            nodes[meet] = fresh
         order = np.argsort(-loads, kind="stable")
         loads, nodes = loads[order], nodes[order]
-        used = int((nodes >= 0).sum())
-        if used == k:
+        if len(loads) == k:
             loads = loads - loads[-1]
-        else:
-            keep = nodes >= 0  # empty windows are the emptiest of all
-            loads, nodes = loads[keep], nodes[keep]
         heapq.heappush(heap, (-int(loads[0]) if len(loads) else 0, count, loads, nodes))
         count += 1
     window = np.zeros(n, np.int64)
